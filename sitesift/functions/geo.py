@@ -110,15 +110,30 @@ def ring_holds(ring: Column, x: Column, y: Column) -> Column:
 
 def representative_point(ring: Column) -> Column:
     """A point inside the ring: middle of the widest interior stretch of a scanline that meets no vertex."""
-    ys = F.transform(ring, lambda p: p["y"])
-    mid = (F.array_min(ys) + F.array_max(ys)) / 2
-    level = (F.array_max(F.filter(ys, lambda v: v <= mid)) + F.array_min(F.filter(ys, lambda v: v > mid))) / 2
-    cut = F.filter(edges(ring), lambda e: (e["a"]["y"] > level) != (e["b"]["y"] > level))
-    xs = F.array_sort(F.transform(cut, lambda e: e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * (level - e["a"]["y"])
-                                  / (e["b"]["y"] - e["a"]["y"])))
-    spans = F.transform(F.sequence(F.lit(0), (F.size(xs) / 2).cast("int") - 1),
-                        lambda i: F.struct((xs[2 * i + 1] - xs[2 * i]).alias("w"), ((xs[2 * i + 1] + xs[2 * i]) / 2).alias("x")))
-    return F.when(F.size(xs) >= 2, point(F.array_max(spans)["x"], level)).otherwise(ring[0])
+    def bind(value: Column, then) -> Column:
+        # evaluate once and name it, so that the parts below do not repeat its whole expression
+        return F.transform(F.array(value), then)[0]
+
+    def middle(level: Column) -> Column:
+        cut = F.filter(edges(ring), lambda e: (e["a"]["y"] > level) != (e["b"]["y"] > level))
+        xs = F.array_sort(F.transform(cut, lambda e: e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * (level - e["a"]["y"])
+                                      / (e["b"]["y"] - e["a"]["y"])))
+        return bind(xs, lambda v: F.when(F.size(v) >= 2, point(F.array_max(spans(v))["x"], level)).otherwise(ring[0]))
+
+    def spans(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), (F.size(v) / 2).cast("int") - 1),
+                           lambda i: F.struct((v[2 * i + 1] - v[2 * i]).alias("w"), ((v[2 * i + 1] + v[2 * i]) / 2).alias("x")))
+
+    def level_of(ys: Column) -> Column:
+        mid = (F.array_min(ys) + F.array_max(ys)) / 2
+        return (F.array_max(F.filter(ys, lambda v: v <= mid)) + F.array_min(F.filter(ys, lambda v: v > mid))) / 2
+
+    def inside(r: Column) -> Column:
+        nonlocal ring
+        ring = r
+        return bind(bind(F.transform(r, lambda p: p["y"]), level_of), middle)
+
+    return bind(ring, inside)
 
 
 # ---- distances (squared, metres) ---------------------------------------------------------------------------------------
@@ -151,3 +166,12 @@ def ring_segment_d2(ring: Column, x1, y1, x2, y2) -> Column:
 def ring_point_d2(ring: Column, x, y) -> Column:
     parts = F.transform(edges(ring), lambda e: point_segment_d2(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]))
     return F.when(ring_holds(ring, x, y), 0.0).otherwise(F.array_min(parts))
+
+
+def ring_ring_d2(a: Column, b: Column) -> Column:
+    """Edge-to-edge squared distance of two rings, 0 when one holds the other."""
+    def to_edge(e):
+        return F.array_min(F.transform(edges(b), lambda g: segment_segment_d2(
+            e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"], g["a"]["x"], g["a"]["y"], g["b"]["x"], g["b"]["y"])))
+    overlap = ring_holds(a, b[0]["x"], b[0]["y"]) | ring_holds(b, a[0]["x"], a[0]["y"])
+    return F.when(overlap, 0.0).otherwise(F.array_min(F.transform(edges(a), to_edge)))

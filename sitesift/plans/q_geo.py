@@ -422,7 +422,7 @@ BCFG["layers"]["fiber_bdc"].update(near_miles=25.0, search_radius_mi=60.0, site_
 view("coverage_rows", """
 SELECT concat(' C', CAST(o_custkey AS STRING)) AS h3_res8_id, CAST(o_orderkey % 25 AS STRING) AS provider_id, concat('Brand ', CAST(o_orderkey % 25 % 9 AS STRING), ' ') AS brand_name,
        CAST(o_orderkey AS STRING) AS location_id, CASE WHEN o_orderpriority = '5-LOW' THEN '40' ELSE '50' END AS technology,
-       CAST(CAST(o_totalprice AS BIGINT) % 5000 AS STRING) AS max_advertised_download_speed, CASE WHEN o_orderstatus = 'P' THEN 'n/a' ELSE CAST(CAST(o_totalprice AS BIGINT) % 900 AS STRING) END AS max_advertised_upload_speed,
+       CAST(CAST(floor(o_totalprice) AS BIGINT) % 5000 AS STRING) AS max_advertised_download_speed, CASE WHEN o_orderstatus = 'P' THEN 'n/a' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) % 900 AS STRING) END AS max_advertised_upload_speed,
        CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'b' ELSE 'X' END AS business_residential_code
 FROM orders
 """)
@@ -541,7 +541,7 @@ _LVLXY = with_xy(f"SELECT * FROM ({_LEVELS}) l0", x="fx", y="fy")
 def _pick(src, need, ident):
     return f"""SELECT h.*, r.radius_mi FROM (SELECT eia_id, f.*, {_DPT} / {MI} AS mi FROM site_geo, ({src}) f) h JOIN (
       SELECT eia_id, CASE WHEN count(CASE WHEN mi <= 3 THEN 1 END) >= {need} THEN 3e0 WHEN count(CASE WHEN mi <= 6 THEN 1 END) >= {need} THEN 6e0 WHEN count(*) >= {need} THEN 10e0 END AS radius_mi
-      FROM (SELECT eia_id, {_DPT} / {MI} AS mi FROM site_geo, ({src}) f) q WHERE mi <= 10 GROUP BY eia_id) r ON h.eia_id = r.eia_id WHERE mi <= coalesce(r.radius_mi, 0)"""
+      FROM (SELECT eia_id, {_DPT} / {MI} AS mi FROM site_geo, ({src}) f) q WHERE mi <= 10 GROUP BY eia_id) r ON h.eia_id = r.eia_id WHERE mi <= coalesce(r.radius_mi, -1)"""
 
 
 _FAR = lambda src: f"SELECT eia_id, count(*) AS n FROM (SELECT eia_id, {_DPT} / {MI} AS mi FROM site_geo, ({src}) f) q WHERE mi <= 10 GROUP BY eia_id"
