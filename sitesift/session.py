@@ -40,10 +40,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "sitesift", f"{label}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the data is on shared storage, so a lost executor costs a re-read, not a replay."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write once to shared storage and read back: a lost executor costs a re-read, not a replay of the plan, and the
+    plan is computed once (a checkpoint would run it twice)."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_under(df: DataFrame, rows: int) -> DataFrame:
