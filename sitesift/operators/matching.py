@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
 from ..functions.nulls import blank_to_null, is_true, to_number
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, scratch_path, spread
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -95,8 +95,7 @@ def node_map(mapping: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 def _score_pairs(pairs: DataFrame) -> DataFrame:
     """Adds name_score = the better of unit name and unit code against the plant name, each distinct pair scored once."""
     longs = pairs.select("plant_n", F.explode(F.array("name_n", "code_n")).alias("other")).distinct()
-    longs = longs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "plant_n", "other")
-    scored = longs.withColumn("s", name_score(F.col("plant_n"), F.col("other")))
+    scored = spread(longs, "plant_n", "other").withColumn("s", name_score(F.col("plant_n"), F.col("other")))
     by_name, by_code = (scored.select("plant_n", F.col("other").alias(k), F.col("s").alias(f"_{k}")) for k in ("name_n", "code_n"))
     return (pairs.join(by_name, ["plant_n", "name_n"]).join(by_code, ["plant_n", "code_n"])
             .withColumn("name_score", F.greatest("_name_n", "_code_n")).drop("_name_n", "_code_n"))
@@ -143,8 +142,7 @@ def far_pairs(plants: DataFrame, units: DataFrame, c: dict) -> DataFrame:
     joint = [p.filter("not _pair and pl").join(o, "k"), p.filter("not _pair").join(o.filter("ol"), "k"),
              p.filter("_pair and pl").join(o.filter("ol"), "k").filter(like)]
     names = (joint[0].select("plant_n", "other").union(joint[1].select("plant_n", "other")).union(joint[2].select("plant_n", "other")).distinct()
-             .repartition(4 * plants.sparkSession.sparkContext.defaultParallelism, "plant_n", "other")
-             .withColumn("s", name_score(F.col("plant_n"), F.col("other"), c["name_high"])).filter(F.col("s") >= c["name_high"]))
+             .transform(lambda d: spread(d, "plant_n", "other")).withColumn("s", name_score(F.col("plant_n"), F.col("other"), c["name_high"])).filter(F.col("s") >= c["name_high"]))
     u = units.withColumnsRenamed({"county": "unit_county", "county_n": "unit_county_n"})
     hits = [names.select("plant_n", F.col("other").alias(k), "s").join(u, k).select("plant_n", "unit_code", "s") for k in ("name_n", "code_n")]
     best = hits[0].union(hits[1]).groupBy("plant_n", "unit_code").agg(F.max("s").alias("name_score"))

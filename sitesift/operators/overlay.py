@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import geo
 from ..functions.nulls import is_true, ratio
 from ..functions.text import norm_owner, percent_text
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 
 # tasks get the kernel with the job: executors need no copy of this package
@@ -149,7 +149,7 @@ def union_areas(sites: DataFrame, zones: DataFrame, flags: list[str], tile_m: fl
             row[f"{f}_m2"] = clipped_union_area(clip, rings, (x0, y0, x0 + tile_m, y0 + tile_m))
         return pd.DataFrame([row])
 
-    parts = pairs.groupBy(key, "_part", "_cx", "_cy").applyInPandas(one_tile, out)
+    parts = spread(pairs, key, "_part", "_cx", "_cy").groupBy(key, "_part", "_cx", "_cy").applyInPandas(one_tile, out)
     return parts.groupBy(key).agg(*[F.sum(f"{f}_m2").alias(f"{f}_m2") for f in flags])
 
 

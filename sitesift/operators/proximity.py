@@ -86,6 +86,19 @@ def _feature_cells(feats: DataFrame, size: float) -> DataFrame:
     return _cover(feats, F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size)
 
 
+def _boxes_within(r: Column) -> Column:
+    """Cheap test before the exact one: the boxes of site and segment are no farther apart than r."""
+    zero = F.lit(0.0)
+    gx = F.greatest(zero, F.least("x1", "x2") - F.col("_xmax"), F.col("_xmin") - F.greatest("x1", "x2"))
+    gy = F.greatest(zero, F.least("y1", "y2") - F.col("_ymax"), F.col("_ymin") - F.greatest("y1", "y2"))
+    return gx * gx + gy * gy <= r * r
+
+
+def _once(d: Column, r: Column) -> Column:
+    """Rows with d <= r, computing d a single time (a filter on it would be pushed down and computed again)."""
+    return F.explode(F.filter(F.array(d), lambda v: v <= r))
+
+
 def within_pairs(sites: DataFrame, feats: DataFrame, radius_m: float, fid: str, key: str = "eia_id",
                  points_only: bool = True) -> DataFrame:
     """Every (site, feature segment) at most radius_m apart with its distance `d`, each pair once. A feature cut into
@@ -98,8 +111,8 @@ def within_pairs(sites: DataFrame, feats: DataFrame, radius_m: float, fid: str,
     f = _feature_cells(_salted(feats, fid), radius_m)
     first = (F.col("_cx") == F.greatest("_sbx", "_bx")) & (F.col("_cy") == F.greatest("_sby", "_by"))
     keep = [key, *[c for c in feats.columns if c not in ("x1", "y1", "x2", "y2")]]
-    return (s.join(f, ["_cx", "_cy", "_salt"]).filter(first)
-            .withColumn("d", _distance(sites, points_only)).filter(F.col("d") <= r).select(*keep, "d"))
+    return (s.join(f, ["_cx", "_cy", "_salt"]).filter(first & _boxes_within(r))
+            .select(*keep, _once(_distance(sites, points_only), r).alias("d")))
 
 
 def within_features(sites: DataFrame, feats: DataFrame, radius_m: float, fid: str, key: str = "eia_id",
@@ -142,7 +155,7 @@ def nearest_features(sites: DataFrame, feats: DataFrame, radius_m: float, fid: s
             .filter(F.col("_near2") <= F.col("_reach")).drop("_near2", "_far2", "_reach", "_hit", "_sid")
             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     f = _feature_cells(_salted(places, fid), size)
-    pairs = (look.join(f, ["_cx", "_cy", "_salt"]).withColumn("d", _distance(sites, points_only)).filter(F.col("d") <= r))
+    pairs = look.join(f, ["_cx", "_cy", "_salt"]).select(key, *attrs, _once(_distance(sites, points_only), r).alias("d"))
     best = F.min_by(F.struct("d", *attrs), F.struct("d", fid))
     return (pairs.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b.d").alias("d"), *[F.col(f"_b.{c}").alias(c) for c in attrs]))
 

@@ -51,3 +51,11 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
 def broadcast_if_under(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only after counting: at most `rows` rows, else the join stays a shuffle join for AQE."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Partition by cols for work that is heavy per row: few bytes can still mean much computing, so the number of parts
+    is set by the cores (or the configured shuffle width where that is more) and is not merged again by size."""
+    spark = df.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *cols)
