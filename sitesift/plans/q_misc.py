@@ -152,3 +152,78 @@ def _(t):
     df = t["score_rows"].withColumn("region", F.when(F.col("lon") < -100, "west_texas")).withColumn("sb6_review_required", F.col("firm_it_mw") > 30)
     df = df.withColumn("tax_equity_consent_likely", F.year("cod_first") >= 2019).withColumn("itc_recapture_open", F.lit(None).cast("boolean"))
     return serve.caveats(df).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("metric_labels", """
+SELECT eia_id, CASE metrics_status WHEN 'ok' THEN 'Metrics available' WHEN 'no_full_months' THEN 'Fewer than one full month of SCED data' ELSE 'Crosswalk not verified yet' END AS label FROM score_rows
+""")
+def _(t):
+    # Status texts of the published tables.
+    labels = {"ok": "Metrics available", "no_ercot_resource": "No ERCOT resource (behind the meter)", "no_sced_data": "Not a telemetered PV resource (no SCED data)",
+              "no_full_months": "Fewer than one full month of SCED data", "no_settlement_point": "No settlement point: curtailment only", "too_little_generation": "Too little generation to price"}
+    return t["score_rows"].select("eia_id", text.label_map(F.col("metrics_status"), labels, F.lit("Crosswalk not verified yet")).alias("label"))
+
+
+@query("month_from_name", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN year(o_orderdate) || '-08' ELSE 'unknown' END AS month FROM orders")
+def _(t):
+    name = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("August_generator"), F.year("o_orderdate").cast("string"), F.lit(".xlsx"))).otherwise("notes.xlsx")
+    return t["orders"].select("o_orderkey", text.month_from_name(name).alias("month"))
+
+
+@query("release_from_name", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'J25 30jun' || year(o_orderdate) END AS release FROM orders")
+def _(t):
+    name = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("bdc_48_x_J25_30jun"), F.year("o_orderdate").cast("string"), F.lit(".csv"))).otherwise("x.csv")
+    return t["orders"].select("o_orderkey", text.release_from_name(name).alias("release"))
+
+
+@query("order_ranked_then_score", "SELECT eia_id, row_number() OVER (ORDER BY CASE WHEN filter_status = 'pass' THEN 0 ELSE 1 END, hours_below_25c_drybulb DESC, eia_id) AS pos FROM score_rows WHERE filter_status <> 'fail' ORDER BY pos LIMIT 25")
+def _(t):
+    # the ordered report keeps its first 25 rows, which is what it is for
+    df = t["score_rows"].withColumn("rank_overall", F.when(F.col("filter_status") == "pass", 1)).withColumn("score_total", F.col("hours_below_25c_drybulb"))
+    top = serve.wide_export(df).orderBy(F.col("rank_overall").asc_nulls_last(), F.col("score_total").desc(), "eia_id").limit(25)
+    from pyspark.sql import Window
+    w = Window.orderBy(F.col("rank_overall").asc_nulls_last(), F.col("score_total").desc(), "eia_id")
+    return top.select("eia_id", F.row_number().over(w).cast("bigint").alias("pos"))
+
+
+@query("export_wide_join", "SELECT p.eia_id, p.tier, s.metrics_status, l.lat FROM score_rows p JOIN score_rows s ON p.eia_id = s.eia_id JOIN score_rows l ON p.eia_id = l.eia_id WHERE p.filter_status <> 'fail'")
+def _(t):
+    w = t["score_rows"]
+    scores = w.select("eia_id", "metrics_status", F.lit(1).alias("rank_overall"), F.lit(1.0).alias("score_total"))
+    return serve.wide_export(w.select("eia_id", "filter_status", "tier"), scores, w.select("eia_id", "lat", F.lit("x").alias("tier"))).select("eia_id", "tier", "metrics_status", "lat")
+
+
+view("months_in", "SELECT s_suppkey AS eia_id, substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 7) AS month, count(DISTINCT CAST(o_orderdate AS DATE)) * 9 AS days FROM orders JOIN supplier ON o_custkey % 100 = s_suppkey GROUP BY 1, 2")
+
+
+@query("monthly_export", "SELECT m.eia_id, m.month, m.days, s_name AS plant_name, m.days / CAST(day(last_day(CAST(m.month || '-01' AS DATE))) AS DOUBLE) >= 0.9 AS full_month FROM months_in m JOIN supplier ON m.eia_id = s_suppkey")
+def _(t):
+    names = t["supplier"].select(F.col("s_suppkey").alias("eia_id"), F.col("s_name").alias("plant_name"))
+    return serve.monthly_export(t["months_in"], names).select("eia_id", "month", "days", "plant_name", "full_month")
+
+
+@query("union_sources", "SELECT id, src FROM (SELECT c_custkey AS id, c_mktsegment AS seg, 'c' AS src FROM customer UNION ALL SELECT s_suppkey, NULL, 's' FROM supplier) u")
+def _(t):
+    a = t["customer"].select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("seg"), F.lit("c").alias("src"))
+    return a.unionByName(t["supplier"].select(F.col("s_suppkey").alias("id"), F.lit("s").alias("src")), allowMissingColumns=True).select("id", "src")
+
+
+@query("dedupe_overlapping_boxes", "SELECT DISTINCT l_orderkey FROM lineitem")
+def _(t):
+    return t["lineitem"].select("l_orderkey").dropDuplicates(["l_orderkey"])
+
+
+@query("county_filter", "SELECT eia_id FROM score_rows WHERE lower(trim(county)) = 'county 7'")
+def _(t):
+    return t["score_rows"].filter(F.lower(F.trim("county")) == " COUNTY 7 ".strip().lower()).select("eia_id")
+
+
+@query("table_validate", """
+SELECT tag, problem FROM (SELECT CAST(project_id AS VARCHAR) AS tag, unnest(list_filter([CASE WHEN kind NOT IN ('data_center', 'crypto', 'hydrogen', 'industrial', 'other') THEN 'kind' END, CASE WHEN status NOT IN ('operating', 'under_construction', 'announced') THEN 'status' END,
+  CASE WHEN lat NOT BETWEEN 28 AND 36.6 THEN 'lat/lon outside' END], lambda v: v IS NOT NULL)) AS problem FROM projects) p
+""")
+def _(t):
+    from ..operators.rules import error_rows
+    c = CFG["layers"]["load_pocket"]
+    tests = [(~F.col("kind").isin(c["kinds"]), "kind"), (~F.col("status").isin(c["statuses"][:3]), "status"), (~F.col("lat").between(28.0, 36.6), "lat/lon outside")]
+    return error_rows(t["projects"], tests, F.col("project_id").cast("string"))
