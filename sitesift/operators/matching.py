@@ -380,7 +380,7 @@ def apply_decisions(xwalk: DataFrame, decisions: DataFrame, initials: str, today
     rest = [c for c in CROSSWALK_COLUMNS if c in xwalk.columns]
     base = (x.filter("_codes is not null or _none is not null").groupBy("_id", "_codes", "_note", "_none")
             .agg(F.min_by(F.struct(*rest), F.coalesce("ercot_resource_name", F.lit(""))).alias("_r")).select("_id", "_codes", "_note", "_none", "_r.*"))
-    manual = base.filter("_codes is not null").withColumn("ercot_resource_name", F.explode(F.filter(F.transform(F.split("_codes", r"\+"), F.trim), lambda v: v != "")))
+    manual = base.filter("_codes is not null").withColumn("ercot_resource_name", F.explode(F.filter(F.transform(F.split("_codes", r"\+"), lambda v: F.trim(v)), lambda v: v != "")))
     kinds = dict(xwalk.dtypes)
     wiped = ["ercot_settlement_point", "ac_mw_ercot", "cdr_unit_name", "cdr_year", "name_score", "mw_error_pct", "sced_coverage", "sced_max_hsl_mw"]
     manual = manual.withColumns({w: F.lit(None).cast(kinds[w]) for w in wiped if w in kinds})
