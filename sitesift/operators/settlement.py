@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.calendar import days_in_month, localize
 from ..functions.text import month_label
 from ..functions.nulls import blank_to_null, ratio, sum_or_zero, to_number
-from ..session import broadcast_if_under
 
 MINUTE_US = 60_000_000
 INTERVAL_US = 15 * MINUTE_US
@@ -110,7 +109,7 @@ def priced_intervals(sced15: DataFrame, prices: DataFrame, xwalk: DataFrame, cfg
     hub = one.filter(F.col("location") == hub_name).select("interval_start", F.col("spp").alias("hub"))
     return (sced15.join(crosswalk_units(xwalk), "resource_name")
             .join(node, ["settlement_point", "interval_start"], "left")
-            .join(broadcast_if_under(hub, HUB_ROWS_BOUND), "interval_start", "left"))
+            .join(hub, "interval_start", "left"))
 
 
 def unit_monthly(sced15: DataFrame, prices: DataFrame, xwalk: DataFrame, cfg: dict) -> DataFrame:

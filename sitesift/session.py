@@ -1,10 +1,15 @@
 """Session settings and the two places where the library touches shared storage."""
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+
+_SCRATCH: set[str] = set()
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "sitesift") -> SparkSession:
@@ -27,17 +32,40 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's spark.checkpoint.dir, else (tests) one made here."""
+    """The folder every executor can reach: the one the cluster names in spark.checkpoint.dir.
+
+    A session on one machine (tests, the bench) may leave it unset and gets a folder of its own; on a cluster an unset
+    folder is an error, since files on one machine's disk are lost to all others.
+    """
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="sitesift-ckpt-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="sitesift-local-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark), "sitesift", f"{label}-{uuid.uuid4().hex}")
+    """A new path in this application's own part of the shared folder; the part goes when the driver ends."""
+    app = re.sub(r"\W", "-", spark.sparkContext.applicationId)
+    base = f"{shared_dir(spark).rstrip('/')}/sitesift/{app}"
+    if base not in _SCRATCH:
+        _SCRATCH.add(base)
+        atexit.register(clear_scratch, spark, base)
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession, base: str) -> None:
+    """Delete what one application wrote; files that cannot be reached any more are left to the folder's own clean-up."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception as gone:  # the JVM has ended before this hook
+        print(f"scratch folder {base} stays: {type(gone).__name__}")
+    _SCRATCH.discard(base)
 
 
 def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -48,11 +76,6 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_under(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast only after counting: at most `rows` rows, else the join stays a shuffle join for AQE."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Partition by cols for work that is heavy per row: few bytes can still mean much computing, so the number of parts
     is set by the cores (or the configured shuffle width where that is more) and is not merged again by size."""
