@@ -19,8 +19,8 @@ from .common import out, per_worker, texts
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: the bounded training sample: texts a language, characters a text, bytes of a dictionary
-SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 512, 64 << 10
-SEGMENT, LEVEL, SPREAD = 2048, 3, 16
+SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 128, 64 << 10
+SEGMENT, SPREAD = 1024, 16
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -51,11 +51,14 @@ def sizes(text: str, compressors) -> list[int]:
 
 
 def _compressors(books: dict[str, bytes]):
+    """Matches of three bytes and up count: syllables tell languages apart in short segments."""
     made = []
     for b in books.values():
+        how = zstandard.ZstdCompressionParameters.from_level(3, source_size=SEGMENT, dict_size=len(b), min_match=3, strategy=zstandard.STRATEGY_BTOPT, search_log=3,
+                                                             write_checksum=False, write_content_size=False, write_dict_id=False)
         d = zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        made.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False, level=LEVEL))
+        d.precompute_compress(compression_params=how)
+        made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how))
     return made
 
 

@@ -131,9 +131,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.uint64)
 
     def rows(edges, cell=None, number=None, members=None):
-        n = len(edges)
         if members is not None:
             return out(schema, a=[None], b=[None], cell=[cell], block=[number], members=[members])
+        n = len(edges)
         return out(schema, a=pa.array(edges[:, 0].view(np.int64) if n else [], pa.int64()), b=pa.array(edges[:, 1].view(np.int64) if n else [], pa.int64()), cell=pa.nulls(n, pa.int64()), block=pa.nulls(n, pa.int32()), members=pa.nulls(n, pa.binary()))
 
     def run(batches):

@@ -111,11 +111,6 @@ def test_markers():
     assert {k: chat.marker(k)[0] for k in kinds} == kinds
 
 
-def brute_path(seen, model):
-    v = model["start"] + model["emit"][:, seen[0]]
-    return chat.block_path(seen, model, None, None) if False else v
-
-
 def test_blocks_give_the_path_of_the_whole(spark, monkeypatch):
     from sitesift.llm.common import table
     raw = chat.transcripts(table(spark, SF, "conversations"))
