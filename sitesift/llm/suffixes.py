@@ -81,7 +81,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
     kept = written(kept_suffixes(base, min_words, lead, gram), "suffixes")
     # neighbours in the order of leading words: only those that have an equal one stay
-    heads = kept.groupBy("head").agg(F.count("*").alias("c")).where("c > 1").select("head")
+    # (written, so that both sides of the join are plain shuffles and a crowded head can be split)
+    heads = written(kept.groupBy("head").agg(F.count("*").alias("c")).where("c > 1").select("head"), "heads")
     equal = written(kept.join(heads, "head", "left_semi"), "equal")
     bodies = equal.groupBy("body", "head", "n").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
     bodies = written(bodies, "bodies")
@@ -111,9 +112,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                    .select("body", "k", "window", _shifted("first").alias("first"), _shifted("last").alias("last")), "windows")
     same = each.groupBy("window").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last").select("window", "first")
     hits = each.select("body", "k", "window").join(same, "window")
-    # windows of one match that follow each other there and at their first place form one run
-    runs = (hits.select("body", "k", "first", (F.col("first.lo") - F.col("k")).alias("shift"))
-            .groupBy("body").agg(F.sort_array(F.collect_list(F.struct("k", "first"))).alias("ks")))
+    runs = written(hits.groupBy("body").agg(F.sort_array(F.collect_list(F.struct("k", "first"))).alias("ks")), "runs")
     return settled.unionByName(equal.select("id", "rid", "lo", "body").join(runs, "body").select("id", "rid", "lo", F.explode("ks").alias("w"))
                                .select("id", "rid", (F.col("lo") + F.col("w.k")).alias("lo"), F.lit(1).alias("n"), F.col("w.first").alias("first")))
 
