@@ -15,7 +15,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from .common import out, texts
+from .common import out, texts, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -194,7 +194,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     of a host share their result; repeated rows repeat.
     """
     rows = _rows(pages, id_col, url_col, html_col)
-    nodes = subtrees(rows)
+    nodes = written(subtrees(rows), "subtrees")
     hosts = rows.groupBy("host").agg(F.countDistinct("content").alias("pages"))
     found = templates(nodes, hosts, min_pages, min_share)
     own = nodes.join(found, ["host", "hash"], "left_semi").groupBy("host", "content").agg(F.collect_set("hash").alias("template"))
