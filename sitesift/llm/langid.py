@@ -20,7 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: the bounded training sample: texts a language, characters a text, bytes of a dictionary
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 128, 64 << 10
-SEGMENT, SPREAD = 1024, 16
+SEGMENT, SPREAD = 1024, 128
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 
