@@ -86,7 +86,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     equal = written(kept.join(heads, "head", "left_semi"), "equal")
     bodies = equal.groupBy("body", "head", "n").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
     bodies = written(bodies, "bodies")
-    split = bodies.groupBy("head").agg(F.min("body").alias("x"), F.max("body").alias("y")).where("x <> y").select("head")
+    split = written(bodies.groupBy("head").agg(F.min("body").alias("x"), F.max("body").alias("y")).where("x <> y").select("head"), "split")
     whole = bodies.join(split, "head", "left_anti").where("first <> last").select("body", "first")
     settled = equal.join(whole, "body").select("id", "rid", "lo", F.col("n").cast("int").alias("n"), "first")
 
