@@ -112,9 +112,16 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                    .select("body", "k", "window", _shifted("first").alias("first"), _shifted("last").alias("last")), "windows")
     same = each.groupBy("window").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last").select("window", "first")
     hits = each.select("body", "k", "window").join(same, "window")
-    runs = written(hits.groupBy("body").agg(F.sort_array(F.collect_list(F.struct("k", "first"))).alias("ks")), "runs")
+    runs = written(hits.groupBy("body").agg(F.sort_array(F.collect_list(F.struct("k", "first"))).alias("ks")).select("body", F.expr(_RUNS).alias("ks")), "runs")
     return settled.unionByName(equal.select("id", "rid", "lo", "body").join(runs, "body").select("id", "rid", "lo", F.explode("ks").alias("w"))
-                               .select("id", "rid", (F.col("lo") + F.col("w.k")).alias("lo"), F.lit(1).alias("n"), F.col("w.first").alias("first")))
+                               .select("id", "rid", (F.col("lo") + F.col("w.k")).alias("lo"), F.col("w.n").alias("n"), F.col("w.first").alias("first")))
+
+
+#: windows of one match, at most min_words of them, that follow each other there and at their first place as one run
+_RUNS = """aggregate(ks, cast(array() as array<struct<k:int,n:int,first:struct<none:boolean,id:bigint,rid:bigint,lo:int>>>), (a, w) ->
+    if(size(a) > 0 and element_at(a, -1).k + element_at(a, -1).n = w.k and element_at(a, -1).first.rid = w.first.rid and element_at(a, -1).first.lo + element_at(a, -1).n = w.first.lo,
+       concat(slice(a, 1, size(a) - 1), array(named_struct('k', element_at(a, -1).k, 'n', element_at(a, -1).n + 1, 'first', element_at(a, -1).first))),
+       concat(a, array(named_struct('k', w.k, 'n', 1, 'first', w.first)))))"""
 
 
 def _shifted(place: str):
