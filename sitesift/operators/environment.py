@@ -8,6 +8,9 @@ from ..functions.text import percent_text
 from .quantiles import group_quantiles
 
 HOURS = 8760
+# Source texts of the published layers.
+CLIMATE_SOURCE = "nsrdb psm v4"
+SOIL_SOURCE = "usda nrcs ssurgo via soil data access; lambda: cote & konrad (2005) at field capacity"
 
 
 def year_stats(hourly: DataFrame, cfg: dict, keys=("point_id", "year")) -> DataFrame:
@@ -22,8 +25,11 @@ def year_stats(hourly: DataFrame, cfg: dict, keys=("point_id", "year")) -> DataF
     return hourly.groupBy(*keys).agg(*aggs, *pooled)
 
 
-def climate_summary(hourly: DataFrame, cfg: dict) -> DataFrame:
-    """Per point: mean of the years, worst year, pooled design percentiles, the list per year."""
+def climate_summary(hourly: DataFrame, cfg: dict, typical: DataFrame | None = None, cells: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
+    """Per point: mean of the years, worst year, pooled design percentiles, the list per year; hours of a typical year,
+    the weather cell, source and confidence where those tables are given (typical: hourly rows of the typical year; cells:
+    point_id, location_id, lat, lon, elevation_m; points: point_id, geometry_is_point). Halves round to even, as the
+    published figures do."""
     c = cfg["layers"]["climate"]
     per = year_stats(hourly, cfg)
     names = [x for x in per.columns if x.startswith(("below_", "above_"))]
@@ -32,14 +38,22 @@ def climate_summary(hourly: DataFrame, cfg: dict) -> DataFrame:
     out = per.groupBy("point_id").agg(
         *[F.bround(F.avg(n), 0).alias(f"hours_{n}") for n in names], F.bround(F.min(b25), 0).alias("hours_below_25c_drybulb_min"),
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["t"]), "; ").alias("hours_below_25c_by_year"),
-        F.round(ratio(F.sum("_t"), F.sum("_n")), 2).alias("mean_annual_temp_c"), F.round(F.max("_mx"), 1).alias("max_drybulb_c"),
+        F.bround(ratio(F.sum("_t"), F.sum("_n")), 2).alias("mean_annual_temp_c"), F.bround(F.max("_mx"), 1).alias("max_drybulb_c"),
         F.when(F.min("year") < F.max("year"), F.concat_ws("-", F.min("year").cast("string"), F.max("year").cast("string")))
         .otherwise(F.min("year").cast("string")).alias("climate_years"))
     wet = hourly.withColumn("wb", wet_bulb_stull(F.col("temp_c"), F.col("rh_pct")))
     q = c["design_percentile"]
-    dry = group_quantiles(wet, ["point_id"], "temp_c", {"_d": q}, 0.5).select("point_id", F.round("_d", 1).alias("design_drybulb_0p4_c"))
-    damp = group_quantiles(wet, ["point_id"], "wb", {"_w": q}, 0.5).select("point_id", F.round("_w", 1).alias("design_wetbulb_0p4_c"))
-    return out.join(dry, "point_id", "left").join(damp, "point_id", "left")
+    dry = group_quantiles(wet, ["point_id"], "temp_c", {"_d": q}, 0.5).select("point_id", F.bround("_d", 1).alias("design_drybulb_0p4_c"))
+    damp = group_quantiles(wet, ["point_id"], "wb", {"_w": q}, 0.5).select("point_id", F.bround("_w", 1).alias("design_wetbulb_0p4_c"))
+    out = out.join(dry, "point_id", "left").join(damp, "point_id", "left")
+    if typical is not None:
+        t = year_stats(typical, cfg, ("point_id",)).select("point_id", F.bround("below_25c_drybulb", 0).alias("hours_below_25c_drybulb_tmy"))
+        out = out.join(t, "point_id", "left")
+    if cells is not None:
+        out = out.join(cells.select("point_id", *[F.col(k).alias(f"nsrdb_{k}") for k in ("location_id", "lat", "lon", "elevation_m")]), "point_id", "left")
+    if points is not None:
+        out = out.join(points.select("point_id", F.when(F.col("geometry_is_point"), "low").otherwise("medium").alias("climate_confidence")), "point_id", "left")
+    return out.withColumn("climate_source", F.lit(CLIMATE_SOURCE))
 
 
 def horizon_depth_weight(horizons: DataFrame, cfg: dict) -> DataFrame:
@@ -55,23 +69,39 @@ def horizon_depth_weight(horizons: DataFrame, cfg: dict) -> DataFrame:
     return h.groupBy("mukey", "cokey", "compname", "muname", "comppct_r").agg(*[(F.sum(F.col(v) * F.col("w")) / F.sum("w")).alias(v) for v in vals])
 
 
-def soil_rollup(mapunits: DataFrame, components: DataFrame, restrictions: DataFrame, cfg: dict) -> DataFrame:
-    """Per site: area-weighted soil figures. mapunits: eia_id, mukey, a; components: horizon_depth_weight output."""
+def soil_rollup(mapunits: DataFrame, components: DataFrame, restrictions: DataFrame, cfg: dict, bedrock: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
+    """Per site: area-weighted soil figures. mapunits: eia_id, mukey, a; components: horizon_depth_weight output; bedrock:
+    mukey, brockdepmin; points: eia_id, geometry_is_point. Sites without soil data keep their row: status, number of map
+    units and a data share of zero, everything else null. Halves round to even, as the published figures do."""
     c = cfg["layers"]["soils"]
     tot = mapunits.groupBy("eia_id").agg(F.sum(F.coalesce("a", F.lit(0.0))).alias("_tot"), F.count(F.lit(1)).alias("n_mapunits"))
     mu = mapunits.join(tot, "eia_id").withColumn("share", F.when(F.col("_tot") > 0, F.coalesce("a", F.lit(0.0)) / F.col("_tot")).otherwise(1.0 / F.col("n_mapunits")))
     comp = mu.join(components, "mukey").withColumn("w", F.col("share") * F.col("comppct_r") / 100.0)
-    avg = lambda v, d: F.round(F.sum(F.col(v) * F.col("w")) / F.sum("w"), d)
-    out = comp.groupBy("eia_id").agg(F.sum("w").alias("_w"), avg("lam", 3).alias("soil_lambda_w_mk"), avg("lam_dry", 3).alias("soil_lambda_dry_w_mk"), avg("lam_sat", 3).alias("soil_lambda_sat_w_mk"),
-                                     avg("sandtotal_r", 1).alias("soil_sand_pct"), avg("dbthirdbar_r", 2).alias("soil_bulk_density")).filter("_w > 0")
+    avg = lambda v, d: F.bround(F.sum(F.col(v) * F.col("w")) / F.sum("w"), d)
+    figures = {"soil_lambda_w_mk": ("lam", 3), "soil_lambda_dry_w_mk": ("lam_dry", 3), "soil_lambda_sat_w_mk": ("lam_sat", 3), "soil_sand_pct": ("sandtotal_r", 1),
+               "soil_clay_pct": ("claytotal_r", 1), "soil_bulk_density": ("dbthirdbar_r", 2), "soil_theta_fc": ("wthirdbar_r", 1)}
+    out = comp.groupBy("eia_id").agg(F.sum("w").alias("_w"), *[avg(v, d).alias(k) for k, (v, d) in figures.items()]).filter("_w > 0")
     names = comp.groupBy("eia_id", "compname").agg(F.sum("w").alias("m"))
     dom = names.groupBy("eia_id").agg(F.min_by(F.struct("compname", "m"), F.struct(-F.col("m"), F.col("compname"))).alias("d"))
     dom = dom.select("eia_id", F.concat(F.col("d.compname"), F.lit(" ("), percent_text(F.col("d.m")), F.lit(")")).alias("dominant_soil"))
+    unit_name = components.groupBy("mukey").agg(F.min("muname").alias("muname"))
+    largest = mu.groupBy("eia_id").agg(F.min_by("mukey", F.struct(-F.col("share"), F.col("mukey"))).alias("mukey"))
+    dmu = largest.join(unit_name, "mukey", "left").select("eia_id", F.col("muname").alias("dominant_mapunit"))
     r = (mu.join(restrictions.select("mukey", "cokey", F.coalesce(F.col("comppct_r"), F.lit(0.0)).alias("pct"), "reskind", "resdept_r"), "mukey")
          .filter(F.coalesce("resdept_r", F.lit(0.0)) < c["depth_cm"]))
     once = r.groupBy("eia_id", "cokey").agg(F.max(F.col("share") * F.col("pct") / 100).alias("s"), F.min("resdept_r").alias("d"))
-    rs = once.groupBy("eia_id").agg(F.round(F.sum("s"), 3).alias("restriction_share"), F.min("d").alias("restriction_min_depth_cm"))
-    return (mapunits.select("eia_id").distinct().join(tot.drop("_tot"), "eia_id").join(out, "eia_id", "left").join(dom, "eia_id", "left").join(rs, "eia_id", "left")
-            .withColumn("soil_status", F.when(F.col("_w").isNotNull(), "ok").otherwise("no_soil_data"))
-            .withColumn("soil_data_share", F.round(F.coalesce("_w", F.lit(0.0)), 3))
-            .withColumn("restriction_share", F.coalesce("restriction_share", F.when(F.col("_w").isNotNull(), 0.0))).drop("_w"))
+    rs = once.groupBy("eia_id").agg(F.bround(F.sum("s"), 3).alias("restriction_share"), F.min("d").alias("restriction_min_depth_cm"))
+    # the kinds of restrictive layers are a short list of survey terms
+    kinds = r.filter("reskind is not null").groupBy("eia_id").agg(F.array_join(F.array_sort(F.collect_set("reskind")), "; ").alias("restriction_kinds"))
+    found = out.join(dom, "eia_id", "left").join(dmu, "eia_id", "left").join(rs, "eia_id", "left").join(kinds, "eia_id", "left")
+    found = found.withColumn("restriction_share", F.coalesce("restriction_share", F.lit(0.0)))
+    if bedrock is not None:
+        rock = mu.join(bedrock.select("mukey", to_number(F.col("brockdepmin")).alias("b")), "mukey").groupBy("eia_id").agg(F.min("b").alias("bedrock_depth_cm_min"))
+        found = found.join(rock, "eia_id", "left")
+    df = (mapunits.select("eia_id").distinct().join(tot.drop("_tot"), "eia_id").join(found, "eia_id", "left")
+          .withColumn("soil_status", F.when(F.col("_w").isNotNull(), "ok").otherwise("no_soil_data"))
+          .withColumn("soil_data_share", F.bround(F.coalesce("_w", F.lit(0.0)), 3)).drop("_w").withColumn("soil_source", F.lit(SOIL_SOURCE)))
+    if points is not None:
+        sure = (F.col("soil_status") == "ok") & (F.col("soil_data_share") >= c["min_data_share_medium"]) & ~F.coalesce("geometry_is_point", F.lit(True))
+        df = df.join(points.select("eia_id", "geometry_is_point"), "eia_id", "left").withColumn("soil_confidence", F.when(sure, "medium").otherwise("low")).drop("geometry_is_point")
+    return df

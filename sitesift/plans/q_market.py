@@ -219,9 +219,9 @@ def _(t):
     return summary_out(t)
 
 
-@query("market_compute", f"SELECT metrics_status, count(*) AS plants, round(sum(gen_mwh), 3) AS gen_mwh FROM ({_SUMMARY_OUT}) s GROUP BY 1")
+@query("market_compute", f"SELECT eia_id, metrics_status, round(gen_mwh, 3) AS gen_mwh FROM ({_SUMMARY_OUT}) s")
 def _(t):
-    return summary_out(t).groupBy("metrics_status").agg(F.count(F.lit(1)).alias("plants"), F.round(F.sum("gen_mwh"), 3).alias("gen_mwh"))
+    return summary_out(t).select("eia_id", "metrics_status", R("gen_mwh", 3))
 
 
 @query("recent_peak", f"""

@@ -16,15 +16,15 @@ CFG = config()
 R = lambda c, d=4: F.round(F.col(c), d).alias(c)
 
 view("hourly", """
-SELECT user_id % 20 AS point_id, 2020 + day(ts) % 4 AS year, CASE WHEN event_type = 'signup' AND value < 5 THEN NULL ELSE value / 9.7e0 - 5e0 END AS temp_c, 0e0 + event_id % 100 AS rh_pct FROM events
+SELECT event_id, user_id % 20 AS point_id, 2020 + day(ts) % 4 AS year, CASE WHEN event_type = 'signup' AND value < 5 THEN NULL ELSE value / 9.7e0 - 5e0 END AS temp_c, 0e0 + event_id % 100 AS rh_pct FROM events
 """)
 _WB = """(temp_c * atan(0.151977e0 * sqrt(rh + 8.313659e0)) + atan(temp_c + rh) - atan(rh - 1.676331e0) + 0.00391838e0 * pow(rh, 1.5e0) * atan(0.023101e0 * rh) - 4.686035e0)"""
 _H = f"SELECT *, {_WB} AS wb FROM (SELECT *, greatest(5e0, least(99e0, rh_pct)) AS rh FROM hourly) h0"
 
 
-@query("wet_bulb_stull", f"SELECT point_id, round(sum(wb), 3) AS total FROM ({_H}) h GROUP BY 1")
+@query("wet_bulb_stull", f"SELECT event_id, round(wb, 6) AS wb FROM ({_H}) h")
 def _(t):
-    return t["hourly"].groupBy("point_id").agg(F.round(F.sum(wet_bulb_stull(F.col("temp_c"), F.col("rh_pct"))), 3).alias("total"))
+    return t["hourly"].select("event_id", F.round(wet_bulb_stull(F.col("temp_c"), F.col("rh_pct")), 6).alias("wb"))
 
 
 _YS = f"""SELECT point_id, year, avg(CASE WHEN temp_c < 15 THEN 1e0 WHEN temp_c IS NOT NULL THEN 0 END) * 8760 AS b15, avg(CASE WHEN temp_c < 25 THEN 1e0 WHEN temp_c IS NOT NULL THEN 0 END) * 8760 AS b25,
@@ -47,6 +47,22 @@ def _(t):
     return c.select("point_id", "hours_below_25c_drybulb", "hours_below_25c_drybulb_min", "hours_below_20c_wetbulb", "hours_below_25c_by_year", "mean_annual_temp_c", "design_drybulb_0p4_c", "design_wetbulb_0p4_c")
 
 
+view("typical_hours", "SELECT * FROM hourly WHERE year = 2021")
+view("weather_cells", "SELECT s_suppkey % 20 AS point_id, min(s_suppkey) AS location_id, min(s_acctbal) AS lat, max(s_acctbal) AS lon, 1e0 * count(*) AS elevation_m FROM supplier GROUP BY 1")
+view("weather_points", "SELECT n_nationkey AS point_id, n_regionkey = 1 AS geometry_is_point FROM nation")
+
+
+@query("climate_layer", f"""
+SELECT y.point_id, y.tmy AS hours_below_25c_drybulb_tmy, c.location_id AS nsrdb_location_id, c.lat AS nsrdb_lat, c.lon AS nsrdb_lon, c.elevation_m AS nsrdb_elevation_m,
+  CASE WHEN p.geometry_is_point THEN 'low' WHEN NOT p.geometry_is_point THEN 'medium' END AS climate_confidence, 'nsrdb psm v4' AS climate_source, h.mx AS max_drybulb_c, '2020-2023' AS climate_years
+FROM (SELECT point_id, max(CASE WHEN year = 2021 THEN round_even(b25, 0) END) AS tmy FROM ({_YS}) s GROUP BY 1) y JOIN (SELECT point_id, round_even(max(temp_c), 1) AS mx FROM hourly GROUP BY 1) h ON y.point_id = h.point_id
+LEFT JOIN weather_cells c ON y.point_id = c.point_id LEFT JOIN weather_points p ON y.point_id = p.point_id
+""")
+def _(t):
+    c = env.climate_summary(t["hourly"], CFG, t["typical_hours"], t["weather_cells"], t["weather_points"])
+    return c.select("point_id", "hours_below_25c_drybulb_tmy", "nsrdb_location_id", "nsrdb_lat", "nsrdb_lon", "nsrdb_elevation_m", "climate_confidence", "climate_source", "max_drybulb_c", "climate_years")
+
+
 view("horizons", """
 SELECT l_orderkey % 50 AS mukey, l_suppkey AS cokey, concat('Soil ', CAST(l_suppkey % 12 AS STRING)) AS compname, concat('MU ', CAST(l_orderkey % 50 AS STRING)) AS muname, 20e0 + l_suppkey % 60 AS comppct_r, l_linenumber * 30e0 AS hzdept_r, l_linenumber * 30e0 + l_quantity AS hzdepb_r,
   5e0 + l_partkey % 80 AS sandtotal_r, 10e0 + l_partkey % 15 AS claytotal_r, CASE WHEN l_returnflag = 'R' THEN NULL ELSE 1.2e0 + l_discount * 5e0 END AS dbthirdbar_r, 15e0 + l_tax * 100e0 AS wthirdbar_r FROM lineitem
@@ -63,9 +79,30 @@ def _(t):
     return env.horizon_depth_weight(t["horizons"], CFG).select("mukey", "cokey", R("lam", 5), R("lam_dry", 5), R("lam_sat", 5), R("sandtotal_r"))
 
 
-@query("soil_rollup")
+view("bedrock", "SELECT p_partkey % 50 AS mukey, CASE WHEN p_size > 45 THEN 'deep' ELSE CAST(p_retailprice AS STRING) END AS brockdepmin FROM part WHERE p_partkey % 50 < 30")
+view("soil_points", "SELECT c_custkey % 200 AS eia_id, min(c_nationkey) = 3 AS geometry_is_point FROM customer GROUP BY 1")
+_MU = "SELECT m.*, t.n, CASE WHEN t.tot > 0 THEN m.a / t.tot ELSE 1e0 / t.n END AS share FROM site_mapunits m JOIN (SELECT eia_id, sum(a) AS tot, count(*) AS n FROM site_mapunits GROUP BY 1) t ON m.eia_id = t.eia_id"
+_HC = f"""SELECT mukey, cokey, compname, min(muname) AS muname, comppct_r, {', '.join(f'sum({v} * w) / sum(w) AS {k}' for k, v in {'lam': '((sat - dry) * (k * sr / (1 + (k - 1) * sr)) + dry)', 'lam_dry': 'dry', 'lam_sat': 'sat', 'sand': 'sandtotal_r', 'clay': 'claytotal_r', 'bd': 'dbthirdbar_r', 'th': 'wthirdbar_r'}.items())} FROM {_LAM} b GROUP BY mukey, cokey, compname, muname, comppct_r"""
+_RESTR = f"SELECT mu.eia_id, r.cokey, mu.share * r.comppct_r / 100 AS s, r.resdept_r, r.reskind FROM ({_MU}) mu JOIN restrictions r ON mu.mukey = r.mukey WHERE coalesce(r.resdept_r, 0) < 200"
+
+
+@query("soil_rollup", f"""
+WITH comp AS (SELECT mu.eia_id, c.*, mu.share * c.comppct_r / 100e0 AS w FROM ({_MU}) mu JOIN ({_HC}) c ON mu.mukey = c.mukey),
+o AS (SELECT eia_id, sum(w) AS tw, {', '.join(f'round_even(sum({v} * w) / sum(w), {d}) AS {k}' for k, v, d in (('soil_lambda_w_mk', 'lam', 3), ('soil_lambda_dry_w_mk', 'lam_dry', 3), ('soil_lambda_sat_w_mk', 'lam_sat', 3), ('soil_sand_pct', 'sand', 1), ('soil_clay_pct', 'clay', 1), ('soil_bulk_density', 'bd', 2), ('soil_theta_fc', 'th', 1)))} FROM comp GROUP BY 1 HAVING sum(w) > 0),
+dom AS (SELECT eia_id, compname || ' (' || CAST(CAST(round_even(m * 100, 0) AS BIGINT) AS VARCHAR) || '%' || ')' AS dominant_soil FROM (SELECT *, row_number() OVER (PARTITION BY eia_id ORDER BY round(m, 12) DESC, compname) AS rn FROM (SELECT eia_id, compname, sum(w) AS m FROM comp GROUP BY 1, 2) n) q WHERE rn = 1),
+dmu AS (SELECT l.eia_id, n.muname AS dominant_mapunit FROM (SELECT *, row_number() OVER (PARTITION BY eia_id ORDER BY share DESC, mukey) AS rn FROM ({_MU}) z) l LEFT JOIN (SELECT mukey, min(muname) AS muname FROM ({_HC}) h GROUP BY 1) n ON l.mukey = n.mukey WHERE rn = 1),
+rs AS (SELECT eia_id, round_even(sum(s), 3) AS restriction_share, min(d) AS restriction_min_depth_cm FROM (SELECT eia_id, cokey, max(s) AS s, min(resdept_r) AS d FROM ({_RESTR}) r0 GROUP BY 1, 2) r1 GROUP BY 1),
+kinds AS (SELECT eia_id, string_agg(DISTINCT reskind, '; ') AS restriction_kinds FROM ({_RESTR}) r2 GROUP BY 1),
+rock AS (SELECT mu.eia_id, min(TRY_CAST(b.brockdepmin AS DOUBLE)) AS bedrock_depth_cm_min FROM ({_MU}) mu JOIN bedrock b ON mu.mukey = b.mukey GROUP BY 1)
+SELECT m.eia_id, m.n AS n_mapunits, o.* EXCLUDE (eia_id, tw), CASE WHEN tw IS NULL THEN NULL ELSE dominant_soil END AS dominant_soil, CASE WHEN tw IS NULL THEN NULL ELSE dominant_mapunit END AS dominant_mapunit,
+  CASE WHEN tw IS NULL THEN NULL ELSE coalesce(restriction_share, 0) END AS restriction_share, CASE WHEN tw IS NULL THEN NULL ELSE restriction_min_depth_cm END AS restriction_min_depth_cm, CASE WHEN tw IS NULL THEN NULL ELSE restriction_kinds END AS restriction_kinds,
+  CASE WHEN tw IS NULL THEN NULL ELSE bedrock_depth_cm_min END AS bedrock_depth_cm_min, CASE WHEN tw IS NULL THEN 'no_soil_data' ELSE 'ok' END AS soil_status, round_even(coalesce(tw, 0), 3) AS soil_data_share,
+  'usda nrcs ssurgo via soil data access; lambda: cote & konrad (2005) at field capacity' AS soil_source, CASE WHEN tw IS NOT NULL AND round_even(tw, 3) >= 0.8 AND NOT coalesce(p.geometry_is_point, true) THEN 'medium' ELSE 'low' END AS soil_confidence
+FROM (SELECT DISTINCT eia_id, n FROM ({_MU}) z2) m LEFT JOIN o ON m.eia_id = o.eia_id LEFT JOIN dom ON m.eia_id = dom.eia_id LEFT JOIN dmu ON m.eia_id = dmu.eia_id LEFT JOIN rs ON m.eia_id = rs.eia_id
+LEFT JOIN kinds ON m.eia_id = kinds.eia_id LEFT JOIN rock ON m.eia_id = rock.eia_id LEFT JOIN soil_points p ON m.eia_id = p.eia_id
+""")
 def _(t):
-    return env.soil_rollup(t["site_mapunits"], env.horizon_depth_weight(t["horizons"], CFG), t["restrictions"], CFG)
+    return env.soil_rollup(t["site_mapunits"], env.horizon_depth_weight(t["horizons"], CFG), t["restrictions"], CFG, t["bedrock"], t["soil_points"])
 
 
 view("tags", "SELECT event_id, concat(CAST(event_id % 400 AS STRING), ' kV; ', CAST(event_id * 100 % 600000 AS STRING), ';x') AS tag, concat(CASE WHEN event_type = 'view' THEN 'US 90; ' ELSE '' END, CASE WHEN value > 20 THEN 'I ' ELSE 'FM ' END, CAST(event_id % 90 AS STRING)) AS ref FROM events")
@@ -147,11 +184,15 @@ def _(t):
     return t["score_rows"].select("eia_id", serve.score_bin(F.col("hours_below_25c_drybulb") / 100.0).alias("score_bin"))
 
 
-@query("caveat_rows", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN firm_it_mw > 30 THEN 'required' ELSE 'applies' END AS status FROM score_rows UNION ALL SELECT CASE WHEN lon < -100 THEN 'required' ELSE 'check' END FROM score_rows UNION ALL SELECT 'applies' FROM score_rows UNION ALL SELECT 'applies' FROM score_rows UNION ALL SELECT 'check' FROM score_rows UNION ALL SELECT CASE WHEN year(cod_first) >= 2019 THEN 'applies' ELSE 'not flagged' END FROM score_rows UNION ALL SELECT 'not flagged' FROM score_rows) u GROUP BY status")
+_CAV = [("Load import capability", "'applies'"), ("SB6 large-load risk", "CASE WHEN firm_it_mw > 30 THEN 'required' ELSE 'applies' END"), ("Mineral estate", "CASE WHEN lon < -100 THEN 'required' ELSE 'check' END"), ("Behind-the-meter configuration", "'applies'"),
+        ("Chapter 313 / JETI abatement", "'check'"), ("Tax-equity consent", "CASE WHEN year(cod_first) >= 2019 THEN 'applies' ELSE 'not flagged' END"), ("ITC recapture window", "'not flagged'")]
+
+
+@query("caveat_rows", " UNION ALL ".join(f"SELECT eia_id, {i} AS n, '{title}' AS title, {status} AS status FROM score_rows" for i, (title, status) in enumerate(_CAV, 1)))
 def _(t):
     df = t["score_rows"].withColumn("region", F.when(F.col("lon") < -100, "west_texas")).withColumn("sb6_review_required", F.col("firm_it_mw") > 30)
     df = df.withColumn("tax_equity_consent_likely", F.year("cod_first") >= 2019).withColumn("itc_recapture_open", F.lit(None).cast("boolean"))
-    return serve.caveats(df).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return serve.caveats(df)
 
 
 @query("metric_labels", """
@@ -176,16 +217,6 @@ def _(t):
     return t["orders"].select("o_orderkey", text.release_from_name(name).alias("release"))
 
 
-@query("order_ranked_then_score", "SELECT eia_id, row_number() OVER (ORDER BY CASE WHEN filter_status = 'pass' THEN 0 ELSE 1 END, hours_below_25c_drybulb DESC, eia_id) AS pos FROM score_rows WHERE filter_status <> 'fail' ORDER BY pos LIMIT 25")
-def _(t):
-    # the ordered report keeps its first 25 rows, which is what it is for
-    df = t["score_rows"].withColumn("rank_overall", F.when(F.col("filter_status") == "pass", 1)).withColumn("score_total", F.col("hours_below_25c_drybulb"))
-    top = serve.wide_export(df).orderBy(F.col("rank_overall").asc_nulls_last(), F.col("score_total").desc(), "eia_id").limit(25)
-    from pyspark.sql import Window
-    w = Window.orderBy(F.col("rank_overall").asc_nulls_last(), F.col("score_total").desc(), "eia_id")
-    return top.select("eia_id", F.row_number().over(w).cast("bigint").alias("pos"))
-
-
 @query("export_wide_join", "SELECT p.eia_id, p.tier, s.metrics_status, l.lat FROM score_rows p JOIN score_rows s ON p.eia_id = s.eia_id JOIN score_rows l ON p.eia_id = l.eia_id WHERE p.filter_status <> 'fail'")
 def _(t):
     w = t["score_rows"]

@@ -122,11 +122,10 @@ def _(t):
     return sc.weighted_rank(scored(t), {"a": 10, "b": 40, "d": 140}, CFG).select("eia_id", "rank_custom")
 
 
-@query("assemble_wide", "SELECT count(*) AS n, count(DISTINCT eia_id) AS ids, sum(CASE WHEN filter_status = 'pass' THEN 1 ELSE 0 END)::BIGINT AS n_pass FROM score_rows WHERE filter_status <> 'fail'")
+@query("assemble_wide", "SELECT eia_id, filter_status, tier, lat FROM score_rows WHERE filter_status <> 'fail'")
 def _(t):
     w = t["score_rows"]
-    out = sc.assemble_wide(w.select("eia_id", "filter_status"), w.select("eia_id", "filter_status", "tier"), w.select("eia_id", "lat"))
-    return out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("eia_id").alias("ids"), F.sum((F.col("filter_status") == "pass").cast("bigint")).alias("n_pass"))
+    return sc.assemble_wide(w.select("eia_id", "filter_status"), w.select("eia_id", F.lit("x").alias("filter_status"), "tier"), w.select("eia_id", "lat"))
 
 
 view("offtake_rows", """

@@ -19,26 +19,90 @@ def domain_violations(df: DataFrame, domains: dict[str, list], required=()) -> D
 
 
 def publish(df: DataFrame, path: str, key: str, run_id: str) -> int:
-    """Write the run beside earlier ones, verify key uniqueness and count, then move the pointer. Readers see the old run
-    until the pointer moves; a failed check leaves them on it."""
+    """Write the run beside earlier ones, verify key uniqueness and count, then add a pointer of its own: pointers are
+    numbered and never overwritten, so at every moment readers find either the old run or the new one."""
     spark = df.sparkSession
     target = f"{path}/run_id={run_id}"
     df.write.mode("overwrite").parquet(target)
-    back = spark.read.parquet(target)
-    n, keys = back.agg(F.count(F.lit(1)), F.countDistinct(key)).first()
+    n, keys = spark.read.parquet(target).agg(F.count(F.lit(1)), F.countDistinct(key)).first()
     if n != keys:
         raise ValueError(f"{path}: {n} rows but {keys} distinct {key} in run {run_id}")
-    spark.createDataFrame([(run_id, n)], "run_id string, n_rows bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}_current")
+    version = max([v for v, _ in pointers(spark, path)], default=0) + 1
+    row = spark.createDataFrame([(run_id, n)], "run_id string, n_rows bigint").coalesce(1)
+    row.write.mode("errorifexists").parquet(f"{path}_pointers/version={version:09d}")
     return n
 
 
+def _status(spark: SparkSession, path: str):
+    """(file system, children) of a folder in any store Spark reads; no children where there is no folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, (list(fs.listStatus(place)) if fs.exists(place) else [])
+
+
+def pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(version, folder) of the complete pointers, ascending: those whose writer has committed."""
+    found = []
+    fs, children = _status(spark, f"{path}_pointers")
+    for child in children:
+        name = child.getPath().getName()
+        if name.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(child.getPath(), "_SUCCESS")):
+            found.append((int(name[len("version="):]), child.getPath().toString()))
+    return sorted(found)
+
+
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the published run; a count that differs from the pointer is an error."""
-    run_id, n = spark.read.parquet(f"{path}_current").first()
-    df = spark.read.parquet(f"{path}/run_id={run_id}").withColumn("run_id", F.lit(run_id))
-    if df.count() != n:
-        raise ValueError(f"{path}: run {run_id} should have {n} rows")
-    return df
+    """Rows of the newest published run. Their count was verified before its pointer was written."""
+    found = pointers(spark, path)
+    if not found:
+        raise FileNotFoundError(f"{path}: nothing is published")
+    run_id = spark.read.parquet(found[-1][1]).first()["run_id"]
+    return spark.read.parquet(f"{path}/run_id={run_id}").withColumn("run_id", F.lit(run_id))
+
+
+def drop_stale_runs(spark: SparkSession, path: str) -> int:
+    """Remove every run but the published one, as a load that replaces earlier rows does."""
+    keep = f"run_id={spark.read.parquet(pointers(spark, path)[-1][1]).first()['run_id']}"
+    fs, children = _status(spark, path)
+    gone = [c.getPath() for c in children if c.getPath().getName() != keep]
+    return sum(bool(fs.delete(p, True)) for p in gone)
+
+
+def plant_rows(plants: DataFrame, columns: list[str], metrics: DataFrame | None = None, metric_columns=()) -> DataFrame:
+    """Pass and review plants in the published columns. Metric columns appear only where metrics are given, and then come
+    from them alone; a wanted column that no table has is null."""
+    p = plants.filter(F.col("filter_status").isin("pass", "review"))
+    wanted = list(columns)
+    if metrics is not None:
+        have = [c for c in metric_columns if c in metrics.columns]
+        p = p.drop(*[c for c in metric_columns if c in p.columns]).join(metrics.select("eia_id", *have), "eia_id", "left")
+        wanted += list(metric_columns)
+    return p.select(*[F.col(c) if c in p.columns else F.lit(None).cast("string").alias(c) for c in wanted])
+
+
+def write_layer(df: DataFrame, root: str, name: str) -> str:
+    """One Parquet table per layer."""
+    path = f"{root}/layers/{name}.parquet"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
+def manifest(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """(name, n_rows, checksum) of stored tables; the checksum does not depend on the order of rows."""
+    rows = []
+    for name in names:
+        t = spark.read.parquet(f"{root}/{name}")
+        rows.append(t.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.xxhash64(*t.columns).cast("decimal(38,0)")).cast("string").alias("checksum")).select(F.lit(name).alias("name"), "n_rows", "checksum"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def changed_since(stored: DataFrame, now: DataFrame) -> DataFrame:
+    """Tables that are missing or differ from a stored manifest."""
+    n = now.withColumnsRenamed({"n_rows": "_n", "checksum": "_c"})
+    return stored.join(n, "name", "left").filter("not (n_rows <=> _n and checksum <=> _c)").select("name")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

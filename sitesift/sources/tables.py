@@ -5,7 +5,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.nulls import blank_to_null, to_number
-from ..functions.text import header_key
+from ..functions.text import class_kv, header_key
 
 
 def find_column(columns, *candidates: str, required: bool = False) -> str | None:
@@ -68,5 +68,58 @@ def day_scan(df: DataFrame, start: str, end: str, resources: DataFrame | None =
     return out.join(resources, "resource_name", "left_semi") if resources is not None else out
 
 
+def hand_table(raw: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """A hand-kept text table in a fixed column order: blanks null, absent columns null, numbers that cannot be read null."""
+    have = set(raw.columns)
+    text = lambda c: blank_to_null(F.col(c).cast("string"))
+    return raw.select(*[((to_number(text(c)) if kind in ("double", "int", "bigint") else text(c)).cast(kind) if c in have else F.lit(None).cast(kind)).alias(c) for c, kind in columns.items()])
+
+
+def union_sheets(sheets: dict[str, DataFrame], key: str, fuel: str, codes: list[str]) -> DataFrame:
+    """Sheets that have the key column, their solar rows, each with the name of its sheet; absent columns null."""
+    parts = [solar_rows(df, F.col(fuel), codes).withColumn("sheet", F.lit(name)) for name, df in sheets.items() if find_column(df.columns, key)]
+    if not parts:
+        raise KeyError(f"no sheet has a column {key}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def latest_snapshot(df: DataFrame, month: str) -> DataFrame:
+    """Rows of the newest month a partitioned table holds; the month is one scalar, so the scan prunes to it."""
+    return df.filter(F.col(month) == df.agg(F.max(month)).scalar())
+
+
+def require_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """Lower-cased names, or an error that names what was found."""
+    out = df.toDF(*[c.lower() for c in df.columns])
+    absent = [c for c in wanted if c not in out.columns]
+    if absent:
+        raise KeyError(f"columns {absent} are missing; found {sorted(out.columns)}")
+    return out
+
+
+def days_to_read_again(needed: DataFrame, recorded: DataFrame, days: DataFrame) -> DataFrame:
+    """All price days where some needed location was never recorded, none otherwise."""
+    absent = needed.select("location").distinct().join(recorded.select("location").distinct(), "location", "left_anti")
+    return days.select("day").distinct().filter(absent.agg(F.count(F.lit(1)) > 0).scalar())
+
+
+def line_source(map_lines: DataFrame, utility: DataFrame | None, label: str, utility_label: str) -> DataFrame:
+    """Lines of the map, or of a utility file that replaces them: kV from its value or class, unknown kV left out, owner as
+    the name."""
+    if utility is None:
+        return map_lines.withColumn("source", F.lit(label))
+    return (utility.select("line_id", F.col("owner").alias("name"), class_kv(F.col("voltage"), F.col("volt_class")).alias("kv"))
+            .filter("kv is not null").withColumn("source", F.lit(utility_label)))
+
+
+def payload_rows(payloads: DataFrame, column: str, schema: str, field: str) -> DataFrame:
+    """Stored JSON answers, one row per element of a list inside; answers that cannot be read give no row."""
+    keep = [c for c in payloads.columns if c != column]
+    return payloads.select(*keep, F.explode(F.from_json(column, schema)[field]).alias("_e")).select(*keep, "_e.*")
+
+
 def solar_rows(df: DataFrame, fuel: Column, codes: list[str]) -> DataFrame:
     return df.filter(F.upper(fuel).rlike("|".join(codes)))
