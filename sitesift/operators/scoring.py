@@ -78,7 +78,9 @@ def metric_points(df: DataFrame, comp: str, cfg: dict, step: float = 0.001) -> C
         return band(value, spec["fixed"])
     names = {f"q{int(p * 100)}": p for p, _ in spec["quantile"]}
     cuts = quantile_row(df.filter("metrics_status = 'ok'"), spec["metric"], names, step)
-    return quantile_band(value, [cuts.select(n).scalar() for n in names], spec)
+    # one scalar for all cuts of a metric: the quantiles are computed once
+    points = cuts.select(F.struct(*names).alias("cuts")).scalar()
+    return quantile_band(value, [points[n] for n in names], spec)
 
 
 def cf_benchmark(df: DataFrame, cfg: dict) -> DataFrame:
@@ -195,7 +197,7 @@ def ranks(df: DataFrame, value: str, overall: str, in_tier: str) -> DataFrame:
     of one point carry the totals above them, so no task orders the whole fleet."""
     r = df.filter("_ranked").select(F.round(value, 9).alias("_v"), F.col("tier").alias("_t"))
     cnt = r.groupBy("_t", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    out = df.withColumn("_v", F.when(F.col("_ranked"), F.round(value, 9)))
+    out = df.filter("_ranked").withColumn("_v", F.round(value, 9))
     for name, by in ((overall, []), (in_tier, ["_t"])):
         per = cnt.groupBy(*by, "_v").agg(F.sum("_c").alias("_c")).withColumn("_b", F.floor("_v"))
         bins = per.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
@@ -207,7 +209,8 @@ def ranks(df: DataFrame, value: str, overall: str, in_tier: str) -> DataFrame:
             out = out.join(placed.filter("_t is not null").withColumnRenamed("_t", "tier"), ["tier", "_v"], "left")
         else:
             out = out.join(placed, "_v", "left")
-    return out.drop("_v")
+    # rows without a rank keep out of the joins: they would all meet under one null key
+    return out.drop("_v").unionByName(df.filter("not _ranked"), allowMissingColumns=True)
 
 
 def reweight(df: DataFrame, weights: dict, cfg: dict, out: str = "score_custom") -> DataFrame:

@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.calendar import days_in_month, localize
 from ..functions.text import month_label
 from ..functions.nulls import blank_to_null, ratio, sum_or_zero, to_number
+from ..session import cut_lineage
 
 MINUTE_US = 60_000_000
 INTERVAL_US = 15 * MINUTE_US
-# one price series has one row per quarter hour: this bound is more than twenty years of them
-HUB_ROWS_BOUND = 750_000
 SUMS = ["gen_mwh", "hsl_mwh", "curtailed_mwh", "gen_priced_mwh", "rev_node", "rev_hub", "hsl_priced_mwh", "rev_node_pot",
         "rev_hub_pot", "hub_sum", "hub_n"]
 
@@ -52,8 +51,10 @@ def resource_summary(raw: DataFrame, cfg: dict, ordinal: str = "ordinal") -> Dat
 def dispatch_hours(tel: DataFrame, cfg: dict) -> DataFrame:
     """Adds hours: time to the resource's next run of the same day; none, zero or too far → the default length."""
     m = cfg["market"]
+    if m["slice_minutes"] <= 0 or m["slice_minutes"] % 15:
+        raise ValueError("slice_minutes must be a multiple of 15, so that no quarter hour lies in two slices")
     reach = m["max_interval_minutes"] * MINUTE_US
-    width = max(m["slice_minutes"], m["max_interval_minutes"]) * MINUTE_US
+    width = -(-max(m["slice_minutes"], m["max_interval_minutes"]) // 15) * INTERVAL_US
     us = F.unix_micros("utc")
     cell = F.floor(us / width)
     here = F.struct(cell.alias("cell"), F.lit(False).alias("after"))
@@ -86,25 +87,37 @@ def interval_energy(tel: DataFrame, cfg: dict) -> DataFrame:
 
 
 def first_prices(prices: DataFrame) -> DataFrame:
-    """One price per location and interval: the first row wins (lowest ordinal, else lowest price)."""
+    """One price per location and interval: the first row stands, even if its price is null. Rows carry their place in
+    `ordinal`; a table without it has no first row, there the lowest price stands."""
     pick = F.min_by("spp", "ordinal") if "ordinal" in prices.columns else F.min("spp")
-    return (prices.filter("spp is not null")
-            .groupBy("location", "interval_start").agg(pick.alias("spp")))
+    return prices.groupBy("location", "interval_start").agg(pick.alias("spp"))
 
 
 def crosswalk_units(xwalk: DataFrame) -> DataFrame:
-    """Plant, resource, node of the rows that name a resource."""
+    """Plant, resource, node of the rows that name a resource. A row that stands there twice counts once: its unit's
+    energy and hours are not doubled (`duplicate_units` lists such rows for correction)."""
     return (xwalk.select(F.col("eia_plant_id").cast("bigint").alias("eia_id"),
                          blank_to_null(F.col("ercot_resource_name")).alias("resource_name"),
                          blank_to_null(F.col("ercot_settlement_point")).alias("settlement_point"))
-            .filter("resource_name is not null"))
+            .filter("resource_name is not null").distinct())
+
+
+def duplicate_units(xwalk: DataFrame) -> DataFrame:
+    """(eia_id, resource_name, n_rows) of units that a plant's crosswalk rows name more than once."""
+    return (xwalk.select(F.col("eia_plant_id").cast("bigint").alias("eia_id"), blank_to_null(F.col("ercot_resource_name")).alias("resource_name"))
+            .filter("resource_name is not null").groupBy("eia_id", "resource_name").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1"))
+
+
+def of_units(tel: DataFrame, xwalk: DataFrame) -> DataFrame:
+    """Telemetry of the crosswalk's resources alone. It stands before the shuffle of the dispatch lengths: a resource's rows
+    never depend on another's."""
+    return tel.join(crosswalk_units(xwalk).select("resource_name").distinct(), "resource_name", "left_semi")
 
 
 def priced_intervals(sced15: DataFrame, prices: DataFrame, xwalk: DataFrame, cfg: dict) -> DataFrame:
-    """Intervals of crosswalk units with their node price and the hub price. Units outside the crosswalk fall away in the
-    first join; the hub series is broadcast only after counting it."""
+    """Intervals of crosswalk units with their node price and the hub price. Prices are reduced once, for node and hub."""
     hub_name = cfg["market"]["hub"]
-    one = first_prices(prices)
+    one = cut_lineage(first_prices(prices), "prices")
     node = one.select(F.col("location").alias("settlement_point"), "interval_start", F.col("spp").alias("node"))
     hub = one.filter(F.col("location") == hub_name).select("interval_start", F.col("spp").alias("hub"))
     return (sced15.join(crosswalk_units(xwalk), "resource_name")
@@ -227,8 +240,8 @@ def verified_only(xwalk: DataFrame) -> DataFrame:
 
 
 def market_metrics(sced15: DataFrame, prices: DataFrame, xwalk: DataFrame, cfg: dict) -> tuple[DataFrame, DataFrame]:
-    """(plant months, plant summary) from the verified crosswalk rows alone."""
-    x = verified_only(xwalk)
+    """(plant months, plant summary) from the verified crosswalk rows alone, which are found once."""
+    x = cut_lineage(verified_only(xwalk), "verified")
     capacity = plant_capacity(x)
     monthly = plant_monthly(unit_monthly(sced15, prices, x, cfg), capacity)
     return monthly, plant_summary(monthly, x, capacity, cfg)
@@ -247,3 +260,10 @@ def wanted_locations(xwalk: DataFrame, cfg: dict) -> DataFrame:
     fixed = spark.createDataFrame([(n,) for n in [cfg["market"]["hub"], *cfg["market"]["extra_locations"]]], "location string")
     nodes = xwalk.select(blank_to_null(F.col("ercot_settlement_point")).alias("location")).filter("location is not null")
     return nodes.union(fixed).distinct()
+
+
+def locations_to_fetch(xwalk: DataFrame, recorded: DataFrame, cfg: dict) -> DataFrame:
+    """Wanted price locations that are not recorded. Both sides are counted per location and met in one grouping, so the
+    plan stays a hash aggregation whatever constants the inputs hold."""
+    sides = wanted_locations(xwalk, cfg).withColumn("_w", F.lit(1)).unionByName(recorded.select("location", F.lit(0).alias("_w")))
+    return sides.groupBy("location").agg(F.min("_w").alias("_w")).filter("_w = 1").select("location")

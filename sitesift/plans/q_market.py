@@ -98,8 +98,20 @@ def xwalk(t):
     return st.verified_only(t["unit_crosswalk"])
 
 
+def unit_energy(t):
+    return st.interval_energy(st.of_units(tel(t), xwalk(t)), CFG)
+
+
 def metrics(t):
-    return st.market_metrics(sced15(t), prices(t), t["unit_crosswalk"], CFG)
+    return st.market_metrics(unit_energy(t), prices(t), t["unit_crosswalk"], CFG)
+
+
+view("doubled_crosswalk", "SELECT * FROM unit_crosswalk UNION ALL SELECT * FROM unit_crosswalk WHERE eia_plant_id % 3 = 0")
+
+
+@query("duplicate_units", "SELECT eia_plant_id AS eia_id, ercot_resource_name AS resource_name, count(*) AS n_rows FROM doubled_crosswalk WHERE trim(ercot_resource_name) <> '' GROUP BY 1, 2 HAVING count(*) > 1")
+def _(t):
+    return st.duplicate_units(t["doubled_crosswalk"])
 
 
 STAMP = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
@@ -141,7 +153,7 @@ LEFT JOIN ({_PRICE}) n ON n.location = x.sp AND n.interval_start = s.interval_st
 LEFT JOIN ({_PRICE}) h ON h.location = 'HB_HUBAVG' AND h.interval_start = s.interval_start
 """)
 def _(t):
-    p = st.priced_intervals(sced15(t), prices(t), xwalk(t), CFG)
+    p = st.priced_intervals(unit_energy(t), prices(t), xwalk(t), CFG)
     return p.select("eia_id", "resource_name", STAMP("interval_start").alias("interval_start"), "node", "hub")
 
 
@@ -153,7 +165,7 @@ SELECT eia_id, resource_name, settlement_point, month, {', '.join(f'round({c}, 4
        round(peak_hsl_mw, 6) AS peak_hsl_mw, gen_priced_mwh > 0 AS node_priced FROM ({_UNITS}) u
 """)
 def _(t):
-    u = st.unit_monthly(sced15(t), prices(t), xwalk(t), CFG)
+    u = st.unit_monthly(unit_energy(t), prices(t), xwalk(t), CFG)
     return u.select("eia_id", "resource_name", "settlement_point", "month", *[R(c, 4) for c in _UR], "hub_n", R("hours"), "days", R("peak_hsl_mw"), "node_priced")
 
 
@@ -266,7 +278,7 @@ WHERE location NOT IN (SELECT location FROM price_rows WHERE spp < 0.5e0)
 """)
 def _(t):
     recorded = t["price_rows"].filter("spp < 0.5e0").select("location")
-    return st.wanted_locations(t["unit_crosswalk"], CFG).subtract(recorded)
+    return st.locations_to_fetch(t["unit_crosswalk"], recorded, CFG)
 
 
 view("wall_clocks", """

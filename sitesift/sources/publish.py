@@ -27,7 +27,8 @@ def publish(df: DataFrame, path: str, key: str, run_id: str) -> int:
     n, keys = spark.read.parquet(target).agg(F.count(F.lit(1)), F.countDistinct(key)).first()
     if n != keys:
         raise ValueError(f"{path}: {n} rows but {keys} distinct {key} in run {run_id}")
-    version = max([v for v, _ in pointers(spark, path)], default=0) + 1
+    taken = [c.getPath().getName() for c in _status(spark, f"{path}_pointers")[1]]  # half-written ones of a lost driver too
+    version = max([int(c[len("version="):]) for c in taken if c.startswith("version=")], default=0) + 1
     row = spark.createDataFrame([(run_id, n)], "run_id string, n_rows bigint").coalesce(1)
     row.write.mode("errorifexists").parquet(f"{path}_pointers/version={version:09d}")
     return n

@@ -1,17 +1,45 @@
-"""New day files → 15-minute energy, replaced day by day."""
+"""New telemetry files → stored rows by day → 15-minute energy, re-settled for the days that changed."""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.settlement import interval_energy, pv_telemetry
 
+SPREAD = 16  # writers of one day: a day is never one task's work
+
+
+def stored_rows(spark: SparkSession, raw: str, schema) -> DataFrame:
+    """All rows received so far; of a resource and instant only those of the latest batch that brought it."""
+    rows = spark.read.schema(schema).parquet(raw)
+    newest = rows.groupBy("resource_name", "utc").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["resource_name", "utc", "batch"], "left_semi")
+
 
 def settle_days(spark: SparkSession, source: str, schema, out: str, checkpoint: str, cfg: dict):
-    """File stream of whole operating days. Each batch re-settles the days it brings and overwrites just those partitions,
-    so a day delivered again replaces itself and an interrupted batch is simply replayed."""
-    def settle(batch: DataFrame, _epoch: int) -> None:
-        energy = interval_energy(pv_telemetry(batch, cfg), cfg)
-        (energy.repartition("operating_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("operating_day").parquet(out))
+    """File stream of telemetry. A batch's rows are stored under its number, so a replayed batch overwrites only itself; then
+    every day in which it brought a row that was not there before is settled again from all stored rows of the day. Files of
+    one day may so arrive in any number of batches, a corrected row replaces the earlier one, and days that a file repeats
+    unchanged are left alone."""
+    raw = f"{out.rstrip('/')}_rows"
+
+    def settle(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        rows = pv_telemetry(batch, cfg).withColumn("operating_day", F.to_date("operating_day"))
+        parts = ["operating_day", "batch"]
+        (rows.withColumn("batch", F.lit(number).cast("long")).repartition("operating_day", F.pmod(F.xxhash64("resource_name"), F.lit(SPREAD)))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(raw))
+        kept = rows.schema.add("batch", "long")
+        stored = session.read.schema(kept).parquet(raw)
+        mine, earlier = (stored.filter(f"batch {op} {int(number)}").drop("batch") for op in ("=", "<"))
+        same = [mine[c].eqNullSafe(F.col(f"_{c}")) for c in mine.columns]
+        known = earlier.select(*[F.col(c).alias(f"_{c}") for c in earlier.columns]).distinct()
+        test = same[0]
+        for s in same[1:]:
+            test = test & s
+        changed = mine.join(known, test, "left_anti").select("operating_day").distinct()
+        whole = stored_rows(session, raw, kept).join(changed, "operating_day", "left_semi").drop("batch")
+        energy = interval_energy(whole, cfg)
+        (energy.repartition("operating_day", F.pmod(F.xxhash64("resource_name"), F.lit(SPREAD))).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("operating_day").parquet(out))
 
     return (spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(settle)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

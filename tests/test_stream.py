@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sitesift.config import config
 from sitesift.operators.settlement import interval_energy, pv_telemetry
-from sitesift.sources.publish import current, publish
+from sitesift.sources.publish import changed_since, current, drop_stale_runs, manifest, pointers, publish, write_layer
 from sitesift.streaming.settlement_stream import settle_days
 from tests.test_market import runs
 
@@ -23,6 +23,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert pick(spark.read.parquet(out)) == pick(want)
 
 
+def test_one_day_in_two_triggers(spark, tmp_path):
+    """Noon rows in one batch, later rows in the next, then a correction and a repeat: always what one batch of all gives."""
+    cfg = config()
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    part = lambda hour, tno, unit="S": runs(spark, unit, tno, stamps=[f"07/15/2026 {hour}:{m:02d}:00" for m in range(0, 60, 5)])
+    pick = lambda df: sorted((r[0], str(r[1]), round(r[2], 6)) for r in df.select("resource_name", "interval_start", "gen_mwh").collect())
+    send = lambda df: (df.coalesce(1).write.mode("append").parquet(src), settle_days(spark, src, df.schema, out, ck, cfg).awaitTermination(90))
+    batch = lambda df: interval_energy(pv_telemetry(df, cfg), cfg)
+    send(part("12", 80.0))
+    send(part("15", 80.0).union(part("12", 10.0, "T")))
+    assert pick(spark.read.parquet(out)) == pick(batch(part("12", 80.0).union(part("15", 80.0)).union(part("12", 10.0, "T"))))
+    send(part("12", 50.0))
+    want = pick(batch(part("12", 50.0).union(part("15", 80.0)).union(part("12", 10.0, "T"))))
+    assert pick(spark.read.parquet(out)) == want
+    files = lambda: sorted(p.name for p in (tmp_path / "out").rglob("part-*"))
+    before = files()
+    send(part("15", 80.0))
+    assert pick(spark.read.parquet(out)) == want and files() == before
+
+
 def test_publish_moves_only_after_the_check(spark, tmp_path):
     path = str(tmp_path / "t")
     publish(spark.range(5), path, "id", "r1")
@@ -33,3 +53,19 @@ def test_publish_moves_only_after_the_check(spark, tmp_path):
         pass
     df = current(spark, path)
     assert df.count() == 5 and df.first().run_id == "r1"
+    publish(spark.range(3), path, "id", "r3")
+    assert current(spark, path).count() == 3 and [v for v, _ in pointers(spark, path)] == [1, 2]
+    spark.range(1).write.parquet(f"{path}_pointers/version=000000009")
+    (tmp_path / "t_pointers" / "version=000000009" / "_SUCCESS").unlink()
+    assert current(spark, path).count() == 3
+    assert drop_stale_runs(spark, path) >= 1 and current(spark, path).count() == 3
+
+
+def test_manifest_tells_what_changed(spark, tmp_path):
+    root = str(tmp_path)
+    write_layer(spark.range(4), root, "a"), write_layer(spark.range(2), root, "b")
+    stored = manifest(spark, root, ["layers/a.parquet", "layers/b.parquet"]).collect()
+    stored = spark.createDataFrame(stored)
+    write_layer(spark.range(1, 5), root, "a")
+    now = manifest(spark, root, ["layers/a.parquet", "layers/b.parquet"])
+    assert [r.name for r in changed_since(stored, now).collect()] == ["layers/a.parquet"]
