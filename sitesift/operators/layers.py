@@ -11,8 +11,8 @@ from ..functions import geo
 from ..functions.bands import band
 from ..functions.nulls import is_true, one_of, to_number
 from ..functions.text import label_map
+from ..session import cut_lineage
 from . import proximity as px
-from .quantiles import group_quantiles
 from .rollup import latest_per_key
 
 
@@ -228,10 +228,12 @@ def fiber_at_site(nearest_mi: Column, cfg: dict) -> Column:
 def coverage(ids: DataFrame, sites: DataFrame, cells: DataFrame, centres: DataFrame, cfg: dict, source: str, release: str | None,
              fetched: str) -> DataFrame:
     c = cfg["layers"]["fiber_bdc"]
-    pts = coverage_cell_points(cells, centres)
+    cells = cut_lineage(cells, "cells")  # reduced once, read for the points and for the brands
+    pts = cut_lineage(coverage_cell_points(cells, centres), "points")
     near = _nearest(ids, sites, pts, c["search_radius_mi"], "h3", {"brands": "bdc_nearest_brands"}, "bdc_fiber_nearest_mi", cfg, True)
     hits = px.within_features(sites, pts.select("h3", "max_down", "max_up", "business", "x1", "y1", "x2", "y2"),
                               c["near_miles"] * _mi(cfg), "h3")
+    hits = cut_lineage(hits, "near")
     agg = hits.groupBy("eia_id").agg(F.count(F.lit(1)).alias("cells"), F.max("max_down").alias("bdc_max_down_mbps_near"),
                                      F.max("max_up").alias("bdc_max_up_mbps_near"), F.max("business").alias("biz"))
     served = hits.select("eia_id", "h3").join(cells.select("h3", "provider_id", "brand"), "h3")
@@ -280,23 +282,38 @@ def water_levels(sdr_wells: DataFrame, sdr_levels: DataFrame, gwdb_wells: DataFr
     return a.unionByName(b).filter("depth_ft >= 0")
 
 
+def majority_labels(df: DataFrame, key: str, labels: dict[str, str]) -> DataFrame:
+    """Most common non-blank label per key (lowest on ties) for several label columns at once, counted per label before
+    the key is gathered. labels: column → name of the result."""
+    items = F.array(*[F.struct(F.lit(out).alias("kind"), F.col(c).alias("label")) for c, out in labels.items()])
+    n = (df.select(key, F.explode(items).alias("_i")).filter(F.trim("_i.label") != "")
+         .groupBy(key, F.col("_i.kind").alias("_kind"), F.col("_i.label").alias("_label")).agg(F.count(F.lit(1)).alias("_n")))
+    best = lambda out: F.min_by("_label", F.when(F.col("_kind") == out, F.struct(-F.col("_n"), F.col("_label")))).alias(out)
+    return n.groupBy(key).agg(*[best(out) for out in labels.values()])
+
+
 def majority_label(df: DataFrame, key: str, label: str, out: str) -> DataFrame:
-    """Most common non-blank label per key (lowest on ties), counted per label before the key is gathered."""
-    n = (df.filter(F.trim(F.col(label)) != "").groupBy(key, label).agg(F.count(F.lit(1)).alias("_n")))
-    return n.groupBy(key).agg(F.min_by(label, F.struct(-F.col("_n"), F.col(label))).alias(out))
+    return majority_labels(df, key, {label: out})
 
 
-def source_counts(df: DataFrame, key: str, label: str, out: str) -> DataFrame:
-    """'gwdb 2; sdr 3': counts per label in label order; the labels are the sources, a handful."""
-    per = df.groupBy(key, label).agg(F.count(F.lit(1)).alias("_n"))
-    items = F.array_sort(F.collect_list(F.struct(label, "_n")))
-    return per.groupBy(key).agg(F.array_join(F.transform(items, lambda s: F.concat_ws(" ", s[label], s["_n"].cast("string"))), "; ").alias(out))
+# The sources of water levels, in the order in which they are listed.
+LEVEL_SOURCES = ("gwdb", "sdr")
 
 
-def _chosen(pairs: DataFrame, need: int, c: dict, cfg: dict) -> tuple[DataFrame, DataFrame]:
-    radius = px.adaptive_radius(pairs, c["search_radii_mi"], need, _mi(cfg))
-    picked = pairs.join(radius.filter("radius_mi is not null"), "eia_id").filter(F.col("d") / _mi(cfg) <= F.col("radius_mi"))
-    return radius, picked
+def _first_radius(pairs: DataFrame, need: int, c: dict, cfg: dict, figures) -> DataFrame:
+    """Per site: the first radius that holds `need` pairs, how many there are, and the figures over them. The pairs are
+    grouped once: every figure is computed for each radius (a few) and the wanted one is kept. `figures(inside)` gives
+    name → aggregate over rows for which the condition holds; a site's pairs within the largest radius are few, so exact
+    percentiles fit in its group."""
+    radii = c["search_radii_mi"]
+    inside = [F.col("d") / _mi(cfg) <= r for r in radii]
+    each = [figures(i) for i in inside]
+    n = [F.count_if(i) for i in inside]
+    got = pairs.groupBy("eia_id").agg(*[x.alias(f"_n{k}") for k, x in enumerate(n)], *[x.alias(f"_{name}_{k}") for k, f in enumerate(each) for name, x in f.items()])
+    first = lambda of: F.coalesce(*[F.when(F.col(f"_n{k}") >= need, F.struct(of(k).alias("v"))) for k in range(len(radii))])["v"]
+    names = list(each[0])
+    return got.select("eia_id", first(lambda k: F.lit(float(radii[k]))).alias("radius_mi"), F.coalesce(first(lambda k: F.col(f"_n{k}")), F.col(f"_n{len(radii) - 1}")).alias("n"),
+                      *[first(lambda k, m=m: F.col(f"_{m}_{k}")).alias(m) for m in names])
 
 
 def log_layer(ids: DataFrame, sites: DataFrame, wells: DataFrame, lith: DataFrame, cfg: dict) -> DataFrame:
@@ -305,34 +322,34 @@ def log_layer(ids: DataFrame, sites: DataFrame, wells: DataFrame, lith: DataFram
     logs = px.feature_points(wells.select("id", "lat", "lon").join(log_metrics(lith, cfg), "id"))
     logs = logs.select("id", "log_depth_ft", "hard_ft", "caliche_ft", "gypsum_ft", "rock_ft", "lost", "x1", "y1", "x2", "y2")
     pairs = px.within_features(sites, logs, max(c["search_radii_mi"]) * _mi(cfg), "id")
-    radius, sel = _chosen(pairs, c["min_logs"], c, cfg)
-    share = lambda cond: F.round(F.avg(cond.cast("double")), 3)
     thick = c["thick_layer_ft"]
-    shares = sel.groupBy("eia_id").agg(
-        F.count(F.lit(1)).alias("n_sel"), share(F.col("hard_ft") >= thick).alias("thick_hard_layer_share"),
-        share(F.col("caliche_ft") > 0).alias("caliche_log_share"), share(F.col("gypsum_ft") > 0).alias("gypsum_log_share"),
-        share(F.col("rock_ft") >= thick).alias("hard_rock_log_share"), share(F.col("lost")).alias("lost_circulation_log_share"))
-    hard = group_quantiles(sel, ["eia_id"], "hard_ft", {"hard_layer_ft_median": 0.5, "hard_layer_ft_p90": 0.9}, 1.0)
-    depth = group_quantiles(sel, ["eia_id"], "log_depth_ft", {"median_log_depth_ft": 0.5}, 1.0)
-    out = ids.select("eia_id")
-    for part in (radius, shares, hard, depth):
-        out = out.join(part, "eia_id", "left")
-    return (out.withColumn("n_logs", F.coalesce("n_sel", "n_far", F.lit(0))).withColumnRenamed("radius_mi", "logs_radius_mi")
-            .drop("n_sel", "n_far"))
+
+    def figures(inside):
+        share = lambda cond: F.bround(F.avg(F.when(inside, cond.cast("double"))), 3)
+        at = lambda v, p: F.percentile(F.when(inside, F.col(v)), F.lit(p))
+        return {"thick_hard_layer_share": share(F.col("hard_ft") >= thick), "caliche_log_share": share(F.col("caliche_ft") > 0), "gypsum_log_share": share(F.col("gypsum_ft") > 0),
+                "hard_rock_log_share": share(F.col("rock_ft") >= thick), "lost_circulation_log_share": share(F.col("lost")),
+                "hard_layer_ft_median": at("hard_ft", 0.5), "hard_layer_ft_p90": at("hard_ft", 0.9), "median_log_depth_ft": at("log_depth_ft", 0.5)}
+
+    out = ids.select("eia_id").join(_first_radius(pairs, c["min_logs"], c, cfg, figures), "eia_id", "left")
+    return out.withColumn("n_logs", F.coalesce("n", F.lit(0))).withColumnRenamed("radius_mi", "logs_radius_mi").drop("n")
 
 
 def level_layer(ids: DataFrame, sites: DataFrame, levels: DataFrame, cfg: dict) -> DataFrame:
+    """Depth to water over the first radius that holds enough levels, and which sources they come from."""
     c = cfg["layers"]["wells"]
     pts = px.feature_points(levels).select("level_id", "depth_ft", "year", "src", "x1", "y1", "x2", "y2")
     pairs = px.within_features(sites, pts, max(c["search_radii_mi"]) * _mi(cfg), "level_id")
-    radius, sel = _chosen(pairs, c["min_levels"], c, cfg)
-    n = sel.groupBy("eia_id").agg(F.count(F.lit(1)).alias("n_sel"), F.max("year").cast("bigint").alias("latest_water_level_year"))
-    q = group_quantiles(sel, ["eia_id"], "depth_ft", {"depth_to_water_ft": 0.5, "depth_to_water_ft_p25": 0.25, "depth_to_water_ft_p75": 0.75}, 1.0)
-    out = ids.select("eia_id")
-    for part in (radius, n, q, source_counts(sel, "eia_id", "src", "water_level_sources")):
-        out = out.join(part, "eia_id", "left")
-    return (out.withColumn("n_water_levels", F.coalesce("n_sel", "n_far", F.lit(0))).withColumnRenamed("radius_mi", "water_radius_mi")
-            .drop("n_sel", "n_far"))
+
+    def figures(inside):
+        at = lambda p: F.percentile(F.when(inside, F.col("depth_ft")), F.lit(p))
+        sources = [(s, F.count_if(inside & (F.col("src") == s))) for s in LEVEL_SOURCES]
+        listed = F.concat_ws("; ", *[F.when(n > 0, F.concat_ws(" ", F.lit(s), n.cast("string"))) for s, n in sources])
+        return {"latest_water_level_year": F.max(F.when(inside, F.col("year"))).cast("bigint"), "depth_to_water_ft": at(0.5), "depth_to_water_ft_p25": at(0.25), "depth_to_water_ft_p75": at(0.75),
+                "water_level_sources": listed}
+
+    out = ids.select("eia_id").join(_first_radius(pairs, c["min_levels"], c, cfg, figures), "eia_id", "left")
+    return out.withColumn("n_water_levels", F.coalesce("n", F.lit(0))).withColumnRenamed("radius_mi", "water_radius_mi").drop("n")
 
 
 def wells_layer(ids: DataFrame, sites: DataFrame, src: dict[str, DataFrame], cfg: dict, fetched: str) -> DataFrame:
@@ -346,8 +363,7 @@ def wells_layer(ids: DataFrame, sites: DataFrame, src: dict[str, DataFrame], cfg
     n_bores = px.within_features(sites, bores, far, "id").groupBy("eia_id").agg(F.count(F.lit(1)).alias("_nb"))
     around = px.within_features(sites, px.feature_points(gw).select("swn", "aquifer", "gcd", "x1", "y1", "x2", "y2"), far, "swn")
     out = ids.select("eia_id", "geometry_is_point").join(logs, "eia_id").join(levels, "eia_id").join(n_bores, "eia_id", "left")
-    out = (out.join(majority_label(around, "eia_id", "aquifer", "aquifer_majority"), "eia_id", "left")
-           .join(majority_label(around, "eia_id", "gcd", "gcd_majority"), "eia_id", "left")
+    out = (out.join(majority_labels(around, "eia_id", {"aquifer": "aquifer_majority", "gcd": "gcd_majority"}), "eia_id", "left")
            .withColumn("n_geothermal_bores", F.coalesce("_nb", F.lit(0))).drop("_nb"))
     sure = is_true(F.col("logs_radius_mi") == c["search_radii_mi"][0]) & ~F.col("geometry_is_point")
     return provenance(out, "wells", "twdb sdr (driller logs, levels) + gwdb (levels, aquifer, gcd)", fetched, None,

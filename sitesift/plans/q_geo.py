@@ -547,17 +547,21 @@ def _pick(src, need, ident):
 _FAR = lambda src: f"SELECT eia_id, count(*) AS n FROM (SELECT eia_id, {_DPT} / {MI} AS mi FROM site_geo, ({src}) f) q WHERE mi <= 10 GROUP BY eia_id"
 
 
-@query("share_and_percentiles", f"""
+_SHARE = lambda cond: f"round_even(avg(CASE WHEN {cond} THEN 1e0 ELSE 0 END), 3)"
+_LOGS = f"""
 SELECT s.eia_id, CAST(coalesce(a.n, f.n, 0) AS BIGINT) AS n_logs, a.radius_mi AS logs_radius_mi, a.thick AS thick_hard_layer_share, round(a.med, 4) AS hard_layer_ft_median, round(a.p90, 4) AS hard_layer_ft_p90,
-  a.cal AS caliche_log_share, a.lost AS lost_circulation_log_share, round(a.dep, 4) AS median_log_depth_ft
-FROM site_geo s LEFT JOIN ({_FAR(_LOGXY)}) f ON s.eia_id = f.eia_id LEFT JOIN (SELECT eia_id, max(radius_mi) AS radius_mi, count(*) AS n, round(avg(CASE WHEN hard_ft >= 20 THEN 1e0 ELSE 0 END), 3) AS thick,
-  quantile_cont(hard_ft, 0.5) AS med, quantile_cont(hard_ft, 0.9) AS p90, round(avg(CASE WHEN caliche_ft > 0 THEN 1e0 ELSE 0 END), 3) AS cal, round(avg(CASE WHEN lost THEN 1e0 ELSE 0 END), 3) AS lost,
+  a.cal AS caliche_log_share, a.gyp AS gypsum_log_share, a.rock AS hard_rock_log_share, a.lost AS lost_circulation_log_share, round(a.dep, 4) AS median_log_depth_ft
+FROM site_geo s LEFT JOIN ({_FAR(_LOGXY)}) f ON s.eia_id = f.eia_id LEFT JOIN (SELECT eia_id, max(radius_mi) AS radius_mi, count(*) AS n, {_SHARE('hard_ft >= 20')} AS thick,
+  quantile_cont(hard_ft, 0.5) AS med, quantile_cont(hard_ft, 0.9) AS p90, {_SHARE('caliche_ft > 0')} AS cal, {_SHARE('gypsum_ft > 0')} AS gyp, {_SHARE('rock_ft >= 20')} AS rock, {_SHARE('lost')} AS lost,
   quantile_cont(log_depth_ft, 0.5) AS dep FROM ({_pick(_LOGXY, 5, 'id')}) p GROUP BY eia_id) a ON s.eia_id = a.eia_id
-""")
+"""
+_LOG_OUT = ["n_logs", "logs_radius_mi", "thick_hard_layer_share", "caliche_log_share", "gypsum_log_share", "hard_rock_log_share", "lost_circulation_log_share"]
+
+
+@query("share_and_percentiles", _LOGS)
 def _(t):
     out = ly.log_layer(ids(t), points(t), t["sdr_wells"], t["sdr_lithology"], WCFG)
-    return out.select("eia_id", "n_logs", "logs_radius_mi", "thick_hard_layer_share", R("hard_layer_ft_median"), R("hard_layer_ft_p90"), "caliche_log_share",
-                      "lost_circulation_log_share", R("median_log_depth_ft"))
+    return out.select("eia_id", *_LOG_OUT, R("hard_layer_ft_median"), R("hard_layer_ft_p90"), R("median_log_depth_ft"))
 
 
 _LVL = f"""
@@ -591,9 +595,21 @@ def _(t):
     return ly.majority_label(around, "eia_id", "aquifer", "aquifer_majority")
 
 
-@query("wells_layer")
+_NEAR_WELL = lambda cols, src: f"SELECT eia_id, {cols}, {_DPT} / {MI} AS mi FROM site_geo, ({with_xy(src, x='fx', y='fy')}) f"
+_MAJOR = lambda c: f"SELECT eia_id, v FROM (SELECT eia_id, {c} AS v, row_number() OVER (PARTITION BY eia_id ORDER BY count(*) DESC, {c}) AS rn FROM ({_NEAR_WELL('aquifer, gcd', 'SELECT * FROM gwdb_wells')}) w WHERE mi <= 10 AND trim({c}) <> '' GROUP BY eia_id, {c}) r WHERE rn = 1"
+
+
+@query("wells_layer", f"""
+SELECT g.*, v.* EXCLUDE (eia_id), CAST(coalesce(b.n, 0) AS BIGINT) AS n_geothermal_bores, aq.v AS aquifer_majority, gc.v AS gcd_majority, 'twdb sdr (driller logs, levels) + gwdb (levels, aquifer, gcd)' AS wells_source,
+  '2026-10-05' AS wells_fetched, CASE WHEN coalesce(g.logs_radius_mi = 3, false) AND NOT s.geometry_is_point THEN 'medium' ELSE 'low' END AS wells_confidence
+FROM ({_LOGS}) g JOIN ({_LVL}) v ON g.eia_id = v.eia_id JOIN site_geo s ON g.eia_id = s.eia_id
+LEFT JOIN (SELECT eia_id, count(*) AS n FROM ({_NEAR_WELL('id', "SELECT * FROM sdr_wells WHERE lower(use) = 'closed-loop geothermal'")}) w WHERE mi <= 10 GROUP BY 1) b ON g.eia_id = b.eia_id
+LEFT JOIN ({_MAJOR('aquifer')}) aq ON g.eia_id = aq.eia_id LEFT JOIN ({_MAJOR('gcd')}) gc ON g.eia_id = gc.eia_id
+""")
 def _(t):
-    return ly.wells_layer(ids(t), points(t), well_sources(t), WCFG, "2026-10-05")
+    out = ly.wells_layer(ids(t), points(t), well_sources(t), WCFG, "2026-10-05")
+    rounded = {"hard_layer_ft_median", "hard_layer_ft_p90", "median_log_depth_ft", "depth_to_water_ft", "depth_to_water_ft_p25", "depth_to_water_ft_p75"}
+    return out.select(*[R(c) if c in rounded else F.col(c) for c in out.columns])
 
 
 # ---- boxes ---------------------------------------------------------------------------------------------------------------
