@@ -210,18 +210,26 @@ def choose(cands: DataFrame, c: dict) -> DataFrame:
 
 
 # ---- claiming --------------------------------------------------------------------------------------------------------------
-def assign(home: DataFrame, plants: DataFrame, units: DataFrame, c: dict) -> DataFrame:
+def standing(home: DataFrame, plants: DataFrame, units: DataFrame, c: dict) -> DataFrame:
+    """(eia_id, line): the order in which plants claim, by the error of their best subset among the given units; plants
+    without candidates or with units of unknown size come last, ties go by id."""
+    lookers = plants.join(home.select("eia_id"), "eia_id", "left_anti")
+    lead = choose(home.unionByName(far_candidates(lookers, units, c)), c).select("eia_id", F.col("err").alias("_e"))
+    order = F.struct(F.col("_e").isNull().alias("n"), F.coalesce("_e", F.lit(0.0)).alias("e"), F.col("eia_id").alias("i"))
+    return cut_lineage(plants.select("eia_id").join(lead, "eia_id", "left").select("eia_id", order.alias("line")), "line")
+
+
+def assign(home: DataFrame, plants: DataFrame, units: DataFrame, c: dict, line: DataFrame | None = None) -> DataFrame:
     """Best-fitting plants claim first. plants: plant_names output. Returns (eia_id, line, tier, chosen, err) for every
-    plant; chosen is null when nothing was left.
+    plant; chosen is null when nothing was left. line: the order of claims where it rests on more units than can be
+    claimed (`standing` over all of them).
 
     Only a plant that finds its county empty looks at other counties, so those pairs are built for such plants alone. The
     claims run again whenever a further plant comes out empty; once none does, every plant has seen exactly the candidates
     the one-by-one order would have shown it."""
     far = cut_lineage(far_candidates(plants.join(home.select("eia_id"), "eia_id", "left_anti"), units, c), "far")
     lookers = cut_lineage(plants.select("eia_id").join(home.select("eia_id"), "eia_id", "left_anti"), "lookers")
-    lead = choose(home.unionByName(far), c).select("eia_id", F.col("err").alias("_e"))
-    order = F.struct(F.col("_e").isNull().alias("n"), F.coalesce("_e", F.lit(0.0)).alias("e"), F.col("eia_id").alias("i"))
-    line = cut_lineage(plants.select("eia_id").join(lead, "eia_id", "left").select("eia_id", order.alias("line")), "line")
+    line = standing(home, plants, units, c) if line is None else line
     while True:
         picks = _claim(cut_lineage(home.unionByName(far).join(line, "eia_id"), "pairs"), line, c)
         news = picks.filter("tier is null or tier = 3").select("eia_id").distinct().join(lookers, "eia_id", "left_anti")
@@ -293,7 +301,9 @@ def crosswalk(plants: DataFrame, raw_units: DataFrame, cfg: dict, telemetry: Dat
         verified, free_units = None, units
     named = cut_lineage(plant_names(todo, c), "names")
     cands = cut_lineage(home_candidates(named, free_units, c), "cands")
-    picks = assign(cands, named, free_units, c)
+    # plants stand in line by their fit among all units, verified ones included; they claim from what is free
+    line = None if verified is None else standing(cut_lineage(home_candidates(named, units, c), "all-cands"), named, units, c)
+    picks = assign(cands, named, free_units, c, line)
     shared = cut_lineage(shared_units(picks, cands, plants, c), "shared")
     # the holder's row takes error and note of the last plant that joined it
     holder = shared.groupBy("holder").agg(F.max_by(F.struct("err", "note"), F.col("line")).alias("h")).select(F.col("holder").alias("eia_id"), F.col("h.err").alias("h_err"), F.col("h.note").alias("h_note"))
@@ -330,7 +340,7 @@ def crosswalk(plants: DataFrame, raw_units: DataFrame, cfg: dict, telemetry: Dat
         F.col("_node").alias("ercot_settlement_point"), "county", F.col("ac_mw").alias("ac_mw_eia"), F.col("u.mw").alias("ac_mw_ercot"),
         F.date_format("cod_first", "yyyy-MM-dd").alias("cod_eia"), "match_method", "match_confidence", none.alias("verified_by"), none.alias("verified_on"),
         F.col("note").alias("notes"), F.col("u.unit_name").alias("cdr_unit_name"), F.col("u.year").cast("double").alias("cdr_year"),
-        F.round("u.name_score", 1).alias("name_score"), F.when(F.col("u").isNotNull(), F.round(100 * F.col("err"), 1)).alias("mw_error_pct"), "sced_coverage", "sced_max_hsl_mw")
+        F.bround("u.name_score", 1).alias("name_score"), F.when(F.col("u").isNotNull(), F.bround(100 * F.col("err"), 1)).alias("mw_error_pct"), "sced_coverage", "sced_max_hsl_mw")
     if verified is None:
         return new
     kinds = dict(new.dtypes)
@@ -352,12 +362,31 @@ def candidate_review(ids: list, plants: DataFrame, raw_units: DataFrame, xwalk:
              .withColumn("name_score", F.greatest(name_score(F.col("plant_n"), F.col("name_n")), name_score(F.col("plant_n"), F.col("code_n"))))
              .filter(F.col("county_match") | (F.col("name_score") >= c["review_score"])))
     holders = (xwalk.filter("ercot_resource_name is not null").groupBy(F.col("ercot_resource_name").alias("unit_code"))
-               .agg(F.min_by("eia_plant_name", "eia_plant_id").alias("held_by")))
+               .agg(F.min_by("eia_plant_name", F.struct(F.col("eia_plant_id").try_cast("bigint").alias("i"), F.col("eia_plant_id").cast("string").alias("t"))).alias("held_by")))
     return (pairs.select("eia_id", "plant_name", "ac_mw", "unit_code", "unit_name", "unit_county", "mw", "year", "name_score", "county_match")
             .join(holders, "unit_code", "left").join(telemetry.select(F.col("resource_name").alias("unit_code"), F.col("max_hsl_mw").alias("sced_peak_mw")), "unit_code", "left")
             .withColumn("_k", F.upper("unit_code")).join(nodes.select(F.col("resource").alias("_k"), "node"), "_k", "left").drop("_k"))
 
 
+def free_unit_sets(review: DataFrame, c: dict, first: int = 6) -> DataFrame:
+    """(eia_id, place, n_units, total_mw, err, codes): for each plant asked about, the best sets of up to `review_units` free
+    units whose MW fits within `review_mw_error`. Free: held by nobody or by the plant itself, with known MW. Sets grow by
+    one unit at a time, in unit order, and one that is too large already is dropped."""
+    free = review.filter((F.col("held_by").isNull() | (F.col("held_by") == F.col("plant_name"))) & (F.col("mw") > 0)).select("eia_id", "ac_mw", "unit_code", "mw").distinct()
+    most = F.col("ac_mw") * (1 + c["review_mw_error"]) + 1e-9
+    level = free.select("eia_id", "ac_mw", F.col("mw").alias("total"), F.array("unit_code").alias("codes")).filter(F.col("total") <= most)
+    sets = level
+    more = free.select("eia_id", F.col("unit_code").alias("_u"), F.col("mw").alias("_mw"))
+    for _ in range(c["review_units"] - 1):
+        level = (level.join(more, "eia_id").filter(F.col("_u") > F.element_at("codes", -1))
+                 .select("eia_id", "ac_mw", (F.col("total") + F.col("_mw")).alias("total"), F.concat("codes", F.array("_u")).alias("codes")).filter(F.col("total") <= most))
+        sets = sets.unionByName(level)
+    fit = sets.withColumn("err", F.abs(F.col("total") - F.col("ac_mw")) / F.col("ac_mw")).filter(F.col("err") <= c["review_mw_error"])
+    best = Window.partitionBy("eia_id").orderBy(F.round("err", 9), F.size("codes"), F.array_join("codes", "+"))
+    return (fit.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= first)
+            .select("eia_id", "place", F.size("codes").alias("n_units"), F.col("total").alias("total_mw"), "err", F.array_join("codes", "+").alias("codes")))
+
+
 def apply_decisions(xwalk: DataFrame, decisions: DataFrame, initials: str, today: str) -> DataFrame:
     """A table of decisions (action, key, value, note) applied to the match table: accept_high, accept_medium, accept, set,
     no_resource, set_node, undo. Accepting, setting and undoing follow that order; ids that do not exist are an error the

@@ -119,13 +119,38 @@ def _(t):
     return p.select("eia_id", "unit_code", conf.alias("conf"))
 
 
-@query("token_set_ratio")
+# oracle side: the longest common subsequence by the bit recurrence over one text's letters (fewer than 62 here)
+_LCS = """length(p) - bit_count(list_reduce(list_prepend((1::BIGINT << length(p)) - 1, list_transform(string_split(q, ''), lambda ch: CAST(list_sum(list_transform(range(0, length(p)), lambda i: CASE WHEN p[i + 1] = ch THEN 1::BIGINT << CAST(i AS INT) ELSE 0::BIGINT END)) AS BIGINT))),
+  lambda r, w: ((r + (r & w)) | (r - (r & w))) & ((1::BIGINT << length(p)) - 1)))"""
+
+
+def _scored(pairs: str) -> str:
+    """(a, b, score) of distinct name pairs (a, b)."""
+    words = lambda c: f"list_distinct(list_filter(string_split({c}, ' '), lambda w: w <> ''))"
+    joined = lambda v: f"array_to_string(list_sort({v}), ' ')"
+    return f"""SELECT a, b, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0e0 WHEN len(c) > 0 AND (len(c) = len(x) OR len(c) = len(y)) THEN 100e0 ELSE 100e0 * greatest(CASE WHEN len(c) > 0 THEN greatest(1 - (1e0 + length(p)) / (length(s) + lp), 1 - (1e0 + length(q)) / (length(s) + lq)) ELSE 0e0 END,
+        1 - (length(p) + length(q) - 2e0 * CASE WHEN p = '' OR q = '' THEN 0 ELSE {_LCS} END) / (lp + lq)) END AS score
+      FROM (SELECT *, length(s) + CASE WHEN s <> '' THEN 1 ELSE 0 END + length(p) AS lp, length(s) + CASE WHEN s <> '' THEN 1 ELSE 0 END + length(q) AS lq FROM (
+        SELECT *, {joined('c')} AS s, {joined('list_filter(x, lambda w: NOT list_contains(c, w))')} AS p, {joined('list_filter(y, lambda w: NOT list_contains(c, w))')} AS q FROM (
+          SELECT *, list_filter(x, lambda w: list_contains(y, w)) AS c FROM (SELECT a, b, {words('a')} AS x, {words('b')} AS y FROM ({pairs}) n0) n1) n2) n3) n4"""
+
+
+_NAMES = f"""SELECT p.eia_id, p.ac_mw, year(p.cod_first) AS y1, year(p.cod_last) AS y2, array_to_string({_TOK('plant_name')}, ' ') AS plant_n, lower(replace(p.county, ' County', '')) AS county_n FROM match_plants p"""
+_CODES = f"""SELECT trim(unit_code) AS unit_code, lower(trim(county)) AS county_n, TRY_CAST(installed_mw AS DOUBLE) AS mw, CAST(right(in_service_year, 4) AS BIGINT) AS year, array_to_string({_TOK('unit_name')}, ' ') AS name_n, array_to_string({_TOK('unit_code')}, ' ') AS code_n FROM market_rows"""
+_HOME = f"SELECT p.eia_id, p.ac_mw, p.y1, p.y2, p.plant_n, u.* FROM ({_NAMES}) p JOIN ({_CODES}) u ON p.county_n = u.county_n"
+_HOME_SCORES = f"""
+WITH home AS ({_HOME}), sc AS ({_scored("SELECT DISTINCT plant_n AS a, o AS b FROM (SELECT plant_n, name_n AS o FROM home UNION ALL SELECT plant_n, code_n FROM home) n")})
+SELECT h.eia_id, h.unit_code, h.ac_mw, h.mw, h.year, h.y1, h.y2, greatest(s1.score, s2.score) AS score FROM home h JOIN sc s1 ON h.plant_n = s1.a AND h.name_n = s1.b JOIN sc s2 ON h.plant_n = s2.a AND h.code_n = s2.b
+"""
+
+
+@query("token_set_ratio", f"SELECT eia_id, unit_code, round(score, 3) AS name_score FROM ({_HOME_SCORES}) h")
 def _(t):
     pairs = mt.county_pairs(named(t), units(t)).select("eia_id", "unit_code", "plant_n", "name_n", "code_n")
     return mt._score_pairs(pairs).select("eia_id", "unit_code", R("name_score", 3))
 
 
-@query("score_candidates")
+@query("score_candidates", f"SELECT eia_id, unit_code, round(score, 3) AS name_score FROM ({_HOME_SCORES}) h WHERE score >= 55")
 def _(t):
     return mt._score_pairs(mt.county_pairs(named(t), units(t))).filter(F.col("name_score") >= C["name_min"]).select("eia_id", "unit_code", R("name_score", 3))
 
@@ -134,7 +159,18 @@ def _both(p, u):
     return mt.home_candidates(p, u, C).unionByName(mt.far_candidates(p, u, C))
 
 
-@query("candidate_fallbacks")
+_FAR_SCORES = f"""
+WITH p AS ({_NAMES}), u AS ({_CODES}), o AS (SELECT DISTINCT name FROM (SELECT name_n AS name FROM u UNION ALL SELECT code_n FROM u) n WHERE name <> ''),
+sc AS (SELECT a, b, score FROM ({_scored("SELECT a, b FROM (SELECT DISTINCT plant_n AS a FROM p WHERE plant_n <> '') x, (SELECT name AS b FROM o) y")}) z WHERE score >= 85)
+SELECT DISTINCT p.eia_id, u.unit_code FROM p JOIN sc ON sc.a = p.plant_n JOIN u ON (u.name_n = sc.b OR u.code_n = sc.b) WHERE p.county_n <> u.county_n
+"""
+
+
+@query("candidate_fallbacks", f"""
+SELECT eia_id, min(tier) AS tier, count(*) AS n FROM (
+  SELECT eia_id, CASE WHEN score >= 70 THEN 1 ELSE 2 END AS tier FROM ({_HOME_SCORES}) h WHERE score >= 55 OR coalesce(abs(mw - ac_mw) / ac_mw <= 0.1e0 AND (abs(year - y1) <= 1 OR abs(year - y2) <= 1), false)
+  UNION ALL SELECT eia_id, 3 FROM ({_FAR_SCORES}) f) c GROUP BY 1
+""")
 def _(t):
     return _both(named(t), units(t)).groupBy("eia_id").agg(F.min("tier").alias("tier"), F.count(F.lit(1)).alias("n"))
 
@@ -197,6 +233,43 @@ def _(t):
     return mt.crosswalk_status(t["old_matches"], plants(t))
 
 
-@query("candidate_review")
+REVIEWED = [1, 2, 3, 5, 8]
+
+
+def review(t):
+    return mt.candidate_review(REVIEWED, plants(t), t["market_rows"], t["old_matches"], CFG, t["unit_peaks"], mt.node_map(t["node_rows"]))
+
+
+_REVIEW = f"""
+WITH p AS (SELECT n.*, m.plant_name FROM ({_NAMES}) n JOIN match_plants m ON m.eia_id = n.eia_id WHERE n.eia_id IN (1, 2, 3, 5, 8)), u AS ({_CODES}),
+sc AS ({_scored("SELECT a, b FROM (SELECT DISTINCT plant_n AS a FROM p) x, (SELECT DISTINCT name AS b FROM (SELECT name_n AS name FROM u UNION ALL SELECT code_n FROM u) n) y")})
+SELECT p.eia_id, p.plant_name, p.ac_mw, u.unit_code, u.mw, u.year, greatest(s1.score, s2.score) AS name_score, p.county_n = u.county_n AS county_match, o.eia_plant_name AS held_by, k.max_hsl_mw AS sced_peak_mw
+FROM p CROSS JOIN u JOIN sc s1 ON s1.a = p.plant_n AND s1.b = u.name_n JOIN sc s2 ON s2.a = p.plant_n AND s2.b = u.code_n LEFT JOIN old_matches o ON o.ercot_resource_name = u.unit_code LEFT JOIN unit_peaks k ON k.resource_name = u.unit_code
+WHERE p.county_n = u.county_n OR greatest(s1.score, s2.score) >= 50
+"""
+
+
+@query("candidate_review", f"SELECT eia_id, plant_name, unit_code, mw, CAST(year AS BIGINT) AS year, round(name_score, 3) AS name_score, county_match, held_by, sced_peak_mw FROM ({_REVIEW}) r")
+def _(t):
+    return review(t).select("eia_id", "plant_name", "unit_code", "mw", F.col("year").cast("bigint").alias("year"), R("name_score", 3), "county_match", "held_by", "sced_peak_mw")
+
+
+@query("held_by_lookup", f"SELECT eia_id, unit_code, held_by FROM ({_REVIEW}) r WHERE county_match")
+def _(t):
+    return review(t).filter("county_match").select("eia_id", "unit_code", "held_by")
+
+
+@query("free_unit_sets", f"""
+WITH RECURSIVE r AS (SELECT DISTINCT eia_id, ac_mw, unit_code, mw FROM ({_REVIEW}) q WHERE (held_by IS NULL OR held_by = plant_name) AND mw > 0),
+sets AS (SELECT eia_id, ac_mw, unit_code AS last, mw AS total, 1 AS n, unit_code AS codes FROM r WHERE mw <= ac_mw * 1.15e0 + 1e-9
+  UNION ALL SELECT s.eia_id, s.ac_mw, r.unit_code, s.total + r.mw, s.n + 1, s.codes || '+' || r.unit_code FROM sets s JOIN r ON r.eia_id = s.eia_id AND r.unit_code > s.last WHERE s.n < 5 AND s.total + r.mw <= s.ac_mw * 1.15e0 + 1e-9)
+SELECT eia_id, CAST(place AS BIGINT) AS place, CAST(n AS BIGINT) AS n_units, round(total, 4) AS total_mw, codes FROM (SELECT *, row_number() OVER (PARTITION BY eia_id ORDER BY round(abs(total - ac_mw) / ac_mw, 9), n, codes) AS place FROM sets WHERE abs(total - ac_mw) / ac_mw <= 0.15e0) z WHERE place <= 6
+""")
+def _(t):
+    return mt.free_unit_sets(review(t), C).select("eia_id", F.col("place").cast("bigint").alias("place"), F.col("n_units").cast("bigint").alias("n_units"), R("total_mw"), "codes")
+
+
+@query("shared_unit_rule")
 def _(t):
-    return mt.candidate_review([1, 2, 3, 5, 8], plants(t), t["market_rows"], t["old_matches"], CFG, t["unit_peaks"], mt.node_map(t["node_rows"]))
+    x = xwalk(t)
+    return x.filter("match_method = 'auto:shared unit'").select("eia_plant_id", "ercot_resource_name", "match_confidence", "notes")
