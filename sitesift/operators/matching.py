@@ -1,19 +1,20 @@
 """Entity resolution: plants against market units by county, name, size and year.
 
-Names are scored once per distinct pair of normalised names. Claiming units one plant at a time, best fit first, is run
-as rounds: in each round every plant that is first in line for all its still-free candidates decides at once. That gives
-the sequential answer without gathering a county anywhere.
+Names are scored once per distinct pair of normalised names. Claiming units one plant at a time, best fit first, is
+settled by components of plants that compete for units, each in its own order.
 """
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
 from ..functions.nulls import blank_to_null, is_true, to_number
-from ..session import cut_lineage, scratch_path, spread
+from ..session import cut_lineage, spread
+from .graph import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -214,7 +215,11 @@ def standing(home: DataFrame, plants: DataFrame, units: DataFrame, c: dict) -> D
     """(eia_id, line): the order in which plants claim, by the error of their best subset among the given units; plants
     without candidates or with units of unknown size come last, ties go by id."""
     lookers = plants.join(home.select("eia_id"), "eia_id", "left_anti")
-    lead = choose(home.unionByName(far_candidates(lookers, units, c)), c).select("eia_id", F.col("err").alias("_e"))
+    return _line(plants, home.unionByName(far_candidates(lookers, units, c)), c)
+
+
+def _line(plants: DataFrame, cands: DataFrame, c: dict) -> DataFrame:
+    lead = choose(cands, c).select("eia_id", F.col("err").alias("_e"))
     order = F.struct(F.col("_e").isNull().alias("n"), F.coalesce("_e", F.lit(0.0)).alias("e"), F.col("eia_id").alias("i"))
     return cut_lineage(plants.select("eia_id").join(lead, "eia_id", "left").select("eia_id", order.alias("line")), "line")
 
@@ -224,42 +229,60 @@ def assign(home: DataFrame, plants: DataFrame, units: DataFrame, c: dict, line:
     plant; chosen is null when nothing was left. line: the order of claims where it rests on more units than can be
     claimed (`standing` over all of them).
 
-    Only a plant that finds its county empty looks at other counties, so those pairs are built for such plants alone. The
-    claims run again whenever a further plant comes out empty; once none does, every plant has seen exactly the candidates
-    the one-by-one order would have shown it."""
-    far = cut_lineage(far_candidates(plants.join(home.select("eia_id"), "eia_id", "left_anti"), units, c), "far")
-    lookers = cut_lineage(plants.select("eia_id").join(home.select("eia_id"), "eia_id", "left_anti"), "lookers")
-    line = standing(home, plants, units, c) if line is None else line
-    while True:
-        picks = _claim(cut_lineage(home.unionByName(far).join(line, "eia_id"), "pairs"), line, c)
-        news = picks.filter("tier is null or tier = 3").select("eia_id").distinct().join(lookers, "eia_id", "left_anti")
-        if news.isEmpty():
-            return picks
-        more = far_candidates(plants.join(news, "eia_id", "left_semi"), units, c)
-        far = cut_lineage(far.unionByName(more), "far")
-        lookers = cut_lineage(lookers.union(news), "lookers")
-
-
-def _claim(pairs: DataFrame, line: DataFrame, c: dict) -> DataFrame:
-    """Rounds: a plant decides once it is first in line for every free candidate of its current tier. One written step
-    per round; each round reads what the earlier ones took."""
-    spark = line.sparkSession
-    base = scratch_path(spark, "claims")
-    edges, waiting, n = pairs, line, 0
-    while True:
-        heads = edges.groupBy("unit_code").agg(F.min("line").alias("head"))
-        stands = (edges.join(heads, "unit_code").groupBy("eia_id", "tier").agg(F.min(F.col("line") == F.col("head")).alias("ok"))
-                  .groupBy("eia_id").agg(F.min_by("ok", "tier").alias("ok")))
-        ready = waiting.join(stands, "eia_id", "left").filter("ok is null or ok").select("eia_id", "line")
-        picks = ready.join(choose(edges.join(ready.select("eia_id"), "eia_id", "left_semi"), c), "eia_id", "left")
-        picks.write.parquet(f"{base}/round={n}")
-        taken = spark.read.parquet(base).drop("round")
-        waiting = line.join(taken.select("eia_id"), "eia_id", "left_anti")
-        if waiting.isEmpty():
-            return taken
-        edges = (pairs.join(taken.select("eia_id"), "eia_id", "left_anti")
-                 .join(taken.select(F.explode("chosen.unit_code").alias("unit_code")), "unit_code", "left_anti"))
-        n += 1
+    A claim only touches plants that share a candidate with it, directly or through others. So the candidates are cut
+    into components (found by Spark) and each is settled by itself, in its own order: the number of jobs does not grow
+    with a county. A component is what competes within one county and its namesakes elsewhere; claims inside it depend
+    on each other one by one, which is why it stays in one task."""
+    pairs = cut_lineage(home.unionByName(far_candidates(plants, units, c)), "pairs")
+    line = _line(plants, pairs, c) if line is None else line
+    node = lambda kind, col: F.xxhash64(F.lit(kind), F.col(col))
+    links = pairs.select(node("plant", "eia_id").alias("a"), node("unit", "unit_code").alias("b"))
+    group = components(links).select(F.col("node").alias("_n"), F.col("label").alias("component"))
+    rows = (pairs.withColumn("_n", node("plant", "eia_id")).join(group, "_n").join(line, "eia_id")
+            .select("component", "eia_id", F.col("line.n").alias("late"), F.col("line.e").alias("lead"), "ac_mw", "tier", "unit_code", "mw", "ord", "name_score", "phase_ok", "year_ok"))
+    claims = rows.groupBy("component").applyInPandas(lambda g: _settle(g, c), "eia_id long, tier int, err double, codes array<string>")
+    claims = cut_lineage(claims, "claims")
+    item = F.struct((-F.col("name_score")).alias("o"), F.coalesce(F.abs(F.col("mw") - F.col("ac_mw")), F.lit(float("inf"))).alias("e"), "ord", "unit_code", "unit_name", "mw",
+                    "year", "name_score", "phase_ok", "year_ok")
+    taken = claims.select("eia_id", "tier", F.explode("codes").alias("unit_code"))
+    chosen = pairs.join(taken, ["eia_id", "tier", "unit_code"]).groupBy("eia_id").agg(F.array_sort(F.collect_list(item)).alias("chosen"))
+    return cut_lineage(line.join(claims.drop("codes"), "eia_id", "left").join(chosen, "eia_id", "left").select("eia_id", "line", "tier", "chosen", "err"), "picks")
+
+
+def _settle(g: pd.DataFrame, c: dict) -> pd.DataFrame:
+    """One component: plants in line decide one after the other over the units still free."""
+    taken: set[str] = set()
+    out = []
+    plants = sorted(g.groupby("eia_id", sort=False), key=lambda kv: (bool(kv[1]["late"].iloc[0]), kv[1]["lead"].iloc[0], kv[0]))
+    for plant, rows in plants:
+        free = rows[~rows["unit_code"].isin(taken)]
+        if free.empty:
+            continue
+        tier = int(free["tier"].min())
+        free = free[free["tier"] == tier]
+        gap = (free["mw"] - free["ac_mw"]).abs().fillna(np.inf)
+        order = sorted(range(len(free)), key=lambda k: (-free["name_score"].iloc[k], gap.iloc[k], free["ord"].iloc[k], free["unit_code"].iloc[k]))
+        top = free.iloc[order[:1 if tier == 2 else c["max_candidates"]]]
+        known = top[top["mw"].notna()]
+        if len(known):
+            codes, err = _subset(known, float(top["ac_mw"].iloc[0]), c)
+        else:
+            clean = top[top["phase_ok"].astype(bool) & top["year_ok"].astype(bool)]
+            codes, err = list((clean if len(clean) else top)["unit_code"]), None
+        taken.update(codes)
+        out.append((plant, tier, err, codes))
+    return pd.DataFrame(out, columns=["eia_id", "tier", "err", "codes"]).astype({"err": float})
+
+
+def _subset(known: pd.DataFrame, ac_mw: float, c: dict) -> tuple[list[str], float]:
+    """Least MW error plus penalties over all subsets of at most ten units; then fewer units, then earlier ones."""
+    k = len(known)
+    masks = np.arange(1, 1 << k)
+    bits = (masks[:, None] >> np.arange(k - 1, -1, -1)) & 1
+    pen = (~known["phase_ok"].astype(bool)).to_numpy() * c["phase_penalty"] + (~known["year_ok"].astype(bool)).to_numpy() * c["year_penalty"]
+    err = np.abs(bits @ known["mw"].to_numpy(float) - ac_mw) / ac_mw
+    best = np.lexsort((-masks, bits.sum(1), np.floor((err + bits @ pen) * 1e9 + 0.5)))[0]
+    return list(known["unit_code"].to_numpy()[bits[best].astype(bool)]), float(err[best])
 
 
 def shared_units(picks: DataFrame, cands: DataFrame, plants: DataFrame, c: dict) -> DataFrame:

@@ -22,70 +22,105 @@ from ..session import cut_lineage, spread
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-# ---- kernel: vertical slabs between all vertices and crossings --------------------------------------------------------------
-def _edges(ring: np.ndarray) -> np.ndarray:
-    return np.hstack([ring, np.roll(ring, -1, axis=0)])
-
-
-def _breaks(e: np.ndarray, lo: float, hi: float) -> np.ndarray:
-    """x of every vertex and of every crossing of two edges, inside [lo, hi]."""
-    x1, y1, x2, y2 = (e[:, i] for i in range(4))
-    dx, dy = x2 - x1, y2 - y1
-    den = dx[:, None] * dy[None, :] - dy[:, None] * dx[None, :]
-    gx, gy = x1[None, :] - x1[:, None], y1[None, :] - y1[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = (gx * dy[None, :] - gy * dx[None, :]) / den
-        u = (gx * dy[:, None] - gy * dx[:, None]) / den
-        hit = (den != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-        cross = (x1[:, None] + t * dx[:, None])[hit]
-    xs = np.unique(np.concatenate([x1, x2, cross, [lo, hi]]))
-    return xs[(xs >= lo) & (xs <= hi)]
-
-
-def _spans(e: np.ndarray, x: float) -> list[tuple[float, float]]:
-    """Even-odd interior intervals of one ring on the line at x."""
-    x1, y1, x2, y2 = (e[:, i] for i in range(4))
-    m = (x1 > x) != (x2 > x)
-    ys = np.sort(y1[m] + (y2[m] - y1[m]) * (x - x1[m]) / (x2[m] - x1[m]))
-    return list(zip(ys[0::2], ys[1::2]))
-
-
-def _merge(spans):
-    out: list[list[float]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+# ---- kernel: rings cut to a window, vertical slabs between their vertices and crossings -------------------------------------
+PAIRS = 1 << 20  # edge pairs, or edges in slabs, held at a time
 
 
-def _common(p, q) -> float:
-    return sum(max(0.0, min(b, d) - max(a, c)) for a, b in p for c, d in q)
+def _cut(ring: np.ndarray, window) -> np.ndarray:
+    """The ring inside an axis-parallel window, one side after the other. Pieces stay joined along the sides, where edges
+    that run there and back enclose nothing."""
+    for axis, bound, keep in ((0, window[0], 1), (0, window[2], -1), (1, window[1], 1), (1, window[3], -1)):
+        if not len(ring):
+            break
+        inside = keep * (ring[:, axis] - bound) >= 0
+        if inside.all():
+            continue
+        after = np.roll(ring, -1, axis=0)
+        leaves = inside != np.roll(inside, -1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where(leaves, (bound - ring[:, axis]) / (after[:, axis] - ring[:, axis]), 0.0)
+        at = ring + t[:, None] * (after - ring)
+        at[:, axis] = bound
+        # each vertex inside stays; each edge that leaves or enters adds the point where it does
+        both = np.stack([ring, at], axis=1).reshape(-1, 2)
+        ring = both[np.stack([inside, leaves], axis=1).ravel()]
+    return ring
+
+
+def _ragged(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first[row] + 0 .. count[row] - 1) for every row."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _parts(count: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows with about PAIRS items each."""
+    total = np.cumsum(count)
+    cuts = np.searchsorted(total, np.arange(PAIRS, total[-1] if len(total) else 0, PAIRS))
+    ends = np.unique(np.concatenate([cuts + 1, [len(count)]]))
+    return list(zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True))
+
+
+def _crossings(e: np.ndarray) -> np.ndarray:
+    """x of every crossing of two edges (x1 <= x2). Edges are sorted by their left end, so only those that overlap in x,
+    and then in y, are compared."""
+    e = e[np.argsort(e[:, 0], kind="stable")]
+    low, high = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
+    count = np.searchsorted(e[:, 0], e[:, 2], "right") - np.arange(len(e)) - 1
+    found = []
+    for p, q in _parts(count):
+        i, j = _ragged(np.arange(p, q) + 1, count[p:q])
+        i = i + p
+        meet = (low[i] <= high[j]) & (low[j] <= high[i])
+        a, b = e[i[meet]], e[j[meet]]
+        d1, d2, g = a[:, 2:] - a[:, :2], b[:, 2:] - b[:, :2], b[:, :2] - a[:, :2]
+        den = d1[:, 0] * d2[:, 1] - d1[:, 1] * d2[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (g[:, 0] * d2[:, 1] - g[:, 1] * d2[:, 0]) / den
+            u = (g[:, 0] * d1[:, 1] - g[:, 1] * d1[:, 0]) / den
+        hit = (den != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        found.append(a[hit, 0] + t[hit] * d1[hit, 0])
+    return np.concatenate(found) if found else np.empty(0)
 
 
 def clipped_union_area(clip: np.ndarray, zones: list[np.ndarray], tile=None) -> float:
-    """Area of clip ∩ (union of zones), optionally inside tile (x0, y0, x1, y1). Even-odd rings."""
-    if not zones:
-        return 0.0
-    lo, hi = clip[:, 0].min(), clip[:, 0].max()
+    """Area of clip ∩ (union of zones), optionally inside tile (x0, y0, x1, y1). Even-odd rings.
+
+    Rings are first cut to the box of clip and tile, so the work follows what lies there. Between two neighbouring vertices
+    or crossings no edges meet: on the middle line of such a slab the boundaries of each ring pair up, and the length
+    that is inside clip and any zone, times the slab's width, is the area."""
+    window = [clip[:, 0].min(), clip[:, 1].min(), clip[:, 0].max(), clip[:, 1].max()]
     if tile is not None:
-        lo, hi = max(lo, tile[0]), min(hi, tile[2])
-    if hi <= lo:
+        window = [max(window[0], tile[0]), max(window[1], tile[1]), min(window[2], tile[2]), min(window[3], tile[3])]
+    if window[0] >= window[2] or window[1] >= window[3]:
+        return 0.0
+    rings = [_cut(np.asarray(r, float), window) for r in (clip, *zones)]
+    if len(rings[0]) < 3 or all(len(r) < 3 for r in rings[1:]):
         return 0.0
-    ce, ze = _edges(clip), [_edges(z) for z in zones]
-    everything = [ce, *ze]
-    if tile is not None:   # the tile's top and bottom cut edges too
-        everything.append(np.array([[lo, tile[1], hi, tile[1]], [lo, tile[3], hi, tile[3]]]))
-    xs = _breaks(np.vstack(everything), lo, hi)
-    total = 0.0
-    for a, b in zip(xs[:-1], xs[1:]):
-        mid = (a + b) / 2
-        base = _spans(ce, mid)
-        if tile is not None:
-            base = [(max(p, tile[1]), min(q, tile[3])) for p, q in base if min(q, tile[3]) > max(p, tile[1])]
-        if base:
-            total += _common(base, _merge([s for z in ze for s in _spans(z, mid)])) * (b - a)
+    edges = np.vstack([np.hstack([r, np.roll(r, -1, axis=0)]) for r in rings])
+    owner = np.repeat(np.arange(len(rings)), [len(r) for r in rings])
+    swap = edges[:, 0] > edges[:, 2]
+    edges[swap] = edges[swap][:, [2, 3, 0, 1]]
+    xs = np.unique(np.concatenate([edges[:, 0], edges[:, 2], _crossings(np.unique(edges, axis=0))]))
+    sloped = edges[:, 0] < edges[:, 2]  # upright edges bound slabs only
+    edges, owner = edges[sloped], owner[sloped]
+    first = np.searchsorted(xs, edges[:, 0])
+    last = np.searchsorted(xs, edges[:, 2])
+    mid, width, total = (xs[1:] + xs[:-1]) / 2, np.diff(xs), 0.0
+    active = np.cumsum(np.bincount(first, minlength=len(xs)) - np.bincount(last, minlength=len(xs)))[:-1]
+    for p, q in _parts(active):
+        lo, hi = np.maximum(first, p), np.minimum(last, q)
+        use = np.flatnonzero(lo < hi)
+        row, slab = _ragged(lo[use], (hi - lo)[use])
+        e, ring = edges[use][row], owner[use][row]
+        y = e[:, 1] + (e[:, 3] - e[:, 1]) * (mid[slab] - e[:, 0]) / (e[:, 2] - e[:, 0])
+        order = np.lexsort((y, ring, slab))
+        y, ring, slab = y[order], ring[order], slab[order]
+        step = 1 - 2 * (np.arange(len(y)) % 2)  # a ring has an even number of edges on each line: in, out, in, ...
+        order = np.lexsort((y, slab))
+        y, slab, inside = y[order], slab[order], [np.cumsum(np.where((ring == 0) == own, step, 0)[order]) > 0 for own in (True, False)]
+        together = inside[0][:-1] & inside[1][:-1] & (slab[:-1] == slab[1:])
+        total += float(np.sum(np.diff(y)[together] * width[slab[:-1][together]]))
     return total
 
 
@@ -127,9 +162,12 @@ def box_pairs(left: DataFrame, right: DataFrame, lring: str, rring: str, size: f
 def union_areas(sites: DataFrame, zones: DataFrame, flags: list[str], tile_m: float, key: str = "eia_id") -> DataFrame:
     """Per site the area of its ring covered by the union of the zones of each flag (overlaps once): key, <flag>_m2.
     A site of several rings gives one row per ring to be summed; here they are."""
-    distinct = zones.select("ring", *flags).distinct().withColumnRenamed("ring", "zring")
     s = _tiles(sites.select(key, "ring"), "ring", tile_m).drop("_x0", "_y0")
-    z = _tiles(distinct, "zring", tile_m).drop("_x0", "_y0")
+    wanted = s.select("_cx", "_cy").distinct()
+    z = _tiles(zones.select(F.col("ring").alias("zring"), *flags), "zring", tile_m).drop("_x0", "_y0")
+    # rings outside the sites' tiles stay where they are; copies of a zone fall together in its tile, by a hash of the ring
+    z = (z.join(wanted, ["_cx", "_cy"], "left_semi").withColumn("_h", F.xxhash64("zring")).repartition("_cx", "_cy")
+         .dropDuplicates(["_cx", "_cy", "_h", *flags]).drop("_h"))
     flat = lambda r, c: F.transform(F.col(r), lambda p: p[c])
     # one part per site ring and tile; every part's zones are the distinct polygons crossing one tile
     pairs = (s.join(z, ["_cx", "_cy"])

@@ -269,7 +269,21 @@ def _(t):
     return mt.free_unit_sets(review(t), C).select("eia_id", F.col("place").cast("bigint").alias("place"), F.col("n_units").cast("bigint").alias("n_units"), R("total_mw"), "codes")
 
 
-@query("shared_unit_rule")
+view("twin_plants", """
+SELECT s_suppkey * 2 + k AS eia_id, concat('Ridge', CAST(s_suppkey AS STRING), CASE k WHEN 0 THEN ' East' ELSE ' West' END) AS plant_name, concat('C', CAST(s_suppkey AS STRING), ' County') AS county,
+       CASE k WHEN 0 THEN 90e0 ELSE 20e0 END AS ac_mw, make_date(2018, 5, 1) AS cod_first, make_date(2018, 5, 1) AS cod_last, 'pass' AS filter_status
+FROM supplier CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) t
+""")
+view("twin_units", """
+SELECT concat('RIDGE', CAST(s_suppkey AS STRING), '_1') AS unit_code, concat('RIDGE', CAST(s_suppkey AS STRING)) AS unit_name, concat('C', CAST(s_suppkey AS STRING)) AS county, 'SOLAR' AS fuel, '2018' AS in_service_year,
+       CAST(CASE WHEN s_nationkey < 12 THEN 110e0 ELSE 200e0 END AS STRING) AS installed_mw, s_suppkey AS ordinal FROM supplier
+""")
+
+
+@query("shared_unit_rule", """
+SELECT t.eia_id, CASE WHEN s_nationkey < 12 OR t.eia_id % 2 = 0 THEN 'RIDGE' || s_suppkey || '_1' END AS unit_code, CASE WHEN t.eia_id % 2 = 0 THEN 'auto:name+county' WHEN s_nationkey < 12 THEN 'auto:shared unit' ELSE 'no candidate' END AS match_method,
+  CASE WHEN s_nationkey < 12 THEN 'medium' WHEN t.eia_id % 2 = 0 THEN 'low' ELSE 'none' END AS match_confidence, s_nationkey < 12 AS shared FROM twin_plants t JOIN supplier ON t.eia_id // 2 = s_suppkey
+""")
 def _(t):
-    x = xwalk(t)
-    return x.filter("match_method = 'auto:shared unit'").select("eia_plant_id", "ercot_resource_name", "match_confidence", "notes")
+    x = mt.crosswalk(t["twin_plants"], t["twin_units"], CFG)
+    return x.select(F.col("eia_plant_id").alias("eia_id"), F.col("ercot_resource_name").alias("unit_code"), "match_method", "match_confidence", F.coalesce(F.col("notes").startswith("one ERCOT unit shared"), F.lit(False)).alias("shared"))
