@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from .common import out, utf8, written
-from .components import components
+from ..operators.graph import components
 from .words import LOWER
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 from sitesift.llm import simhash
-from sitesift.llm.components import components
+from sitesift.operators.graph import components
 
 
 def plain(text):
