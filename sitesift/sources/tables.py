@@ -36,7 +36,8 @@ def keyed_rows(df: DataFrame, key: str) -> DataFrame:
 
 def pipe_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Pipe-delimited Latin-1 text with a header, no quoting; rows with a surplus delimiter are dropped."""
-    df = spark.read.csv(path, sep="|", header=True, quote="", encoding="ISO-8859-1", mode="DROPMALFORMED")
+    # without column pruning: a pruned reader would not see the surplus field
+    df = spark.read.option("columnPruning", False).csv(path, sep="|", header=True, quote="", encoding="ISO-8859-1", mode="DROPMALFORMED")
     return df.select(*columns)
 
 
