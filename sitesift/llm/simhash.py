@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import out, utf8, written
 from ..operators.graph import components
+from ..session import spread
 from .words import LOWER
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -106,7 +107,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     """
     if not 0 <= distance <= 5:
         raise ValueError("two halves and one step to a common point hold for distances up to 5")
-    met = (fps.select("fp", F.explode(F.array(*[F.struct(F.lit(h).alias("half"), _points(h).alias("points")) for h in (0, 1)])).alias("s"))
+    # a fingerprint is eight bytes and gives fifty rows: parts are set by the cores, not by the few bytes (by a hash, since
+    # rows that are dealt by fp already would stay as they are)
+    met = (spread(fps.select("fp", F.xxhash64("fp").alias("_deal")), "_deal").select("fp", F.explode(F.array(*[F.struct(F.lit(h).alias("half"), _points(h).alias("points")) for h in (0, 1)])).alias("s"))
            .select("fp", "s.half", F.explode("s.points").alias("point"))
            .select((F.col("point") * 2 + F.col("half")).alias("cell"), "fp"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cell", pa.int64()), ("block", pa.int32()), ("members", pa.binary())])
