@@ -4,6 +4,7 @@ Names are scored once per distinct pair of normalised names. Claiming units one
 settled by components of plants that compete for units, each in its own order.
 """
 
+import itertools
 import sys
 
 import numpy as np
@@ -251,38 +252,37 @@ def assign(home: DataFrame, plants: DataFrame, units: DataFrame, c: dict, line:
 
 def _settle(g: pd.DataFrame, c: dict) -> pd.DataFrame:
     """One component: plants in line decide one after the other over the units still free."""
+    gap = (g["mw"] - g["ac_mw"]).abs().fillna(np.inf)
+    g = g.assign(o=-g["name_score"], gap=gap).sort_values(["late", "lead", "eia_id", "tier", "o", "gap", "ord", "unit_code"], kind="stable")
     taken: set[str] = set()
     out = []
-    plants = sorted(g.groupby("eia_id", sort=False), key=lambda kv: (bool(kv[1]["late"].iloc[0]), kv[1]["lead"].iloc[0], kv[0]))
-    for plant, rows in plants:
-        free = rows[~rows["unit_code"].isin(taken)]
-        if free.empty:
+    columns = zip(*(g[k].tolist() for k in ("eia_id", "tier", "unit_code", "mw", "ac_mw", "phase_ok", "year_ok")), strict=True)
+    for plant, rows in itertools.groupby(columns, key=lambda r: r[0]):
+        free = [r for r in rows if r[2] not in taken]
+        if not free:
             continue
-        tier = int(free["tier"].min())
-        free = free[free["tier"] == tier]
-        gap = (free["mw"] - free["ac_mw"]).abs().fillna(np.inf)
-        order = sorted(range(len(free)), key=lambda k: (-free["name_score"].iloc[k], gap.iloc[k], free["ord"].iloc[k], free["unit_code"].iloc[k]))
-        top = free.iloc[order[:1 if tier == 2 else c["max_candidates"]]]
-        known = top[top["mw"].notna()]
-        if len(known):
-            codes, err = _subset(known, float(top["ac_mw"].iloc[0]), c)
+        tier = free[0][1]
+        top = [r for r in free if r[1] == tier][:1 if tier == 2 else c["max_candidates"]]
+        known = [r for r in top if r[3] == r[3]]  # not NaN
+        if known:
+            codes, err = _subset(known, c)
         else:
-            clean = top[top["phase_ok"].astype(bool) & top["year_ok"].astype(bool)]
-            codes, err = list((clean if len(clean) else top)["unit_code"]), None
+            clean = [r for r in top if r[5] and r[6]]
+            codes, err = [r[2] for r in clean or top], None
         taken.update(codes)
         out.append((plant, tier, err, codes))
     return pd.DataFrame(out, columns=["eia_id", "tier", "err", "codes"]).astype({"err": float})
 
 
-def _subset(known: pd.DataFrame, ac_mw: float, c: dict) -> tuple[list[str], float]:
+def _subset(known: list[tuple], c: dict) -> tuple[list[str], float]:
     """Least MW error plus penalties over all subsets of at most ten units; then fewer units, then earlier ones."""
-    k = len(known)
+    k, ac_mw = len(known), known[0][4]
     masks = np.arange(1, 1 << k)
     bits = (masks[:, None] >> np.arange(k - 1, -1, -1)) & 1
-    pen = (~known["phase_ok"].astype(bool)).to_numpy() * c["phase_penalty"] + (~known["year_ok"].astype(bool)).to_numpy() * c["year_penalty"]
-    err = np.abs(bits @ known["mw"].to_numpy(float) - ac_mw) / ac_mw
+    pen = np.array([(not r[5]) * c["phase_penalty"] + (not r[6]) * c["year_penalty"] for r in known])
+    err = np.abs(bits @ np.array([r[3] for r in known]) - ac_mw) / ac_mw
     best = np.lexsort((-masks, bits.sum(1), np.floor((err + bits @ pen) * 1e9 + 0.5)))[0]
-    return list(known["unit_code"].to_numpy()[bits[best].astype(bool)]), float(err[best])
+    return [r[2] for r, b in zip(known, bits[best], strict=True) if b], float(err[best])
 
 
 def shared_units(picks: DataFrame, cands: DataFrame, plants: DataFrame, c: dict) -> DataFrame:
