@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sitesift.llm import bpe, counts, packing
@@ -52,12 +53,31 @@ def test_counts_are_the_tokenizers(make):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
 
 
-def test_counts_after_the_store_is_emptied(monkeypatch):
-    monkeypatch.setattr(counts, "KNOWN", 3)
-    c = counts.Counter(WORDS)
+def test_counts_do_not_depend_on_what_is_frequent(make):
+    """With few frequent pre-tokens nearly all pairs go through the shuffled join, copies and rows without an id included."""
+    rows = [(i, t) for i, t in enumerate(odd_texts())] + [(7, "some words again"), (7, "some words again"), (None, "some words again"), (None, "some words again"), (8, None), (9, "")]
     tok = Tokenizer.from_file(WORDS)
-    for t in (["some more words here", "x"], ["words again", "here and there"], ["x", ""]):
-        assert c.batch(t).tolist() == [len(tok.encode(x, add_special_tokens=False).ids) for x in t]
+    want = sorted((str(i), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    for frequent in (0, 5):
+        got = counts.token_counts(make(rows), WORDS, frequent=frequent).collect()
+        assert sorted((str(r.doc_id), r.n_tokens) for r in got) == want
+
+
+def test_vocabulary_has_each_pre_token_once(make):
+    rows = [(1, "It's the end, the END"), (2, "the"), (3, None), (3, "it")]
+    got = {r.word: (r.n, r.pieces) for r in counts.vocabulary(make(rows), WORDS).collect()}
+    assert {w: n for w, (n, _) in got.items()} == {"it": 2, "'s": 1, "the": 3, "end": 2, ",": 1}
+    assert counts.vocabulary(make(rows).where("doc_id > 9"), WORDS).count() == 0
+
+
+def test_cut_frequency_keeps_to_its_bound(make):
+    words = make([(1, "a")]).sparkSession.createDataFrame([(f"w{k}", n) for k, n in enumerate([1, 1, 1, 2, 2, 3, 900, 3000, 5000])], "word string, n long")
+    assert [counts.cut_frequency(words, most) for most in (9, 8, 6, 5, 3, 2)] == [1, 2, 2, 3, 900, 2048]
+    assert words.where(F.col("n") >= counts.cut_frequency(words, 0)).count() == 0
+
+
+def test_counts_of_an_empty_table(make):
+    assert counts.token_counts(make([(1, "a")]).where("doc_id > 9"), WORDS).count() == 0
 
 
 def test_best_fit_is_the_plain_one():
