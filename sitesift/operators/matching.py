@@ -191,14 +191,19 @@ def best_subset(c: dict) -> Column:
                   f"aggregate(sequence(0, size(k) - 1), {start}, (a, i) -> {step}, a -> {done}))) end")
 
 
-def choose(cands: DataFrame, c: dict) -> DataFrame:
-    """Per plant: tier rule, top ten names, best subset → (eia_id, tier, chosen array, err). err is null when no MW is
-    known. Plants without candidates are absent."""
+def top_candidates(cands: DataFrame, c: dict) -> DataFrame:
+    """The ten best names of a plant and tier, nearest MW first among equal names, with their `place` and the `item` that
+    orders them; Spark limits each partition before the shuffle, so only tens travel."""
     item = F.struct((-F.col("name_score")).alias("o"), F.coalesce(F.abs(F.col("mw") - F.col("ac_mw")), F.lit(float("inf"))).alias("e"), "ord", "unit_code", "unit_name", "mw",
                     "year", "name_score", "phase_ok", "year_ok")
-    # the ten best names of a plant and tier: Spark limits each partition before the shuffle, so only tens travel
     w = Window.partitionBy("eia_id", "tier").orderBy("item")
-    ten = cands.withColumn("item", item).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= c["max_candidates"])
+    return cands.withColumn("item", item).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= c["max_candidates"])
+
+
+def choose(cands: DataFrame, c: dict) -> DataFrame:
+    """Per plant: tier rule, top ten names, best subset → (eia_id, tier, chosen array, err). err is null when no MW is
+    known. Plants without candidates are absent."""
+    ten = top_candidates(cands, c)
     per_tier = ten.groupBy("eia_id", "tier").agg(F.first("ac_mw").alias("ac_mw"), F.array_sort(F.collect_list("item")).alias("top"))
     first = per_tier.groupBy("eia_id").agg(F.min_by(F.struct("tier", "ac_mw", "top"), F.col("tier")).alias("f"))
     df = first.select("eia_id", F.col("f.tier").alias("tier"), F.col("f.ac_mw").alias("ac_mw"), F.col("f.top").alias("top"))

@@ -299,25 +299,32 @@ def same_owner_expansion(arrays: DataFrame, hosts: DataFrame, parcels: DataFrame
     return found if found is not None else mine.filter("false").withColumn("step", F.lit(0))
 
 
-def parcel_metrics(ids: DataFrame, hosts: DataFrame, shares: DataFrame, added: DataFrame, areas: DataFrame, covered: DataFrame,
-                   cfg: dict) -> DataFrame:
-    """One row per site. covered: sites with any parcel row in their neighbourhood (tells no data from no overlap)."""
-    c, acre = cfg["layers"]["parcels"], cfg["units"]["m2_per_acre"]
+def host_figures(hosts: DataFrame, cfg: dict) -> DataFrame:
+    """Per site with host parcels: acres, values, newest year, sources, ids by falling size, the three largest land uses."""
+    acre = cfg["units"]["m2_per_acre"]
     by_size = F.array_sort(F.collect_list(F.struct((-F.col("parcel_m2")).alias("o"), "parcel_id", F.trim(F.col("prop_id")).alias("p"))))
     h = hosts.groupBy("eia_id").agg(
         F.count(F.lit(1)).alias("n_host_parcels"), (F.sum("parcel_m2") / acre).alias("parcel_acres_host"),
-        F.sum(F.col("market_value").try_cast("double")).alias("mkt_value_total"), F.sum(F.col("land_value").try_cast("double")).alias("_land"),
+        F.sum(F.col("market_value").try_cast("double")).alias("mkt_value_total"), F.sum(F.col("land_value").try_cast("double")).alias("land_value_total"),
         F.max(F.col("year").try_cast("int")).cast("string").alias("parcel_vintage"),
         F.array_join(F.array_sort(F.collect_set("source_file")), ";").alias("parcel_source"),
         F.array_join(F.array_distinct(F.filter(F.transform(by_size, lambda s: s["p"]), lambda v: v != "")), ";").alias("host_parcel_ids"))
     use = hosts.groupBy("eia_id", F.coalesce(F.col("land_use"), F.lit("None")).alias("u")).agg(F.sum("parcel_m2").alias("m"))
     use = use.groupBy("eia_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("o"), "u"))), 1, 3), lambda s: s["u"]), ";").alias("land_use_codes"))
+    out = h.join(use, "eia_id", "left")
+    return out.withColumns({k: F.when(F.col(k) != "", F.col(k)) for k in ("host_parcel_ids", "parcel_source", "land_use_codes")})
+
+
+def parcel_metrics(ids: DataFrame, hosts: DataFrame, shares: DataFrame, added: DataFrame, areas: DataFrame, covered: DataFrame,
+                   cfg: dict) -> DataFrame:
+    """One row per site. covered: sites with any parcel row in their neighbourhood (tells no data from no overlap)."""
+    c, acre = cfg["layers"]["parcels"], cfg["units"]["m2_per_acre"]
     named = shares.filter("owner_n != ''").groupBy("eia_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("o"), "owner_n"))).alias("_o"))
     text = F.array_join(F.transform(F.slice("_o", 1, 3), lambda s: F.concat(F.upper(s["owner_n"]), F.lit(" "), percent_text(-s["o"]))), "; ")
     named = named.select("eia_id", text.alias("host_owners"), (-F.col("_o")[0]["o"]).alias("largest_owner_share"))
     more = added.withColumn("m", geo.ring_area(F.col("pring"))).groupBy("eia_id").agg((F.sum("m") / acre).alias("_added"))
     out = ids.select("eia_id", "ac_mw", "geometry_is_point").join(areas, "eia_id", "left")
-    for part in (h, use, named, more, covered.select("eia_id").distinct().withColumn("_seen", F.lit(True))):
+    for part in (host_figures(hosts, cfg), named, more, covered.select("eia_id").distinct().withColumn("_seen", F.lit(True))):
         out = out.join(part, "eia_id", "left")
     ok, host, arr = F.col("n_host_parcels").isNotNull(), F.col("parcel_acres_host"), F.col("array_m2") / acre
     out = (out.withColumn("parcel_status", F.when(ok, "ok").when(F.col("_seen"), "no_parcel_overlap").otherwise("no_parcel_data"))
@@ -328,13 +335,12 @@ def parcel_metrics(ids: DataFrame, hosts: DataFrame, shares: DataFrame, added: D
            .withColumn("headroom_pct_unified", ratio(F.col("parcel_acres_unified") - arr, arr))
            .withColumn("acres_per_mw_parcel", ratio(host, F.col("ac_mw")))
            .withColumn("unified_land_control", F.when(ok, is_true(F.col("largest_owner_share") >= c["unified_min_owner_share"])))
-           .withColumn("land_value_per_acre", ratio(F.col("_land"), host))
+           .withColumn("land_value_per_acre", ratio(F.col("land_value_total"), host))
            .withColumn("parcels_confidence", F.when(ok, F.when(F.col("geometry_is_point"), "low").when(
                (F.col("host_cover_share") < c["medium_cover_below"]) | (F.col("n_host_parcels") > c["medium_parcels_above"]), "medium").otherwise("high"))))
-    blank = lambda col: F.when(F.col(col) != "", F.col(col))
     return (out.withColumn("n_host_parcels", F.coalesce("n_host_parcels", F.lit(0)))
-            .withColumns({k: blank(k) for k in ("host_parcel_ids", "parcel_source", "land_use_codes", "host_owners")})
-            .drop("_land", "_added", "_seen", "array_m2", "ac_mw", "geometry_is_point"))
+            .withColumn("host_owners", F.when(F.col("host_owners") != "", F.col("host_owners")))
+            .drop("land_value_total", "_added", "_seen", "array_m2", "ac_mw", "geometry_is_point"))
 
 
 def parcels_layer(ids: DataFrame, arrays: DataFrame, parcels: DataFrame, cfg: dict, tile_m: float = 3000.0) -> DataFrame:

@@ -109,6 +109,15 @@ def _(t):
     return mt.choose(cands, C).select("eia_id", F.size("chosen").cast("bigint").alias("n_units"), R("err", 6))
 
 
+@query("top_candidates", f"""
+SELECT eia_id, unit_code, place FROM (SELECT eia_id, unit_code, row_number() OVER (PARTITION BY eia_id ORDER BY ordinal % 40 DESC, coalesce(abs(mw - ac_mw), 1e300), ordinal) AS place FROM ({_PAIRS}) p) q WHERE place <= 10
+""")
+def _(t):
+    pairs = mt.annotate(mt.county_pairs(named(t), units(t)), C)
+    cands = pairs.withColumn("name_score", (F.col("ord") % 40).cast("double")).withColumn("tier", F.lit(1))
+    return mt.top_candidates(cands, C).select("eia_id", "unit_code", F.col("place").cast("bigint").alias("place"))
+
+
 @query("match_confidence", f"""
 SELECT eia_id, unit_code, CASE WHEN ordinal % 100 >= 85 AND e <= 0.1e0 THEN 'high' WHEN (ordinal % 100 >= 70 AND e <= 0.25e0) OR (({_YEAR}) AND e <= 0.1e0) THEN 'medium' ELSE 'low' END AS conf
 FROM (SELECT *, coalesce(abs(mw - ac_mw) / ac_mw, 9e0) AS e FROM ({_PAIRS}) p) q

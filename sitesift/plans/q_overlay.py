@@ -179,6 +179,30 @@ def _(t):
                       "host_parcel_ids", "parcels_confidence")
 
 
+# the figures of host parcels one by one
+@query("land_use_top", f"""
+SELECT a.eia_id, string_agg(land_use, ';' ORDER BY m DESC, land_use) AS land_use_codes FROM (SELECT *, row_number() OVER (PARTITION BY eia_id ORDER BY m DESC, land_use) AS rn FROM (
+  SELECT eia_id, land_use, sum(pm2) AS m FROM ({_HOST}) h GROUP BY 1, 2) u) a WHERE rn <= 3 GROUP BY a.eia_id
+""")
+def _(t):
+    return ov.host_figures(hosts(t), CFG).select("eia_id", "land_use_codes")
+
+
+@query("vintage_max", f"SELECT eia_id, CAST(max(CAST(year AS INT)) AS VARCHAR) AS parcel_vintage FROM ({_HOST}) h GROUP BY eia_id")
+def _(t):
+    return ov.host_figures(hosts(t), CFG).select("eia_id", "parcel_vintage")
+
+
+@query("value_per_acre", f"SELECT eia_id, round(sum(TRY_CAST(land_value AS DOUBLE)) / (sum(pm2) / {ACRE}), 4) AS land_value_per_acre FROM ({_HOST}) h GROUP BY eia_id")
+def _(t):
+    return ov.host_figures(hosts(t), CFG).select("eia_id", F.round(F.col("land_value_total") / F.col("parcel_acres_host"), 4).alias("land_value_per_acre"))
+
+
+@query("parcel_ids_by_size", f"SELECT eia_id, string_agg(prop_id, ';' ORDER BY pm2 DESC, parcel_id) AS host_parcel_ids FROM ({_HOST}) h GROUP BY eia_id")
+def _(t):
+    return ov.host_figures(hosts(t), CFG).select("eia_id", "host_parcel_ids")
+
+
 @query("parcel_neighbourhood", """
 SELECT eia_id, parcel_id FROM array_box, parcel_box WHERE power(greatest(px0 - ax1, ax0 - px1, 0), 2) + power(greatest(py0 - ay1, ay0 - py1, 0), 2) <= 9000000
 """)
