@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..config import config
 from ..functions import calendar
 from ..operators import settlement as st
+from ..session import scratch_path
+from ..streaming.settlement_stream import settle_days
 from .registry import query, view
 
 CFG = config(market={"max_interval_minutes": 360, "slice_minutes": 720, "min_gen_mwh_for_capture": 100.0})
@@ -130,6 +132,19 @@ def _(t):
     return sced15(t).select("resource_name", STAMP("interval_start").alias("interval_start"), R("gen_mwh"), R("hsl_mwh"), R("curtailed_mwh"), R("hours"))
 
 
+@query("incremental_settlement", f"""
+SELECT resource_name, strftime(interval_start, '%Y-%m-%d %H:%M:%S') AS interval_start, round(gen_mwh, 6) AS gen_mwh, round(hours, 6) AS hours FROM ({_S15}) s
+""")
+def _(t):
+    """Each day comes in two deliveries, mornings first; the stream must end with what one batch of all rows gives."""
+    source, out, state = (scratch_path(t.spark, f"day-{k}") for k in ("files", "energy", "state"))
+    rows = t["telemetry"]
+    for part in (F.hour("sced_time_stamp") < 12, F.hour("sced_time_stamp") >= 12):
+        rows.filter(part).write.mode("append").parquet(source)
+        settle_days(t.spark, source, rows.schema, out, state, CFG).awaitTermination()
+    return t.spark.read.parquet(out).select("resource_name", STAMP("interval_start").alias("interval_start"), R("gen_mwh"), R("hours"))
+
+
 @query("curtailed_energy", f"""
 SELECT resource_name, round(sum(gen_mwh), 6) AS gen_mwh, round(sum(hsl_mwh), 6) AS hsl_mwh, round(sum(curtailed_mwh), 6) AS curtailed_mwh
 FROM ({_S15}) s GROUP BY 1
