@@ -83,7 +83,8 @@ def learned(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                 move[s, 2 * q] = (1 - stay) * follow[r, q]
     start = np.full(STATES, -math.inf)
     start[::2] = np.log(first / first.sum())
-    return {"start": start, "move": np.log(move), "emit": np.log(emit / emit.sum(1, keepdims=True))}
+    with np.errstate(divide="ignore"):  # a turn of one role cannot go on as another's: minus infinity
+        return {"start": start, "move": np.log(move), "emit": np.log(emit / emit.sum(1, keepdims=True))}
 
 
 def block_matrix(seen: list[int], model: dict) -> np.ndarray:
