@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from .common import out, per_worker, row_key, utf8, written
+from ..session import spread
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -105,7 +106,9 @@ def vocabulary(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             found = [own.pieces(words[i:i + AT_ONCE]) for i in range(0, len(words), AT_ONCE)]
             yield out(schema, word=b.column("word"), n=b.column("n"), pieces=pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
 
-    words = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # a task's pre-tokens are distinct already; merging them is heavy for its few bytes, so parts are set by the cores
+    seen_words = spread(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long"), "word")
+    words = seen_words.groupBy("word").agg(F.sum("n").alias("n"))
     return words.mapInArrow(measure, "word string, n long, pieces long")
 
 
@@ -131,7 +134,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     short = words.where(F.octet_length("word") <= LONGEST)
     cut = cut_frequency(short, frequent)
     is_frequent = (F.octet_length("word") <= LONGEST) & (F.col("n") >= cut)
-    known = docs.sparkSession.sparkContext.broadcast({r["word"]: r["pieces"] for r in words.where(is_frequent).select("word", "pieces").collect()})
+    top = words.where(is_frequent).select("word", "pieces").toArrow()
+    known = docs.sparkSession.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), top.column("pieces").to_pylist(), strict=True)))
     pair = pa.struct([("word", pa.string()), ("k", pa.int64())])
     schema = pa.schema([("id", pa.int64()), ("rid", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("rest", pa.list_(pair))])
 
