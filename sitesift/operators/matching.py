@@ -1,7 +1,7 @@
 """Entity resolution: plants against market units by county, name, size and year.
 
 Names are scored once per distinct pair of normalised names. Claiming units one plant at a time, best fit first, is
-settled by components of plants that compete for units, each in its own order.
+settled by components of plants that compete for units, each in its own order: small ones in a task, large ones in rounds.
 """
 
 import itertools
@@ -25,6 +25,11 @@ CROSSWALK_COLUMNS = ["eia_plant_id", "eia_plant_name", "ercot_resource_name", "e
                      "cdr_unit_name", "cdr_year", "name_score", "mw_error_pct", "sced_coverage", "sced_max_hsl_mw"]
 
 
+# One task settles a component of at most PAIRS candidate pairs; of a larger one, a round takes the BLOCK plants next in line,
+# with at most max_candidates times their place each (10 * BLOCK * (BLOCK + 1) / 2, again some 200,000 pairs).
+PAIRS, BLOCK = 200_000, 200
+
+
 # ---- name score ------------------------------------------------------------------------------------------------------------
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine word per row (Hyyrö's bit-parallel recurrence)."""
@@ -230,15 +235,14 @@ def _line(plants: DataFrame, cands: DataFrame, c: dict) -> DataFrame:
     return cut_lineage(plants.select("eia_id").join(lead, "eia_id", "left").select("eia_id", order.alias("line")), "line")
 
 
-def assign(home: DataFrame, plants: DataFrame, units: DataFrame, c: dict, line: DataFrame | None = None) -> DataFrame:
+def assign(home: DataFrame, plants: DataFrame, units: DataFrame, c: dict, line: DataFrame | None = None, most: int = PAIRS, block: int = BLOCK) -> DataFrame:
     """Best-fitting plants claim first. plants: plant_names output. Returns (eia_id, line, tier, chosen, err) for every
     plant; chosen is null when nothing was left. line: the order of claims where it rests on more units than can be
     claimed (`standing` over all of them).
 
     A claim only touches plants that share a candidate with it, directly or through others. So the candidates are cut
-    into components (found by Spark) and each is settled by itself, in its own order: the number of jobs does not grow
-    with a county. A component is what competes within one county and its namesakes elsewhere; claims inside it depend
-    on each other one by one, which is why it stays in one task."""
+    into components (found by Spark) and each is settled by itself, in its own order. Components of at most `most` pairs
+    take one task each; larger ones go through `_rounds`."""
     pairs = cut_lineage(home.unionByName(far_candidates(plants, units, c)), "pairs")
     line = _line(plants, pairs, c) if line is None else line
     node = lambda kind, col: F.xxhash64(F.lit(kind), F.col(col))
@@ -246,8 +250,7 @@ def assign(home: DataFrame, plants: DataFrame, units: DataFrame, c: dict, line:
     group = components(links).select(F.col("node").alias("_n"), F.col("label").alias("component"))
     rows = (pairs.withColumn("_n", node("plant", "eia_id")).join(group, "_n").join(line, "eia_id")
             .select("component", "eia_id", F.col("line.n").alias("late"), F.col("line.e").alias("lead"), "ac_mw", "tier", "unit_code", "mw", "ord", "name_score", "phase_ok", "year_ok"))
-    claims = rows.groupBy("component").applyInPandas(lambda g: _settle(g, c), "eia_id long, tier int, err double, codes array<string>")
-    claims = cut_lineage(claims, "claims")
+    claims = _rounds(rows, c, most, block)
     item = F.struct((-F.col("name_score")).alias("o"), F.coalesce(F.abs(F.col("mw") - F.col("ac_mw")), F.lit(float("inf"))).alias("e"), "ord", "unit_code", "unit_name", "mw",
                     "year", "name_score", "phase_ok", "year_ok")
     taken = claims.select("eia_id", "tier", F.explode("codes").alias("unit_code"))
@@ -255,6 +258,45 @@ def assign(home: DataFrame, plants: DataFrame, units: DataFrame, c: dict, line:
     return cut_lineage(line.join(claims.drop("codes"), "eia_id", "left").join(chosen, "eia_id", "left").select("eia_id", "line", "tier", "chosen", "err"), "picks")
 
 
+def _rounds(rows: DataFrame, c: dict, most: int, block: int) -> DataFrame:
+    """(eia_id, tier, err, codes) of every claim, in rounds over the pairs still free.
+
+    A component with at most `most` free pairs is finished in one task. In a larger one two kinds of plants decide in a
+    round, and the result is that of one after the other:
+    * those whose free candidates are no earlier plant's, each by itself: nobody before them can change what they see;
+    * the first `block` in line, together. Every plant takes `max_candidates` units at most and looks at that many free
+      ones, so the one at place r needs no more than its first r * max_candidates: what a task holds does not grow with
+      the component, and nothing that could be chosen is left out.
+    The rounds of a component are at most its plants over `block`, and few where plants compete with few others."""
+    line = F.struct("late", "lead", "eia_id")
+    gap = F.coalesce(F.nanvl(F.abs(F.col("mw") - F.col("ac_mw")), F.lit(float("inf"))), F.lit(float("inf")))
+    order = [F.col("tier"), F.col("name_score").desc(), gap, F.col("ord").asc_nulls_last(), F.col("unit_code").asc_nulls_last()]
+    free, claims = cut_lineage(rows, "free"), None
+    while True:
+        each = free.groupBy("component", "eia_id", "late", "lead").agg(F.count(F.lit(1)).alias("n"))
+        size = each.groupBy("component").agg(F.sum("n").alias("n"))
+        large = size.filter(F.col("n") > most).select("component")
+        whole = free.join(large, "component", "left_anti").withColumn("alone", F.lit(None).cast("long"))
+        more = not large.isEmpty()
+        if more:
+            rest = free.join(large, "component", "left_semi")
+            place = F.row_number().over(Window.partitionBy("component").orderBy("late", "lead", "eia_id"))
+            front = (each.join(large, "component", "left_semi").withColumn("place", place).filter(F.col("place") <= block)
+                     .select("eia_id", "place", F.lit(None).cast("long").alias("alone")))
+            first = rest.groupBy("unit_code").agg(F.min(line).alias("first"))
+            alone = (rest.join(first, rest["unit_code"].eqNullSafe(first["unit_code"])).groupBy("eia_id").agg(F.min(F.col("first") == line).alias("own"))
+                     .filter("own").join(front, "eia_id", "left_anti").select("eia_id", F.lit(1).alias("place"), F.col("eia_id").alias("alone")))
+            seen = F.row_number().over(Window.partitionBy("eia_id").orderBy(*order))
+            part = (rest.join(front.unionByName(alone), "eia_id").withColumn("seen", seen).filter(F.col("seen") <= F.col("place") * c["max_candidates"]))
+            whole = whole.unionByName(part.select(*whole.columns))
+        got = cut_lineage(whole.groupBy("component", "alone").applyInPandas(lambda g: _settle(g, c), "eia_id long, tier int, err double, codes array<string>"), "claims")
+        claims = got if claims is None else claims.unionByName(got)
+        if not more:
+            return claims
+        gone = got.select(F.explode("codes").alias("_u"))
+        free = cut_lineage(rest.join(got.select("eia_id"), "eia_id", "left_anti").join(gone, F.col("unit_code").eqNullSafe(F.col("_u")), "left_anti"), "free")
+
+
 def _settle(g: pd.DataFrame, c: dict) -> pd.DataFrame:
     """One component: plants in line decide one after the other over the units still free."""
     gap = (g["mw"] - g["ac_mw"]).abs().fillna(np.inf)
