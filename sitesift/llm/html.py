@@ -1,8 +1,8 @@
 """Main text of pages: site templates are found by counting element subtrees per host, then removed.
 
-A page is read into a list of elements. Every block element with text outside the main content has a hash over its
-tag, classes and text, children included. Spark counts in how many different pages of a host a hash occurs; subtrees on many of
-them are the site's template and are deleted. What names itself as no article (navigation, forms, notices, adverts, comments)
+A page is read into a list of elements. Every block element with text outside the main content, and every box, list, section
+or table inside it, has a hash over its tag, classes and text, children included. Spark counts in how many different pages of a
+host a hash occurs; subtrees on many of them (inside the main content: on half of them) are the site's template and are deleted. What names itself as no article (navigation, forms, notices, adverts, comments)
 goes too. Where a page marks its article or main part, text comes from there alone.
 """
 
@@ -19,7 +19,7 @@ from .common import out, texts, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MIN_PAGES, MIN_SHARE = 10, 0.05
+MIN_PAGES, MIN_SHARE, INNER_SHARE = 10, 0.05, 0.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>|<[!?][^>]*>|</?[a-zA-Z](?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^>]*>", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -28,6 +28,8 @@ _WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                   "head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
+#: blocks that are counted inside the main part too; paragraphs, headings, quotes and single entries are its prose
+BOXES = frozenset("address aside details dialog div dl fieldset figure footer form header hgroup menu nav ol search section table ul".split())
 RAW = frozenset("script style noscript template textarea title svg iframe".split())
 NO_TEXT = RAW | frozenset("head nav footer aside form button select option dialog object canvas audio video search menu".split())
 #: a start tag of the first kind ends an open element of the second
@@ -119,7 +121,8 @@ class Page:
 
     def hashes(self) -> dict[int, int]:
         """Hash of each block element's subtree: tag, classes, id and text, white space as one blank; only elements with text
-        that neither hold nor stand in the main part nor hold most of the page's text."""
+        that do not hold the main part or most of the page's text, and inside it only boxes without most of the main part's.
+        The lowest bit says whether the element stands inside."""
         n = len(self.tags)
         main = self.inside(self.is_main)
         holds, size = [False] * n, [0] * n
@@ -128,6 +131,10 @@ class Page:
             if text is not None and (clean := " ".join(text.split())):
                 parts[node].append(clean)
                 size[node] += len(clean)
+        top = list(range(n))  # of an element inside: the outermost main element above it
+        for k in range(1, n):
+            if main[self.parents[k]]:
+                top[k] = top[self.parents[k]]
         got = [0] * n
         for k in range(n - 1, -1, -1):
             got[k] = xxhash.xxh64_intdigest("\x00".join([self.ids[k], *parts[k]]), 7) if size[k] else 0
@@ -137,8 +144,16 @@ class Page:
                 if self.tags[k] not in RAW:
                     size[p] += size[k]
             if k:
-                holds[p] = holds[p] or holds[k] or main[k]
-        return {k: got[k] for k in range(1, n) if size[k] and self.tags[k] in BLOCK and self.tags[k] not in RAW and not main[k] and not holds[k] and 2 * size[k] <= size[0]}
+                holds[p] = holds[p] or holds[k] or self.is_main(k)
+
+        def counts(k: int) -> bool:
+            if not size[k] or holds[k] or self.is_main(k):
+                return False
+            if main[k]:
+                return self.tags[k] in BOXES and 2 * size[k] <= size[top[k]]
+            return self.tags[k] in BLOCK and self.tags[k] not in RAW and 2 * size[k] <= size[0]
+
+        return {k: got[k] & ~1 | main[k] for k in range(1, n) if counts(k)}
 
     def text(self, template: set[int]) -> str:
         main = self.inside(self.is_main)
@@ -181,13 +196,14 @@ def subtrees(rows: DataFrame) -> DataFrame:
     return rows.select("host", "content", "html").mapInArrow(run, "host string, content long, hashes array<long>").select("host", "content", F.explode("hashes").alias("hash"))
 
 
-def templates(nodes: DataFrame, pages_of_host: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of subtrees on at least `min_pages` different pages and a `min_share` of the host's; equal pages count once."""
+def templates(nodes: DataFrame, pages_of_host: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, inner_share: float = INNER_SHARE) -> DataFrame:
+    """(host, hash) of subtrees on at least `min_pages` different pages and a `min_share` of the host's, inside the main part
+    an `inner_share`; equal pages count once."""
     counted = nodes.groupBy("host", "hash").agg(F.countDistinct("content").alias("n")).where(F.col("n") >= min_pages)
-    return counted.join(pages_of_host, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+    return counted.join(pages_of_host, "host").where(F.col("n") >= F.col("pages") * F.when(F.col("hash").bitwiseAND(1) == 1, inner_share).otherwise(min_share)).select("host", "hash")
 
 
-def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, inner_share: float = INNER_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every row: the article's blocks in page order, one line each.
 
     Null or empty pages, and pages without article text, have an empty text. Pages without a host count as one host. Equal pages
@@ -196,7 +212,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = _rows(pages, id_col, url_col, html_col)
     nodes = written(subtrees(rows), "subtrees")
     hosts = rows.groupBy("host").agg(F.countDistinct("content").alias("pages"))
-    found = templates(nodes, hosts, min_pages, min_share)
+    found = templates(nodes, hosts, min_pages, min_share, inner_share)
     own = nodes.join(found, ["host", "hash"], "left_semi").groupBy("host", "content").agg(F.collect_set("hash").alias("template"))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

@@ -106,6 +106,15 @@ def test_templates_of_a_host_go(spark):
     assert html.extracted(df.where("page_id > 999")).count() == 0
 
 
+def test_repeated_boxes_inside_the_article_go(spark):
+    box = "<div class='card'><p>Written by our desk in Oslo</p></div>"
+    page = lambda k: f"<html><body><article><h2>Today</h2><div class='body'><p>Story {k} {'word ' * (k + 9)}</p><p>The same line</p></div>{box if k % 3 else ''}<ul><li>few {k % 10}</li></ul></article></body></html>"
+    df = spark.createDataFrame([(k, f"https://acme.example/{k}", page(k)) for k in range(120)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extracted(df).collect()}
+    # the box stands on two pages of three; paragraphs and headings stay, and so does a list on a tenth of the pages
+    assert all(t == f"Today\nStory {k} {' '.join(['word'] * (k + 9))}\nThe same line\nfew {k % 10}" for k, t in got.items()) and len(got) == 120
+
+
 def test_markers():
     kinds = {"User: hi": 1 + 1, "### Human:": 2, "<|assistant|>": 3, "[context] x": 1, "A: yes": 3, "**Assistant**: ok": 3, "Alice: hi": 4, "A man walks": 0, "userland: no": 0, "": 0}
     assert {k: chat.marker(k)[0] for k in kinds} == kinds
