@@ -420,21 +420,33 @@ def crosswalk(plants: DataFrame, raw_units: DataFrame, cfg: dict, telemetry: Dat
 
 
 # ---- review ------------------------------------------------------------------------------------------------------------------
-def candidate_review(ids: list, plants: DataFrame, raw_units: DataFrame, xwalk: DataFrame, cfg: dict, telemetry: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For the few plants asked about: units of their county or with a similar name; who holds each, its peak and node.
-    The named plants travel as literals, the units are scanned once."""
-    c = cfg["crosswalk"]
-    asked = plant_names(plants.filter(F.col("eia_id").isin(list(ids))), c).select("eia_id", "plant_name", "county_n", "plant_n", "ac_mw").collect()
-    each = F.array(*[F.struct(*[F.lit(r[k]).alias(k) for k in ("eia_id", "plant_name", "county_n", "plant_n", "ac_mw")]) for r in asked])
-    u = market_units(raw_units, c).withColumnsRenamed({"county": "unit_county", "county_n": "unit_county_n"})
-    pairs = u.withColumn("_p", F.explode(each)).select("*", "_p.*").drop("_p")
-    pairs = (pairs.withColumn("county_match", F.col("county_n") == F.col("unit_county_n"))
-             .withColumn("name_score", F.greatest(name_score(F.col("plant_n"), F.col("name_n")), name_score(F.col("plant_n"), F.col("code_n"))))
-             .filter(F.col("county_match") | (F.col("name_score") >= c["review_score"])))
+def held_by(pairs: DataFrame, xwalk: DataFrame) -> DataFrame:
+    """Adds held_by: the plant with the least id that holds the unit in the match table."""
     holders = (xwalk.filter("ercot_resource_name is not null").groupBy(F.col("ercot_resource_name").alias("unit_code"))
                .agg(F.min_by("eia_plant_name", F.struct(F.col("eia_plant_id").try_cast("bigint").alias("i"), F.col("eia_plant_id").cast("string").alias("t"))).alias("held_by")))
-    return (pairs.select("eia_id", "plant_name", "ac_mw", "unit_code", "unit_name", "unit_county", "mw", "year", "name_score", "county_match")
-            .join(holders, "unit_code", "left").join(telemetry.select(F.col("resource_name").alias("unit_code"), F.col("max_hsl_mw").alias("sced_peak_mw")), "unit_code", "left")
+    return pairs.join(holders, "unit_code", "left")
+
+
+def candidate_review(asked: DataFrame, raw_units: DataFrame, xwalk: DataFrame, cfg: dict, telemetry: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For the plants asked about (rows of the plants table, few or all): units of their county or with a similar name; who
+    holds each, its peak and node. Names this far apart need not share a word or letter pair, so every distinct plant name
+    is compared with every distinct unit name, once, in tasks."""
+    c = cfg["crosswalk"]
+    keep = ["eia_id", "plant_name", "ac_mw", "unit_code", "unit_name", "unit_county", "mw", "year", "name_score", "county_match"]
+    named = cut_lineage(plant_names(asked, c), "asked")
+    units = cut_lineage(market_units(raw_units, c), "units")
+    home = _score_pairs(county_pairs(named, units)).withColumn("county_match", F.lit(True))
+    theirs = units.select(F.explode(F.array("name_n", "code_n")).alias("other")).distinct()
+    alike = (spread(named.select("plant_n").distinct(), "plant_n").crossJoin(theirs)
+             .withColumn("s", name_score(F.col("plant_n"), F.col("other"), c["review_score"])).filter(F.col("s") >= c["review_score"]))
+    alike = cut_lineage(alike, "alike")
+    u = units.withColumnsRenamed({"county": "unit_county", "county_n": "unit_county_n"})
+    hits = [alike.select("plant_n", F.col("other").alias(k), "s").join(u, k).select("plant_n", "unit_code", "s") for k in ("name_n", "code_n")]
+    best = hits[0].union(hits[1]).groupBy("plant_n", "unit_code").agg(F.max("s").alias("name_score"))
+    away = (named.join(best, "plant_n").join(u, "unit_code").withColumn("county_match", F.col("county_n") == F.col("unit_county_n"))
+            .filter("county_match is null or not county_match"))
+    return (held_by(home.select(*keep).unionByName(away.select(*keep)), xwalk)
+            .join(telemetry.select(F.col("resource_name").alias("unit_code"), F.col("max_hsl_mw").alias("sced_peak_mw")), "unit_code", "left")
             .withColumn("_k", F.upper("unit_code")).join(nodes.select(F.col("resource").alias("_k"), "node"), "_k", "left").drop("_k"))
 
 

@@ -245,8 +245,9 @@ def _(t):
 REVIEWED = [1, 2, 3, 5, 8]
 
 
-def review(t):
-    return mt.candidate_review(REVIEWED, plants(t), t["market_rows"], t["old_matches"], CFG, t["unit_peaks"], mt.node_map(t["node_rows"]))
+def review(t, asked=None):
+    asked = plants(t).filter(F.col("eia_id").isin(REVIEWED)) if asked is None else asked
+    return mt.candidate_review(asked, t["market_rows"], t["old_matches"], CFG, t["unit_peaks"], mt.node_map(t["node_rows"]))
 
 
 _REVIEW = f"""
@@ -278,6 +279,17 @@ def _(t):
     return mt.free_unit_sets(review(t), C).select("eia_id", F.col("place").cast("bigint").alias("place"), F.col("n_units").cast("bigint").alias("n_units"), R("total_mw"), "codes")
 
 
+# the three above keep the ids of their SQL; these take every plant, without SQL (tests/test_matching.py has the plain version)
+@query("held_by_lookup_all")
+def _(t):
+    return mt.held_by(mt.county_pairs(named(t), units(t)).select("eia_id", "unit_code"), t["old_matches"]).select("eia_id", "unit_code", "held_by")
+
+
+@query("free_unit_sets_all")
+def _(t):
+    return mt.free_unit_sets(review(t, plants(t)), C).select("eia_id", F.col("place").cast("bigint").alias("place"), F.col("n_units").cast("bigint").alias("n_units"), R("total_mw"), "codes")
+
+
 view("twin_plants", """
 SELECT s_suppkey * 2 + k AS eia_id, concat('Ridge', CAST(s_suppkey AS STRING), CASE k WHEN 0 THEN ' East' ELSE ' West' END) AS plant_name, concat('C', CAST(s_suppkey AS STRING), ' County') AS county,
        CASE k WHEN 0 THEN 90e0 ELSE 20e0 END AS ac_mw, make_date(2018, 5, 1) AS cod_first, make_date(2018, 5, 1) AS cod_last, 'pass' AS filter_status
