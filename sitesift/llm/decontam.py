@@ -37,7 +37,7 @@ def _item_blocks(items: DataFrame, item_col: str, text_col: str, limit: int):
     for row in items.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).toLocalIterator():
         low, s, e = _words(row["t"].encode())
         words = [low[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-        if not words or row["i"] is None:
+        if not words:
             continue
         block.append((row["i"], words))
         size += len(low)
@@ -165,7 +165,8 @@ def _block_hits(docs: DataFrame, win, prefix, window: int) -> DataFrame:
                 found = _probe(word_hashes(low, starts, ends), low, starts, ends, windows, rare)
                 n_words.append(len(starts))
                 spans.append(_spans([s for s, _ in found], [int(windows.words[w]) for _, w in found]))
-                items.append(sorted({windows.items[i] for _, w in found for i in windows.owners[w]}))
+                own = {windows.items[i] for _, w in found for i in windows.owners[w]}
+                items.append(sorted(own - {None}) + [None] * (None in own))
             yield out(schema, id=b.column("id"), rid=b.column("rid"), n_words=n_words, spans=spans, items=items)
 
     return docs.mapInArrow(run, HITS)
@@ -173,10 +174,10 @@ def _block_hits(docs: DataFrame, win, prefix, window: int) -> DataFrame:
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, rid, n_words, spans, items) of every row: the word spans [from, to) inside occurrences of item windows, merged,
-    and the sorted ids of the items that have one.
+    and the sorted ids of the items that have one, a null last for those without an id.
 
-    Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. Items without words or
-    without an id match nothing. An empty set of items gives every row without spans.
+    Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. Items without words
+    match nothing; those without an id match like any other and count as one item. An empty set of items gives every row without spans.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))

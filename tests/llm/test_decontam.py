@@ -57,3 +57,12 @@ def test_no_items_and_no_documents(spark, make):
     r = decontam.contamination(make([(1, "a b")]), none).first()
     assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (2, 0, 0, False)
     assert decontam.contamination(make([(1, "a b")]).where("doc_id > 1"), none).count() == 0
+
+
+@pytest.mark.parametrize("block", [1 << 20, 10])
+def test_items_without_an_id_are_looked_for(spark, make, block):
+    items = spark.createDataFrame([(None, "red fox runs"), (None, "old owl sleeps"), (7, "grey cat waits")], "item_id long, text string")
+    rows = [(1, "a red fox runs and an old owl sleeps"), (2, "the grey cat waits for a red fox runs"), (3, "nothing here")]
+    got = {r.doc_id: r for r in decontam.contamination(make(rows), items, block_bytes=block).collect()}
+    assert [(got[k].n_hit, got[k].n_items, got[k].contaminated) for k in (1, 2, 3)] == [(6, 1, True), (6, 2, True), (0, 0, False)]
+    assert [got[k].items_sha256 for k in (1, 2)] == [hashlib.sha256(t).hexdigest() for t in (b"", b"7")]
