@@ -86,15 +86,16 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 
 def _cross(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links between two blocks, for each member of one its first partner in each tree it touches is enough: all rows are
-    compared, and a row's partners are linked in a line."""
-    edges = []
+    """A spanning forest of the links between two blocks: all rows are compared, and each member of one is linked to one
+    partner in each tree it touches, which makes them one tree. Fewer links than the blocks have members."""
+    edges, tree = [], np.arange(len(b))
     for x in a:
-        hit = b[_near(x, b, distance)]
+        hit = np.flatnonzero(_near(x, b, distance))
         if len(hit):
-            edges.append((int(x), int(hit[0])))
-            if len(hit) > 1:
-                edges += list(zip(hit[:-1].tolist(), hit[1:].tolist(), strict=True))
+            found, first = np.unique(tree[hit], return_index=True)
+            edges += [(int(x), int(y)) for y in b[hit[first]]]
+            if len(found) > 1:
+                tree[np.isin(tree, found)] = found[0]
     return edges
 
 
@@ -178,7 +179,6 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
                 e = np.array(_cross(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), distance), np.uint64).reshape(-1, 2)
                 yield out(pair, a=pa.array(e[:, 0].copy().view(np.int64)), b=pa.array(e[:, 1].copy().view(np.int64)))
 
-    # a row's partners in the other block are linked in a line: they share that row, so they belong together
     return got.where("a IS NOT NULL").select("a", "b").unionByName(pairs.mapInArrow(across, "a long, b long"))
 
 

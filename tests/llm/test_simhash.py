@@ -89,3 +89,30 @@ def test_forest_and_empty(spark, make):
     assert simhash.near_duplicates(make([(1, "x")]).where("doc_id > 5")).count() == 0
     line = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000), (None, 4)], "a long, b long")
     assert {r.label for r in components(line).collect()} == {0}
+
+
+def test_links_between_blocks_are_a_forest():
+    rng = np.random.default_rng(8)
+    centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    near = lambda n: np.unique([c ^ np.uint64(1 << int(i)) ^ np.uint64(1 << int(j)) for c in centres for i, j in rng.integers(0, 60, (n, 2))]).astype(np.uint64)
+    a = near(12)
+    b = np.setdiff1d(near(20), a)
+
+    def groups(edges):
+        up = {}
+
+        def root(v):
+            while up.setdefault(v, v) != v:
+                v = up[v]
+            return v
+        for x, y in edges:
+            up[root(x)] = root(y)
+        every = {}
+        for v in list(up):
+            every.setdefault(root(v), set()).add(v)
+        return {frozenset(g) for g in every.values()}
+
+    linked = [(int(x), int(y)) for x in a for y in b if int(x ^ y).bit_count() <= 3]
+    got = simhash._cross(a, b, 3)
+    whole = groups(linked)
+    assert groups(got) == whole and set(got) <= set(linked) and len(got) == sum(len(g) - 1 for g in whole) < len(linked)
