@@ -64,11 +64,11 @@ def _(t):
 
 
 view("horizons", """
-SELECT l_orderkey % 50 AS mukey, l_suppkey AS cokey, concat('Soil ', CAST(l_suppkey % 12 AS STRING)) AS compname, concat('MU ', CAST(l_orderkey % 50 AS STRING)) AS muname, 20e0 + l_suppkey % 60 AS comppct_r, l_linenumber * 30e0 AS hzdept_r, l_linenumber * 30e0 + l_quantity AS hzdepb_r,
+SELECT l_orderkey % 50 AS mukey, l_suppkey % 4 AS cokey, concat('Soil ', CAST(l_suppkey % 4 AS STRING)) AS compname, concat('MU ', CAST(l_orderkey % 50 AS STRING)) AS muname, 13e0 + l_suppkey % 4 * 8 AS comppct_r, l_linenumber * 30e0 AS hzdept_r, l_linenumber * 30e0 + l_quantity AS hzdepb_r,
   5e0 + l_partkey % 80 AS sandtotal_r, 10e0 + l_partkey % 15 AS claytotal_r, CASE WHEN l_returnflag = 'R' THEN NULL ELSE 1.2e0 + l_discount * 5e0 END AS dbthirdbar_r, 15e0 + l_tax * 100e0 AS wthirdbar_r FROM lineitem
 """)
 view("site_mapunits", "SELECT DISTINCT c_custkey % 200 AS eia_id, c_nationkey * 2 AS mukey, 1e0 + c_nationkey AS a FROM customer")
-view("restrictions", "SELECT s_suppkey % 50 AS mukey, s_suppkey AS cokey, 2e1 + s_nationkey AS comppct_r, 'Bedrock' AS reskind, s_acctbal / 40e0 AS resdept_r FROM supplier")
+view("restrictions", "SELECT s_suppkey % 50 AS mukey, s_suppkey % 4 AS cokey, 13e0 + s_suppkey % 4 * 8 AS comppct_r, 'Bedrock' AS reskind, s_acctbal / 40e0 AS resdept_r FROM supplier")
 _LAM = """(SELECT *, CASE WHEN q * 100 >= 50 THEN 3.55e0 ELSE 1.9e0 END AS k, pow(pow(7.7e0, q) * pow(CASE WHEN q > 0.2e0 THEN 2e0 ELSE 3e0 END, 1 - q), 1 - n) * pow(0.6e0, n) AS sat, 0.75e0 * pow(10e0, -1.2e0 * n) AS dry, greatest(0e0, least(1e0, wthirdbar_r / 100e0 / n)) AS sr
   FROM (SELECT *, greatest(0e0, least(1e0, sandtotal_r / 100e0)) AS q, greatest(0.05e0, least(0.95e0, 1e0 - dbthirdbar_r / 2.65e0)) AS n, greatest(least(hzdepb_r, 200e0) - least(hzdept_r, 200e0), 0e0) AS w FROM horizons WHERE dbthirdbar_r IS NOT NULL) a WHERE w > 0)"""
 _HW = f"SELECT mukey, cokey, compname, comppct_r, sum(((sat - dry) * (k * sr / (1 + (k - 1) * sr)) + dry) * w) / sum(w) AS lam, sum(dry * w) / sum(w) AS lam_dry, sum(sat * w) / sum(w) AS lam_sat, sum(sandtotal_r * w) / sum(w) AS sand FROM {_LAM} b GROUP BY 1, 2, 3, 4"
@@ -86,18 +86,23 @@ _HC = f"""SELECT mukey, cokey, compname, min(muname) AS muname, comppct_r, {', '
 _RESTR = f"SELECT mu.eia_id, r.cokey, mu.share * r.comppct_r / 100 AS s, r.resdept_r, r.reskind FROM ({_MU}) mu JOIN restrictions r ON mu.mukey = r.mukey WHERE coalesce(r.resdept_r, 0) < 200"
 
 
+def _even(x: str, digits: int) -> str:
+    """The rounding of published figures: nine digits first, then halves to even."""
+    return f"round_even(round(({x}) * 1e{digits}, {9 - digits}), 0) / 1e{digits}"
+
+
 @query("soil_rollup", f"""
 WITH comp AS (SELECT mu.eia_id, c.*, mu.share * c.comppct_r / 100e0 AS w FROM ({_MU}) mu JOIN ({_HC}) c ON mu.mukey = c.mukey),
-o AS (SELECT eia_id, sum(w) AS tw, {', '.join(f'round_even(sum({v} * w) / sum(w), {d}) AS {k}' for k, v, d in (('soil_lambda_w_mk', 'lam', 3), ('soil_lambda_dry_w_mk', 'lam_dry', 3), ('soil_lambda_sat_w_mk', 'lam_sat', 3), ('soil_sand_pct', 'sand', 1), ('soil_clay_pct', 'clay', 1), ('soil_bulk_density', 'bd', 2), ('soil_theta_fc', 'th', 1)))} FROM comp GROUP BY 1 HAVING sum(w) > 0),
-dom AS (SELECT eia_id, compname || ' (' || CAST(CAST(round_even(m * 100, 0) AS BIGINT) AS VARCHAR) || '%' || ')' AS dominant_soil FROM (SELECT *, row_number() OVER (PARTITION BY eia_id ORDER BY round(m, 12) DESC, compname) AS rn FROM (SELECT eia_id, compname, sum(w) AS m FROM comp GROUP BY 1, 2) n) q WHERE rn = 1),
-dmu AS (SELECT l.eia_id, n.muname AS dominant_mapunit FROM (SELECT *, row_number() OVER (PARTITION BY eia_id ORDER BY share DESC, mukey) AS rn FROM ({_MU}) z) l LEFT JOIN (SELECT mukey, min(muname) AS muname FROM ({_HC}) h GROUP BY 1) n ON l.mukey = n.mukey WHERE rn = 1),
-rs AS (SELECT eia_id, round_even(sum(s), 3) AS restriction_share, min(d) AS restriction_min_depth_cm FROM (SELECT eia_id, cokey, max(s) AS s, min(resdept_r) AS d FROM ({_RESTR}) r0 GROUP BY 1, 2) r1 GROUP BY 1),
+o AS (SELECT eia_id, sum(w) AS tw, {', '.join(f'{_even('sum(' + v + ' * w) / sum(w)', d)} AS {k}' for k, v, d in (('soil_lambda_w_mk', 'lam', 3), ('soil_lambda_dry_w_mk', 'lam_dry', 3), ('soil_lambda_sat_w_mk', 'lam_sat', 3), ('soil_sand_pct', 'sand', 1), ('soil_clay_pct', 'clay', 1), ('soil_bulk_density', 'bd', 2), ('soil_theta_fc', 'th', 1)))} FROM comp GROUP BY 1 HAVING sum(w) > 0),
+dom AS (SELECT eia_id, compname || ' (' || CAST(CAST({_even('m * 100', 0)} AS BIGINT) AS VARCHAR) || '%' || ')' AS dominant_soil FROM (SELECT *, row_number() OVER (PARTITION BY eia_id ORDER BY round(m, 9) DESC, compname) AS rn FROM (SELECT eia_id, compname, sum(w) AS m FROM comp GROUP BY 1, 2) n) q WHERE rn = 1),
+dmu AS (SELECT l.eia_id, n.muname AS dominant_mapunit FROM (SELECT *, row_number() OVER (PARTITION BY eia_id ORDER BY round(share, 9) DESC, mukey) AS rn FROM ({_MU}) z) l LEFT JOIN (SELECT mukey, min(muname) AS muname FROM ({_HC}) h GROUP BY 1) n ON l.mukey = n.mukey WHERE rn = 1),
+rs AS (SELECT eia_id, {_even('sum(s)', 3)} AS restriction_share, min(d) AS restriction_min_depth_cm FROM (SELECT eia_id, cokey, max(s) AS s, min(resdept_r) AS d FROM ({_RESTR}) r0 GROUP BY 1, 2) r1 GROUP BY 1),
 kinds AS (SELECT eia_id, string_agg(DISTINCT reskind, '; ') AS restriction_kinds FROM ({_RESTR}) r2 GROUP BY 1),
 rock AS (SELECT mu.eia_id, min(TRY_CAST(b.brockdepmin AS DOUBLE)) AS bedrock_depth_cm_min FROM ({_MU}) mu JOIN bedrock b ON mu.mukey = b.mukey GROUP BY 1)
 SELECT m.eia_id, m.n AS n_mapunits, o.* EXCLUDE (eia_id, tw), CASE WHEN tw IS NULL THEN NULL ELSE dominant_soil END AS dominant_soil, CASE WHEN tw IS NULL THEN NULL ELSE dominant_mapunit END AS dominant_mapunit,
   CASE WHEN tw IS NULL THEN NULL ELSE coalesce(restriction_share, 0) END AS restriction_share, CASE WHEN tw IS NULL THEN NULL ELSE restriction_min_depth_cm END AS restriction_min_depth_cm, CASE WHEN tw IS NULL THEN NULL ELSE restriction_kinds END AS restriction_kinds,
-  CASE WHEN tw IS NULL THEN NULL ELSE bedrock_depth_cm_min END AS bedrock_depth_cm_min, CASE WHEN tw IS NULL THEN 'no_soil_data' ELSE 'ok' END AS soil_status, round_even(coalesce(tw, 0), 3) AS soil_data_share,
-  'usda nrcs ssurgo via soil data access; lambda: cote & konrad (2005) at field capacity' AS soil_source, CASE WHEN tw IS NOT NULL AND round_even(tw, 3) >= 0.8 AND NOT coalesce(p.geometry_is_point, true) THEN 'medium' ELSE 'low' END AS soil_confidence
+  CASE WHEN tw IS NULL THEN NULL ELSE bedrock_depth_cm_min END AS bedrock_depth_cm_min, CASE WHEN tw IS NULL THEN 'no_soil_data' ELSE 'ok' END AS soil_status, {_even('coalesce(tw, 0)', 3)} AS soil_data_share,
+  'usda nrcs ssurgo via soil data access; lambda: cote & konrad (2005) at field capacity' AS soil_source, CASE WHEN tw IS NOT NULL AND {_even('tw', 3)} >= 0.8 AND NOT coalesce(p.geometry_is_point, true) THEN 'medium' ELSE 'low' END AS soil_confidence
 FROM (SELECT DISTINCT eia_id, n FROM ({_MU}) z2) m LEFT JOIN o ON m.eia_id = o.eia_id LEFT JOIN dom ON m.eia_id = dom.eia_id LEFT JOIN dmu ON m.eia_id = dmu.eia_id LEFT JOIN rs ON m.eia_id = rs.eia_id
 LEFT JOIN kinds ON m.eia_id = kinds.eia_id LEFT JOIN rock ON m.eia_id = rock.eia_id LEFT JOIN soil_points p ON m.eia_id = p.eia_id
 """)
