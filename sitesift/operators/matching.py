@@ -1,13 +1,13 @@
 """Entity resolution: plants against market units by county, name, size and year.
 
 Names are scored once per distinct pair of normalised names. Claiming units one plant at a time, best fit first, is
-settled by components of plants that compete for units, each in its own order: small ones in a task, large ones in rounds.
+left to `claims`, the search for sets of free units to `unit_sets`.
 """
 
-import itertools
+import functools
+import math
 import sys
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text
 from ..functions.nulls import blank_to_null, is_true, to_number
 from ..session import cut_lineage, spread
-from .graph import components
+from . import claims, unit_sets
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -25,11 +25,6 @@ CROSSWALK_COLUMNS = ["eia_plant_id", "eia_plant_name", "ercot_resource_name", "e
                      "cdr_unit_name", "cdr_year", "name_score", "mw_error_pct", "sced_coverage", "sced_max_hsl_mw"]
 
 
-# One task settles a component of at most PAIRS candidate pairs; of a larger one, a round takes the BLOCK plants next in line,
-# with at most max_candidates times their place each (10 * BLOCK * (BLOCK + 1) / 2, again some 200,000 pairs).
-PAIRS, BLOCK = 200_000, 200
-
-
 # ---- name score ------------------------------------------------------------------------------------------------------------
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine word per row (Hyyrö's bit-parallel recurrence)."""
@@ -137,8 +132,8 @@ def _rare_keys(names: DataFrame, score: float) -> DataFrame:
     return ranked.select("name", "_n", "k", "_pair", lead.alias("lead"))
 
 
-def far_pairs(plants: DataFrame, units: DataFrame, c: dict) -> DataFrame:
-    """Units of other counties whose name reaches the high score. Blocking and scoring run on distinct names."""
+def strong_names(plants: DataFrame, units: DataFrame, c: dict) -> DataFrame:
+    """(plant_n, unit_code, name_score) of distinct plant names and the units whose name or code reaches the high score."""
     mine = plants.select(F.col("plant_n").alias("name")).filter("name != ''").distinct().withColumn("_mine", F.lit(True))
     theirs = units.select(F.explode(F.array("name_n", "code_n")).alias("name")).filter("name != ''").distinct()
     keys = cut_lineage(_rare_keys(mine.select("name").union(theirs).distinct(), c["name_high"]), "keys")
@@ -150,13 +145,79 @@ def far_pairs(plants: DataFrame, units: DataFrame, c: dict) -> DataFrame:
              p.filter("_pair and pl").join(o.filter("ol"), "k").filter(like)]
     names = (joint[0].select("plant_n", "other").union(joint[1].select("plant_n", "other")).union(joint[2].select("plant_n", "other")).distinct()
              .transform(lambda d: spread(d, "plant_n", "other")).withColumn("s", name_score(F.col("plant_n"), F.col("other"), c["name_high"])).filter(F.col("s") >= c["name_high"]))
+    hits = [names.select("plant_n", F.col("other").alias(k), "s").join(units, k).select("plant_n", "unit_code", "s") for k in ("name_n", "code_n")]
+    return hits[0].union(hits[1]).groupBy("plant_n", "unit_code").agg(F.max("s").alias("name_score"))
+
+
+def far_pairs(plants: DataFrame, units: DataFrame, c: dict, names: DataFrame | None = None) -> DataFrame:
+    """Units of other counties whose name reaches the high score. Blocking and scoring run on distinct names."""
     u = units.withColumnsRenamed({"county": "unit_county", "county_n": "unit_county_n"})
-    hits = [names.select("plant_n", F.col("other").alias(k), "s").join(u, k).select("plant_n", "unit_code", "s") for k in ("name_n", "code_n")]
-    best = hits[0].union(hits[1]).groupBy("plant_n", "unit_code").agg(F.max("s").alias("name_score"))
-    return (plants.join(best, "plant_n").join(u, "unit_code").filter(F.col("county_n") != F.col("unit_county_n"))
+    return (plants.join(strong_names(plants, units, c) if names is None else names, "plant_n").join(u, "unit_code").filter(F.col("county_n") != F.col("unit_county_n"))
             .drop("unit_county_n").withColumn("same_county", F.lit(False)))
 
 
+#: letters of normalised names
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def alike_pairs(mine: DataFrame, theirs: DataFrame, score: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, plant_n, other): pairs of distinct names (mine: *keys, plant_n; theirs: *keys, other) that can reach a score too low
+    for shared words or letter pairs to be certain.
+
+    A score is a share of common letters in order, or of shared words in one of the names. Common letters are at most those the
+    two names have in common in any order, so with h = score / 100: twice the common letters are at least h of both lengths, and
+    neither name is longer than (2 - h) / h times the other. Names are dealt by length, each to the lengths it can reach,
+    and the letters are compared as counts before any name is scored. For shared words the rare words of a name suffice."""
+    h = score / 100.0
+    words = lambda c: F.array_distinct(F.filter(F.split(F.col(c), " "), lambda w: w != ""))
+
+    def sized(names, column):
+        joined = F.array_join(F.array_sort(words(column)), " ")
+        counts = F.array(*[F.length(joined) - F.length(F.replace(joined, F.lit(x), F.lit(""))) for x in LETTERS])
+        return names.filter(F.col(column) != "").distinct().select(*keys, column, F.length(joined).alias(f"n_{column}"), counts.alias(f"bag_{column}"))
+
+    reach = F.sequence(F.ceil(F.col("n_plant_n") * h / (2 - h) - 1e-9), F.floor(F.col("n_plant_n") * (2 - h) / h + 1e-9))
+    p, o = sized(mine, "plant_n").withColumn("n_other", F.explode(reach)), sized(theirs, "other").withColumn("n_other", F.col("n_other").cast("long"))
+    common = functools.reduce(lambda a, b: a + b, [F.least(F.col("bag_plant_n")[k], F.col("bag_other")[k]) for k in range(len(LETTERS))])
+    by_letters = p.join(o, [*keys, "n_other"]).filter(2.0 * common >= h * (F.col("n_plant_n") + F.col("n_other")) - 1e-9).select(*keys, "plant_n", "other")
+    names = mine.select(F.col("plant_n").alias("name")).union(theirs.select("other")).filter("name != ''").distinct()
+    rare = cut_lineage(_rare_keys(names, score).filter("not _pair").select("name", "k", "lead"), "keys")
+    w = mine.distinct().join(rare.select(F.col("name").alias("plant_n"), "k", F.col("lead").alias("pl")), "plant_n")
+    v = theirs.distinct().join(rare.select(F.col("name").alias("other"), "k", F.col("lead").alias("ol")), "other")
+    by_words = [w.filter("pl").join(v, [*keys, "k"]), w.join(v.filter("ol"), [*keys, "k"])]
+    return by_letters.union(by_words[0].select(*keys, "plant_n", "other")).union(by_words[1].select(*keys, "plant_n", "other")).distinct()
+
+
+def alike_names(mine: DataFrame, theirs: DataFrame, score: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, plant_n, other, s): the pairs of distinct names that reach the score."""
+    pairs = spread(alike_pairs(mine, theirs, score, keys), "plant_n", "other")
+    return pairs.withColumn("s", name_score(F.col("plant_n"), F.col("other"), score)).filter(F.col("s") >= score)
+
+
+def _unit_names(units: DataFrame, *keys: str) -> DataFrame:
+    return units.select(*keys, F.explode(F.array("name_n", "code_n")).alias("other")).distinct()
+
+
+def named_in_county(plants: DataFrame, units: DataFrame, score: float) -> DataFrame:
+    """(eia_id, unit_code, name_score): units of a plant's county whose name or code reaches the score."""
+    near = cut_lineage(alike_names(plants.select("county_n", "plant_n"), _unit_names(units, "county_n"), score, ("county_n",)), "near")
+    hits = [near.withColumnRenamed("other", k).join(units.select("county_n", k, "unit_code"), ["county_n", k]).select("county_n", "plant_n", "unit_code", "s") for k in ("name_n", "code_n")]
+    best = hits[0].union(hits[1]).groupBy("county_n", "plant_n", "unit_code").agg(F.max("s").alias("name_score"))
+    return plants.select("eia_id", "county_n", "plant_n").join(best, ["county_n", "plant_n"]).select("eia_id", "unit_code", "name_score")
+
+
+def sized_in_county(plants: DataFrame, units: DataFrame, c: dict) -> DataFrame:
+    """(eia_id, unit_code): units of a plant's county with fitting MW, by MW buckets a tenth wide, and year; an unknown year fits all."""
+    tol, step = c["mw_tolerance_high"], math.log(1.1)
+    bucket = lambda x: F.floor(F.log(x) / step)
+    near = lambda d: F.transform(F.sequence(F.lit(-c["year_tolerance"]), F.lit(c["year_tolerance"])), lambda k: F.year(d) + k)
+    years = F.array_distinct(F.array_compact(F.flatten(F.array(F.array(F.lit(-1)), F.coalesce(near("cod_first"), F.array().cast("array<int>")), F.coalesce(near("cod_last"), F.array().cast("array<int>"))))))
+    p = (plants.filter("ac_mw > 0").select("eia_id", "county_n", "ac_mw", F.explode(years).alias("y"))
+         .withColumn("b", F.explode(F.sequence(bucket(F.col("ac_mw") * (1 - tol) * (1 - 1e-9)), bucket(F.col("ac_mw") * (1 + tol) * (1 + 1e-9))))))
+    u = units.filter("mw > 0").select("unit_code", "county_n", "mw", F.coalesce(F.col("year").cast("int"), F.lit(-1)).alias("y"), bucket(F.col("mw")).alias("b"))
+    return p.join(u, ["county_n", "y", "b"]).filter(F.abs(F.col("mw") - F.col("ac_mw")) / F.col("ac_mw") <= tol).select("eia_id", "unit_code")
+
+
 def annotate(pairs: DataFrame, c: dict) -> DataFrame:
     """phase_ok and year_ok of a plant / unit pair."""
     overlap = F.arrays_overlap("want", "digits")
@@ -171,16 +232,20 @@ _CANDIDATE = ["eia_id", "ac_mw", "unit_code", "unit_name", "mw", "year", "ord",
 
 
 def home_candidates(plants: DataFrame, units: DataFrame, c: dict) -> DataFrame:
-    """County pairs that can matter: tier 1 by a good name, tier 2 by a weak name or by fitting size and year."""
-    pairs = annotate(_score_pairs(county_pairs(plants, units)), c)
+    """County pairs that can matter: tier 1 by a good name, tier 2 by a weak name or by fitting size and year. Only such pairs
+    are made, not the county's plants times its units."""
+    ids = cut_lineage(named_in_county(plants, units, c["name_min"]).select("eia_id", "unit_code").union(sized_in_county(plants, units, c)).distinct(), "ids")
+    u = units.drop("county_n").withColumnsRenamed({"county": "unit_county", "unit_code": "_u"})
+    pairs = (plants.join(ids, "eia_id").join(u, F.col("unit_code").eqNullSafe(F.col("_u"))).drop("_u").withColumn("same_county", F.lit(True)))
+    pairs = annotate(_score_pairs(pairs), c)
     fit = is_true((F.abs(F.col("mw") - F.col("ac_mw")) / F.col("ac_mw") <= c["mw_tolerance_high"]) & F.col("year_ok"))
     tier = F.when(F.col("name_score") >= c["name_medium"], 1).when((F.col("name_score") >= c["name_min"]) | fit, 2)
     return pairs.withColumn("tier", tier).filter("tier is not null").select(*_CANDIDATE)
 
 
-def far_candidates(plants: DataFrame, units: DataFrame, c: dict) -> DataFrame:
+def far_candidates(plants: DataFrame, units: DataFrame, c: dict, names: DataFrame | None = None) -> DataFrame:
     """Tier 3: a strong name in another county."""
-    return annotate(far_pairs(plants, units, c), c).withColumn("tier", F.lit(3)).select(*_CANDIDATE)
+    return annotate(far_pairs(plants, units, c, names), c).withColumn("tier", F.lit(3)).select(*_CANDIDATE)
 
 
 # ---- subset of one plant's candidates ------------------------------------------------------------------------------------------
@@ -222,114 +287,45 @@ def choose(cands: DataFrame, c: dict) -> DataFrame:
 
 
 # ---- claiming --------------------------------------------------------------------------------------------------------------
-def standing(home: DataFrame, plants: DataFrame, units: DataFrame, c: dict) -> DataFrame:
+def standing(home: DataFrame, plants: DataFrame, units: DataFrame, c: dict, names: DataFrame | None = None) -> DataFrame:
     """(eia_id, line): the order in which plants claim, by the error of their best subset among the given units; plants
     without candidates or with units of unknown size come last, ties go by id."""
     lookers = plants.join(home.select("eia_id"), "eia_id", "left_anti")
-    return _line(plants, home.unionByName(far_candidates(lookers, units, c)), c)
-
-
-def _line(plants: DataFrame, cands: DataFrame, c: dict) -> DataFrame:
-    lead = choose(cands, c).select("eia_id", F.col("err").alias("_e"))
+    lead = choose(home.unionByName(far_candidates(lookers, units, c, names)), c).select("eia_id", F.col("err").alias("_e"))
     order = F.struct(F.col("_e").isNull().alias("n"), F.coalesce("_e", F.lit(0.0)).alias("e"), F.col("eia_id").alias("i"))
     return cut_lineage(plants.select("eia_id").join(lead, "eia_id", "left").select("eia_id", order.alias("line")), "line")
 
 
-def assign(home: DataFrame, plants: DataFrame, units: DataFrame, c: dict, line: DataFrame | None = None, most: int = PAIRS, block: int = BLOCK) -> DataFrame:
+def assign(home: DataFrame, plants: DataFrame, units: DataFrame, c: dict, line: DataFrame | None = None, block: int = claims.BLOCK) -> DataFrame:
     """Best-fitting plants claim first. plants: plant_names output. Returns (eia_id, line, tier, chosen, err) for every
     plant; chosen is null when nothing was left. line: the order of claims where it rests on more units than can be
     claimed (`standing` over all of them).
 
-    A claim only touches plants that share a candidate with it, directly or through others. So the candidates are cut
-    into components (found by Spark) and each is settled by itself, in its own order. Components of at most `most` pairs
-    take one task each; larger ones go through `_rounds`."""
-    pairs = cut_lineage(home.unionByName(far_candidates(plants, units, c)), "pairs")
-    line = _line(plants, pairs, c) if line is None else line
-    node = lambda kind, col: F.xxhash64(F.lit(kind), F.col(col))
-    links = pairs.select(node("plant", "eia_id").alias("a"), node("unit", "unit_code").alias("b"))
-    group = components(links).select(F.col("node").alias("_n"), F.col("label").alias("component"))
-    rows = (pairs.withColumn("_n", node("plant", "eia_id")).join(group, "_n").join(line, "eia_id")
-            .select("component", "eia_id", F.col("line.n").alias("late"), F.col("line.e").alias("lead"), "ac_mw", "tier", "unit_code", "mw", "ord", "name_score", "phase_ok", "year_ok"))
-    claims = _rounds(rows, c, most, block)
+    A plant looks at other counties when none of its own county's candidates is free, so its far pairs are made then. Strong
+    names are found once, on distinct names."""
+    names = cut_lineage(strong_names(plants, units, c), "names")
+    line = standing(home, plants, units, c, names) if line is None else line
+    candidates: list[DataFrame] = [home]
+
+    def look_far(ids: DataFrame) -> DataFrame:
+        candidates.append(cut_lineage(far_candidates(plants.join(ids, "eia_id", "left_semi"), units, c, names), "far"))
+        return preferences(candidates[-1], line)
+
+    taken = claims.settled(line.select(F.col("line.n").alias("late"), F.col("line.e").alias("lead"), "eia_id"), preferences(home, line), look_far, lambda g: claims.one_by_one(g, c), block)[0]
     item = F.struct((-F.col("name_score")).alias("o"), F.coalesce(F.abs(F.col("mw") - F.col("ac_mw")), F.lit(float("inf"))).alias("e"), "ord", "unit_code", "unit_name", "mw",
                     "year", "name_score", "phase_ok", "year_ok")
-    taken = claims.select("eia_id", "tier", F.explode("codes").alias("unit_code"))
-    chosen = pairs.join(taken, ["eia_id", "tier", "unit_code"]).groupBy("eia_id").agg(F.array_sort(F.collect_list(item)).alias("chosen"))
-    return cut_lineage(line.join(claims.drop("codes"), "eia_id", "left").join(chosen, "eia_id", "left").select("eia_id", "line", "tier", "chosen", "err"), "picks")
-
-
-def _rounds(rows: DataFrame, c: dict, most: int, block: int) -> DataFrame:
-    """(eia_id, tier, err, codes) of every claim, in rounds over the pairs still free.
-
-    A component with at most `most` free pairs is finished in one task. In a larger one two kinds of plants decide in a
-    round, and the result is that of one after the other:
-    * those whose free candidates are no earlier plant's, each by itself: nobody before them can change what they see;
-    * the first `block` in line, together. Every plant takes `max_candidates` units at most and looks at that many free
-      ones, so the one at place r needs no more than its first r * max_candidates: what a task holds does not grow with
-      the component, and nothing that could be chosen is left out.
-    The rounds of a component are at most its plants over `block`, and few where plants compete with few others."""
-    line = F.struct("late", "lead", "eia_id")
+    codes = taken.select("eia_id", "tier", F.explode("codes").alias("_c")).select("eia_id", "tier", claims.unit_key(F.col("_c")).alias("u"))
+    pairs = functools.reduce(DataFrame.unionByName, candidates)
+    chosen = pairs.withColumn("u", claims.unit_key(F.col("unit_code"))).join(codes, ["eia_id", "tier", "u"]).groupBy("eia_id").agg(F.array_sort(F.collect_list(item)).alias("chosen"))
+    return cut_lineage(line.join(taken.select("eia_id", "tier", "err"), "eia_id", "left").join(chosen, "eia_id", "left").select("eia_id", "line", "tier", "chosen", "err"), "picks")
+
+
+def preferences(pairs: DataFrame, line: DataFrame) -> DataFrame:
+    """Every plant's candidates in the order in which it would take them, with its place in the line of claims."""
     gap = F.coalesce(F.nanvl(F.abs(F.col("mw") - F.col("ac_mw")), F.lit(float("inf"))), F.lit(float("inf")))
-    order = [F.col("tier"), F.col("name_score").desc(), gap, F.col("ord").asc_nulls_last(), F.col("unit_code").asc_nulls_last()]
-    free, claims = cut_lineage(rows, "free"), None
-    while True:
-        each = free.groupBy("component", "eia_id", "late", "lead").agg(F.count(F.lit(1)).alias("n"))
-        size = each.groupBy("component").agg(F.sum("n").alias("n"))
-        large = size.filter(F.col("n") > most).select("component")
-        whole = free.join(large, "component", "left_anti").withColumn("alone", F.lit(None).cast("long"))
-        more = not large.isEmpty()
-        if more:
-            rest = free.join(large, "component", "left_semi")
-            place = F.row_number().over(Window.partitionBy("component").orderBy("late", "lead", "eia_id"))
-            front = (each.join(large, "component", "left_semi").withColumn("place", place).filter(F.col("place") <= block)
-                     .select("eia_id", "place", F.lit(None).cast("long").alias("alone")))
-            first = rest.groupBy("unit_code").agg(F.min(line).alias("first"))
-            alone = (rest.join(first, rest["unit_code"].eqNullSafe(first["unit_code"])).groupBy("eia_id").agg(F.min(F.col("first") == line).alias("own"))
-                     .filter("own").join(front, "eia_id", "left_anti").select("eia_id", F.lit(1).alias("place"), F.col("eia_id").alias("alone")))
-            seen = F.row_number().over(Window.partitionBy("eia_id").orderBy(*order))
-            part = (rest.join(front.unionByName(alone), "eia_id").withColumn("seen", seen).filter(F.col("seen") <= F.col("place") * c["max_candidates"]))
-            whole = whole.unionByName(part.select(*whole.columns))
-        got = cut_lineage(whole.groupBy("component", "alone").applyInPandas(lambda g: _settle(g, c), "eia_id long, tier int, err double, codes array<string>"), "claims")
-        claims = got if claims is None else claims.unionByName(got)
-        if not more:
-            return claims
-        gone = got.select(F.explode("codes").alias("_u"))
-        free = cut_lineage(rest.join(got.select("eia_id"), "eia_id", "left_anti").join(gone, F.col("unit_code").eqNullSafe(F.col("_u")), "left_anti"), "free")
-
-
-def _settle(g: pd.DataFrame, c: dict) -> pd.DataFrame:
-    """One component: plants in line decide one after the other over the units still free."""
-    gap = (g["mw"] - g["ac_mw"]).abs().fillna(np.inf)
-    g = g.assign(o=-g["name_score"], gap=gap).sort_values(["late", "lead", "eia_id", "tier", "o", "gap", "ord", "unit_code"], kind="stable")
-    taken: set[str] = set()
-    out = []
-    columns = zip(*(g[k].tolist() for k in ("eia_id", "tier", "unit_code", "mw", "ac_mw", "phase_ok", "year_ok")), strict=True)
-    for plant, rows in itertools.groupby(columns, key=lambda r: r[0]):
-        free = [r for r in rows if r[2] not in taken]
-        if not free:
-            continue
-        tier = free[0][1]
-        top = [r for r in free if r[1] == tier][:1 if tier == 2 else c["max_candidates"]]
-        known = [r for r in top if r[3] == r[3]]  # not NaN
-        if known:
-            codes, err = _subset(known, c)
-        else:
-            clean = [r for r in top if r[5] and r[6]]
-            codes, err = [r[2] for r in clean or top], None
-        taken.update(codes)
-        out.append((plant, tier, err, codes))
-    return pd.DataFrame(out, columns=["eia_id", "tier", "err", "codes"]).astype({"err": float})
-
-
-def _subset(known: list[tuple], c: dict) -> tuple[list[str], float]:
-    """Least MW error plus penalties over all subsets of at most ten units; then fewer units, then earlier ones."""
-    k, ac_mw = len(known), known[0][4]
-    masks = np.arange(1, 1 << k)
-    bits = (masks[:, None] >> np.arange(k - 1, -1, -1)) & 1
-    pen = np.array([(not r[5]) * c["phase_penalty"] + (not r[6]) * c["year_penalty"] for r in known])
-    err = np.abs(bits @ np.array([r[3] for r in known]) - ac_mw) / ac_mw
-    best = np.lexsort((-masks, bits.sum(1), np.floor((err + bits @ pen) * 1e9 + 0.5)))[0]
-    return [r[2] for r, b in zip(known, bits[best], strict=True) if b], float(err[best])
+    order = Window.partitionBy("eia_id").orderBy(F.col("tier"), F.col("name_score").desc(), gap, F.col("ord").asc_nulls_last(), F.col("unit_code").asc_nulls_last())
+    return (pairs.join(line.select("eia_id", F.col("line.n").alias("late"), F.col("line.e").alias("lead")), "eia_id").withColumn("place", F.row_number().over(order))
+            .select("eia_id", "late", "lead", "place", claims.unit_key(F.col("unit_code")).alias("u"), "unit_code", "tier", "mw", "ac_mw", "phase_ok", "year_ok"))
 
 
 def shared_units(picks: DataFrame, cands: DataFrame, plants: DataFrame, c: dict) -> DataFrame:
@@ -429,17 +425,13 @@ def held_by(pairs: DataFrame, xwalk: DataFrame) -> DataFrame:
 
 def candidate_review(asked: DataFrame, raw_units: DataFrame, xwalk: DataFrame, cfg: dict, telemetry: DataFrame, nodes: DataFrame) -> DataFrame:
     """For the plants asked about (rows of the plants table, few or all): units of their county or with a similar name; who
-    holds each, its peak and node. Names this far apart need not share a word or letter pair, so every distinct plant name
-    is compared with every distinct unit name, once, in tasks."""
+    holds each, its peak and node."""
     c = cfg["crosswalk"]
     keep = ["eia_id", "plant_name", "ac_mw", "unit_code", "unit_name", "unit_county", "mw", "year", "name_score", "county_match"]
     named = cut_lineage(plant_names(asked, c), "asked")
     units = cut_lineage(market_units(raw_units, c), "units")
     home = _score_pairs(county_pairs(named, units)).withColumn("county_match", F.lit(True))
-    theirs = units.select(F.explode(F.array("name_n", "code_n")).alias("other")).distinct()
-    alike = (spread(named.select("plant_n").distinct(), "plant_n").crossJoin(theirs)
-             .withColumn("s", name_score(F.col("plant_n"), F.col("other"), c["review_score"])).filter(F.col("s") >= c["review_score"]))
-    alike = cut_lineage(alike, "alike")
+    alike = cut_lineage(alike_names(named.select("plant_n"), _unit_names(units), c["review_score"]), "alike")
     u = units.withColumnsRenamed({"county": "unit_county", "county_n": "unit_county_n"})
     hits = [alike.select("plant_n", F.col("other").alias(k), "s").join(u, k).select("plant_n", "unit_code", "s") for k in ("name_n", "code_n")]
     best = hits[0].union(hits[1]).groupBy("plant_n", "unit_code").agg(F.max("s").alias("name_score"))
@@ -452,21 +444,9 @@ def candidate_review(asked: DataFrame, raw_units: DataFrame, xwalk: DataFrame, c
 
 def free_unit_sets(review: DataFrame, c: dict, first: int = 6) -> DataFrame:
     """(eia_id, place, n_units, total_mw, err, codes): for each plant asked about, the best sets of up to `review_units` free
-    units whose MW fits within `review_mw_error`. Free: held by nobody or by the plant itself, with known MW. Sets grow by
-    one unit at a time, in unit order, and one that is too large already is dropped."""
-    free = review.filter((F.col("held_by").isNull() | (F.col("held_by") == F.col("plant_name"))) & (F.col("mw") > 0)).select("eia_id", "ac_mw", "unit_code", "mw").distinct()
-    most = F.col("ac_mw") * (1 + c["review_mw_error"]) + 1e-9
-    level = free.select("eia_id", "ac_mw", F.col("mw").alias("total"), F.array("unit_code").alias("codes")).filter(F.col("total") <= most)
-    sets = level
-    more = free.select("eia_id", F.col("unit_code").alias("_u"), F.col("mw").alias("_mw"))
-    for _ in range(c["review_units"] - 1):
-        level = (level.join(more, "eia_id").filter(F.col("_u") > F.element_at("codes", -1))
-                 .select("eia_id", "ac_mw", (F.col("total") + F.col("_mw")).alias("total"), F.concat("codes", F.array("_u")).alias("codes")).filter(F.col("total") <= most))
-        sets = sets.unionByName(level)
-    fit = sets.withColumn("err", F.abs(F.col("total") - F.col("ac_mw")) / F.col("ac_mw")).filter(F.col("err") <= c["review_mw_error"])
-    best = Window.partitionBy("eia_id").orderBy(F.round("err", 9), F.size("codes"), F.array_join("codes", "+"))
-    return (fit.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= first)
-            .select("eia_id", "place", F.size("codes").alias("n_units"), F.col("total").alias("total_mw"), "err", F.array_join("codes", "+").alias("codes")))
+    units whose MW fits within `review_mw_error`. Free: held by nobody or by the plant itself, with known MW."""
+    free = review.filter((F.col("held_by").isNull() | (F.col("held_by") == F.col("plant_name"))) & (F.col("mw") > 0)).select("eia_id", "ac_mw", "unit_code", "mw")
+    return unit_sets.free_unit_sets(free, c["review_units"], c["review_mw_error"], first)
 
 
 def apply_decisions(xwalk: DataFrame, decisions: DataFrame, initials: str, today: str) -> DataFrame:

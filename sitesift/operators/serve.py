@@ -53,15 +53,20 @@ def dossier(df: DataFrame, monthly: DataFrame, layers: dict[str, DataFrame], eia
     return out
 
 
+def running_total(df: DataFrame, order: list[Column], amount: Column, out: str) -> DataFrame:
+    """Every row with the sum of `amount` up to it in the order. Rows are dealt by range and summed per part; only those sums,
+    one per part, meet in one place. `order` should end in a key, so that equal rows do not crowd one part."""
+    rows = cut_lineage(df.withColumn("_amount", amount).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_part").agg(F.sum("_amount").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (rows.withColumn("_at", F.sum("_amount").over(inside)).join(parts.select("_part", "_before"), "_part")
+            .withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before", "_amount"))
+
+
 def positions(df: DataFrame, order: list[Column], out: str = "pos") -> DataFrame:
-    """Every row with its place in the order, 1 first. Rows are dealt by range and counted per part; only the counts, one
-    per part, are summed in one place. `order` should end in a key, so that equal rows do not crowd one part."""
-    rows = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    return (rows.withColumn("_at", F.row_number().over(inside)).join(parts.select("_part", "_before"), "_part")
-            .withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before"))
+    """Every row with its place in the order, 1 first."""
+    return running_total(df, order, F.lit(1), out)
 
 
 def ranked_order(rank: str = "rank_overall", score: str = "score_total") -> list[Column]:

@@ -161,7 +161,7 @@ def _(t):
 
 @query("score_candidates", f"SELECT eia_id, unit_code, round(score, 3) AS name_score FROM ({_HOME_SCORES}) h WHERE score >= 55")
 def _(t):
-    return mt._score_pairs(mt.county_pairs(named(t), units(t))).filter(F.col("name_score") >= C["name_min"]).select("eia_id", "unit_code", R("name_score", 3))
+    return mt.named_in_county(named(t), units(t), C["name_min"]).select("eia_id", "unit_code", R("name_score", 3))
 
 
 def _both(p, u):
@@ -242,16 +242,12 @@ def _(t):
     return mt.crosswalk_status(t["old_matches"], plants(t))
 
 
-REVIEWED = [1, 2, 3, 5, 8]
-
-
-def review(t, asked=None):
-    asked = plants(t).filter(F.col("eia_id").isin(REVIEWED)) if asked is None else asked
-    return mt.candidate_review(asked, t["market_rows"], t["old_matches"], CFG, t["unit_peaks"], mt.node_map(t["node_rows"]))
+def review(t):
+    return mt.candidate_review(plants(t), t["market_rows"], t["old_matches"], CFG, t["unit_peaks"], mt.node_map(t["node_rows"]))
 
 
 _REVIEW = f"""
-WITH p AS (SELECT n.*, m.plant_name FROM ({_NAMES}) n JOIN match_plants m ON m.eia_id = n.eia_id WHERE n.eia_id IN (1, 2, 3, 5, 8)), u AS ({_CODES}),
+WITH p AS (SELECT n.*, m.plant_name FROM ({_NAMES}) n JOIN match_plants m ON m.eia_id = n.eia_id), u AS ({_CODES}),
 sc AS ({_scored("SELECT a, b FROM (SELECT DISTINCT plant_n AS a FROM p) x, (SELECT DISTINCT name AS b FROM (SELECT name_n AS name FROM u UNION ALL SELECT code_n FROM u) n) y")})
 SELECT p.eia_id, p.plant_name, p.ac_mw, u.unit_code, u.mw, u.year, greatest(s1.score, s2.score) AS name_score, p.county_n = u.county_n AS county_match, o.eia_plant_name AS held_by, k.max_hsl_mw AS sced_peak_mw
 FROM p CROSS JOIN u JOIN sc s1 ON s1.a = p.plant_n AND s1.b = u.name_n JOIN sc s2 ON s2.a = p.plant_n AND s2.b = u.code_n LEFT JOIN old_matches o ON o.ercot_resource_name = u.unit_code LEFT JOIN unit_peaks k ON k.resource_name = u.unit_code
@@ -264,30 +260,42 @@ def _(t):
     return review(t).select("eia_id", "plant_name", "unit_code", "mw", F.col("year").cast("bigint").alias("year"), R("name_score", 3), "county_match", "held_by", "sced_peak_mw")
 
 
-@query("held_by_lookup", f"SELECT eia_id, unit_code, held_by FROM ({_REVIEW}) r WHERE county_match")
+_HELD = f"SELECT p.eia_id, p.ac_mw, p.plant_name, u.unit_code, u.mw, o.eia_plant_name AS held_by FROM (SELECT n.*, m.plant_name FROM ({_NAMES}) n JOIN match_plants m ON m.eia_id = n.eia_id) p JOIN ({_CODES}) u ON p.county_n = u.county_n LEFT JOIN old_matches o ON o.ercot_resource_name = u.unit_code"
+
+
+def held(t):
+    return mt.held_by(mt.county_pairs(named(t), units(t)).select("eia_id", "ac_mw", "plant_name", "unit_code", "mw"), t["old_matches"])
+
+
+@query("held_by_lookup", f"SELECT eia_id, unit_code, held_by FROM ({_HELD}) r")
 def _(t):
-    return review(t).filter("county_match").select("eia_id", "unit_code", "held_by")
+    return held(t).select("eia_id", "unit_code", "held_by")
+
+
+def _sets(df):
+    return df.select("eia_id", F.col("place").cast("bigint").alias("place"), F.col("n_units").cast("bigint").alias("n_units"), R("total_mw"), "codes")
 
 
+# the units of a plant's own county
 @query("free_unit_sets", f"""
-WITH RECURSIVE r AS (SELECT DISTINCT eia_id, ac_mw, unit_code, mw FROM ({_REVIEW}) q WHERE (held_by IS NULL OR held_by = plant_name) AND mw > 0),
+WITH RECURSIVE r AS (SELECT DISTINCT eia_id, ac_mw, unit_code, mw FROM ({_HELD}) q WHERE (held_by IS NULL OR held_by = plant_name) AND mw > 0),
 sets AS (SELECT eia_id, ac_mw, unit_code AS last, mw AS total, 1 AS n, unit_code AS codes FROM r WHERE mw <= ac_mw * 1.15e0 + 1e-9
   UNION ALL SELECT s.eia_id, s.ac_mw, r.unit_code, s.total + r.mw, s.n + 1, s.codes || '+' || r.unit_code FROM sets s JOIN r ON r.eia_id = s.eia_id AND r.unit_code > s.last WHERE s.n < 5 AND s.total + r.mw <= s.ac_mw * 1.15e0 + 1e-9)
 SELECT eia_id, CAST(place AS BIGINT) AS place, CAST(n AS BIGINT) AS n_units, round(total, 4) AS total_mw, codes FROM (SELECT *, row_number() OVER (PARTITION BY eia_id ORDER BY round(abs(total - ac_mw) / ac_mw, 9), n, codes) AS place FROM sets WHERE abs(total - ac_mw) / ac_mw <= 0.15e0) z WHERE place <= 6
 """)
 def _(t):
-    return mt.free_unit_sets(review(t), C).select("eia_id", F.col("place").cast("bigint").alias("place"), F.col("n_units").cast("bigint").alias("n_units"), R("total_mw"), "codes")
+    return _sets(mt.free_unit_sets(held(t), C))
 
 
-# the three above keep the ids of their SQL; these take every plant, without SQL (tests/test_matching.py has the plain version)
-@query("held_by_lookup_all")
+@query("held_by_lookup_all", f"SELECT eia_id, unit_code, held_by FROM ({_HELD}) r")
 def _(t):
-    return mt.held_by(mt.county_pairs(named(t), units(t)).select("eia_id", "unit_code"), t["old_matches"]).select("eia_id", "unit_code", "held_by")
+    return held(t).select("eia_id", "unit_code", "held_by")
 
 
+# county units and all with a similar name: some hundred units a plant, whose sets no SQL can list (tests/test_matching.py has the plain version)
 @query("free_unit_sets_all")
 def _(t):
-    return mt.free_unit_sets(review(t, plants(t)), C).select("eia_id", F.col("place").cast("bigint").alias("place"), F.col("n_units").cast("bigint").alias("n_units"), R("total_mw"), "codes")
+    return _sets(mt.free_unit_sets(review(t), C))
 
 
 view("twin_plants", """
