@@ -168,10 +168,34 @@ def ring_point_d2(ring: Column, x, y) -> Column:
     return F.when(ring_holds(ring, x, y), 0.0).otherwise(F.array_min(parts))
 
 
-def ring_ring_d2(a: Column, b: Column) -> Column:
-    """Edge-to-edge squared distance of two rings, 0 when one holds the other."""
+def boundary_d2(a: Column, b: Column) -> Column:
+    """Squared distance of the edges of two rings."""
     def to_edge(e):
         return F.array_min(F.transform(edges(b), lambda g: segment_segment_d2(
             e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"], g["a"]["x"], g["a"]["y"], g["b"]["x"], g["b"]["y"])))
+    return F.array_min(F.transform(edges(a), to_edge))
+
+
+def ring_ring_d2(a: Column, b: Column) -> Column:
+    """Edge-to-edge squared distance of two rings, 0 when one holds the other."""
     overlap = ring_holds(a, b[0]["x"], b[0]["y"]) | ring_holds(b, a[0]["x"], a[0]["y"])
-    return F.when(overlap, 0.0).otherwise(F.array_min(F.transform(edges(a), to_edge)))
+    return F.when(overlap, 0.0).otherwise(boundary_d2(a, b))
+
+
+# ---- shapes: arrays of rings; a point is inside where it is inside an odd number of them, so rings are parts or holes -------
+SHAPE = f"array<{RING}>"
+
+
+def shape_bounds(shape: Column) -> dict[str, Column]:
+    return bounds(F.flatten(shape))
+
+
+def shape_holds(shape: Column, x: Column, y: Column) -> Column:
+    return F.aggregate(shape, F.lit(False), lambda odd, r: odd != ring_holds(r, x, y))
+
+
+def shape_shape_d2(a: Column, b: Column) -> Column:
+    """Edge-to-edge squared distance of two shapes, 0 where they share a point; a shape in another's hole is apart from it."""
+    starts_in = lambda p, q: F.exists(q, lambda r: shape_holds(p, r[0]["x"], r[0]["y"]))
+    edge = F.array_min(F.flatten(F.transform(a, lambda r: F.transform(b, lambda q: boundary_d2(r, q)))))
+    return F.when(starts_in(a, b) | starts_in(b, a), 0.0).otherwise(edge)

@@ -83,22 +83,38 @@ def _crossings(e: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0)
 
 
-def clipped_union_area(clip: np.ndarray, zones: list[np.ndarray], tile=None) -> float:
-    """Area of clip ∩ (union of zones), optionally inside tile (x0, y0, x1, y1). Even-odd rings.
+def _rings(shape) -> list[np.ndarray]:
+    """A shape's rings: parts and holes, even-odd over all of them. A single ring is a shape too."""
+    return [np.asarray(shape, float)] if isinstance(shape, np.ndarray) and shape.ndim == 2 else [np.asarray(r, float) for r in shape]
 
-    Rings are first cut to the box of clip and tile, so the work follows what lies there. Between two neighbouring vertices
-    or crossings no edges meet: on the middle line of such a slab the boundaries of each ring pair up, and the length
-    that is inside clip and any zone, times the slab's width, is the area."""
-    window = [clip[:, 0].min(), clip[:, 1].min(), clip[:, 0].max(), clip[:, 1].max()]
+
+def clipped_union_area(clip: np.ndarray, zones: list, tile=None) -> float:
+    """Area of clip ∩ (union of zones), optionally inside tile (x0, y0, x1, y1)."""
+    return shared_area([clip], zones, tile)
+
+
+def shared_area(clips: list, zones: list, tile=None) -> float:
+    """Area of (union of clips) ∩ (union of zones), optionally inside tile (x0, y0, x1, y1). Both are lists of shapes.
+
+    Rings are first cut to the box of the clips and the tile, so the work follows what lies there. Between two neighbouring
+    vertices or crossings no edges meet: on the middle line of such a slab the boundaries of each shape pair up, and the length
+    that is inside any clip and any zone, times the slab's width, is the area."""
+    clips, zones = [_rings(c) for c in clips], [_rings(z) for z in zones]
+    corners = [r for c in clips for r in c if len(r)]
+    if not corners or not zones:
+        return 0.0
+    low, high = np.min([r.min(0) for r in corners], axis=0), np.max([r.max(0) for r in corners], axis=0)
+    window = [*low, *high]
     if tile is not None:
         window = [max(window[0], tile[0]), max(window[1], tile[1]), min(window[2], tile[2]), min(window[3], tile[3])]
     if window[0] >= window[2] or window[1] >= window[3]:
         return 0.0
-    rings = [_cut(np.asarray(r, float), window) for r in (clip, *zones)]
-    if len(rings[0]) < 3 or all(len(r) < 3 for r in rings[1:]):
+    cut = [(k, r) for k, shape in enumerate([*clips, *zones]) for ring in shape if len(r := _cut(ring, window)) >= 3]
+    if all(k >= len(clips) for k, _ in cut) or all(k < len(clips) for k, _ in cut):
         return 0.0
+    rings = [r for _, r in cut]
     edges = np.vstack([np.hstack([r, np.roll(r, -1, axis=0)]) for r in rings])
-    owner = np.repeat(np.arange(len(rings)), [len(r) for r in rings])
+    owner = np.repeat([k for k, _ in cut], [len(r) for r in rings])
     swap = edges[:, 0] > edges[:, 2]
     edges[swap] = edges[swap][:, [2, 3, 0, 1]]
     xs = np.unique(np.concatenate([edges[:, 0], edges[:, 2], _crossings(np.unique(edges, axis=0))]))
@@ -116,9 +132,9 @@ def clipped_union_area(clip: np.ndarray, zones: list[np.ndarray], tile=None) ->
         y = e[:, 1] + (e[:, 3] - e[:, 1]) * (mid[slab] - e[:, 0]) / (e[:, 2] - e[:, 0])
         order = np.lexsort((y, ring, slab))
         y, ring, slab = y[order], ring[order], slab[order]
-        step = 1 - 2 * (np.arange(len(y)) % 2)  # a ring has an even number of edges on each line: in, out, in, ...
+        step = 1 - 2 * (np.arange(len(y)) % 2)  # a shape has an even number of edges on each line: in, out, in, ...
         order = np.lexsort((y, slab))
-        y, slab, inside = y[order], slab[order], [np.cumsum(np.where((ring == 0) == own, step, 0)[order]) > 0 for own in (True, False)]
+        y, slab, inside = y[order], slab[order], [np.cumsum(np.where((ring < len(clips)) == own, step, 0)[order]) > 0 for own in (True, False)]
         together = inside[0][:-1] & inside[1][:-1] & (slab[:-1] == slab[1:])
         total += float(np.sum(np.diff(y)[together] * width[slab[:-1][together]]))
     return total
@@ -135,9 +151,33 @@ def overlap_area(a: Column, b: Column) -> Column:
     return F.pandas_udf(_pair_area, "double")(xs(a), ys(a), xs(b), ys(b))
 
 
+def _nested(shapes: Column, axis: str, depth: int) -> Column:
+    """Coordinates of nested arrays of points as nested arrays of numbers."""
+    return F.transform(shapes, (lambda p: p[axis]) if depth == 1 else (lambda r: _nested(r, axis, depth - 1)))
+
+
+def _shape(xs, ys) -> list[np.ndarray]:
+    return [np.column_stack([x, y]) for x, y in zip(xs, ys, strict=True)]
+
+
+def _shapes_area(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+    return pd.Series([shared_area([_shape(x, y) for x, y in zip(p, q, strict=True)], [_shape(r, s)]) for p, q, r, s in zip(ax, ay, bx, by)], dtype=float)
+
+
+def dissolved_overlap(parts: Column, shape: Column) -> Column:
+    """Area that the union of an array of shapes shares with a shape."""
+    return F.pandas_udf(_shapes_area, "double")(_nested(parts, "x", 3), _nested(parts, "y", 3), _nested(shape, "x", 2), _nested(shape, "y", 2))
+
+
+def shapes_of(df: DataFrame) -> Column:
+    """The shape of a row: its `rings`, or its one `ring`."""
+    return F.col("rings") if "rings" in df.columns else F.array("ring")
+
+
 # ---- candidates ----------------------------------------------------------------------------------------------------------
 def _tiles(df: DataFrame, ring: str, size: float, grow: float = 0.0) -> DataFrame:
-    b = geo.bounds(F.col(ring))
+    """A row for each tile that the box of a ring, or of a shape, touches."""
+    b = geo.shape_bounds(F.col(ring)) if dict(df.dtypes)[ring].startswith("array<array") else geo.bounds(F.col(ring))
     g = F.lit(float(grow))
     at = lambda v: F.floor(v / size)
     return (df.withColumn("_x0", at(b["xmin"] - g)).withColumn("_x1", at(b["xmax"] + g))
@@ -151,7 +191,8 @@ def box_pairs(left: DataFrame, right: DataFrame, lring: str, rring: str, size: f
     l = _tiles(left, lring, size, grow).withColumnsRenamed({"_x0": "_lx", "_y0": "_ly"})
     r = _tiles(right, rring, size)
     first = (F.col("_cx") == F.greatest("_lx", "_x0")) & (F.col("_cy") == F.greatest("_ly", "_y0"))
-    a, b = geo.bounds(F.col(lring)), geo.bounds(F.col(rring))
+    box = lambda df, c: geo.shape_bounds(F.col(c)) if dict(df.dtypes)[c].startswith("array<array") else geo.bounds(F.col(c))
+    a, b = box(left, lring), box(right, rring)
     g = F.lit(float(grow))
     meet = ((a["xmin"] - g <= b["xmax"]) & (a["xmax"] + g >= b["xmin"])
             & (a["ymin"] - g <= b["ymax"]) & (a["ymax"] + g >= b["ymin"]))
@@ -160,35 +201,35 @@ def box_pairs(left: DataFrame, right: DataFrame, lring: str, rring: str, size: f
 
 # ---- union shares ----------------------------------------------------------------------------------------------------------
 def union_areas(sites: DataFrame, zones: DataFrame, flags: list[str], tile_m: float, key: str = "eia_id") -> DataFrame:
-    """Per site the area of its ring covered by the union of the zones of each flag (overlaps once): key, <flag>_m2.
-    A site of several rings gives one row per ring to be summed; here they are."""
-    s = _tiles(sites.select(key, "ring"), "ring", tile_m).drop("_x0", "_y0")
-    wanted = s.select("_cx", "_cy").distinct()
-    z = _tiles(zones.select(F.col("ring").alias("zring"), *flags), "zring", tile_m).drop("_x0", "_y0")
-    # rings outside the sites' tiles stay where they are; copies of a zone fall together in its tile, by a hash of the ring
-    z = (z.join(wanted, ["_cx", "_cy"], "left_semi").withColumn("_h", F.xxhash64("zring")).repartition("_cx", "_cy")
-         .dropDuplicates(["_cx", "_cy", "_h", *flags]).drop("_h"))
-    flat = lambda r, c: F.transform(F.col(r), lambda p: p[c])
-    # one part per site ring and tile; every part's zones are the distinct polygons crossing one tile
-    pairs = (s.join(z, ["_cx", "_cy"])
-             .select(key, "_cx", "_cy", flat("ring", "x").alias("sx"), flat("ring", "y").alias("sy"),
-                     flat("zring", "x").alias("zx"), flat("zring", "y").alias("zy"), *flags)
-             .withColumn("_part", F.xxhash64("sx", "sy")))
-    out = ", ".join([f"{key} bigint", *[f"{f}_m2 double" for f in flags]])
-
+    """Per site: key, area_m2 and <flag>_m2, the area covered by the union of the zones of each flag. Rows of one site are
+    dissolved: what several of its shapes cover counts once, as does what several zones cover. Shapes are `rings` (parts and
+    holes) or one `ring`."""
+    s = _tiles(sites.select(key, shapes_of(sites).alias("shape")), "shape", tile_m).drop("_x0", "_y0")
+    wanted = s.select(key, "_cx", "_cy").distinct()
+    z = _tiles(zones.select(shapes_of(zones).alias("shape"), *flags), "shape", tile_m).drop("_x0", "_y0")
+    # zones outside the sites' tiles stay where they are; copies of a zone fall together in its tile, by a hash of the shape
+    z = (z.join(wanted.select("_cx", "_cy").distinct(), ["_cx", "_cy"], "left_semi").withColumn("_h", F.xxhash64("shape")).repartition("_cx", "_cy")
+         .dropDuplicates(["_cx", "_cy", "_h", *flags]).drop("_h").join(wanted, ["_cx", "_cy"]))
+    flat = lambda df, *more: df.select(key, "_cx", "_cy", _nested(F.col("shape"), "x", 2).alias("xs"), _nested(F.col("shape"), "y", 2).alias("ys"), *more)
+    cells = [key, "_cx", "_cy"]
+    out = ", ".join([f"{key} bigint", "area_m2 double", *[f"{f}_m2 double" for f in flags]])
+
+    # one call per site and tile: the site's shapes once, and the distinct zones that cross the tile
     def one_tile(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
-        clip = np.column_stack([first["sx"], first["sy"]])
         x0, y0 = first["_cx"] * tile_m, first["_cy"] * tile_m
-        row = {key: first[key]}
+        tile = (x0, y0, x0 + tile_m, y0 + tile_m)
+        shapes = [_shape(a, b) for a, b in zip(pdf["xs"], pdf["ys"], strict=True)]
+        own = pdf["_own"].tolist()
+        clips = [c for c, o in zip(shapes, own, strict=True) if o]
+        row = {key: first[key], "area_m2": shared_area(clips, [np.array([tile[:2], [tile[2], tile[1]], tile[2:], [tile[0], tile[3]]])], tile)}
         for f in flags:
-            hit = pdf[pdf[f].fillna(False).astype(bool)]
-            rings = [np.column_stack([a, b]) for a, b in zip(hit["zx"], hit["zy"])]
-            row[f"{f}_m2"] = clipped_union_area(clip, rings, (x0, y0, x0 + tile_m, y0 + tile_m))
+            row[f"{f}_m2"] = shared_area(clips, [z for z, h, o in zip(shapes, pdf[f].tolist(), own, strict=True) if h and not o], tile)
         return pd.DataFrame([row])
 
-    parts = spread(pairs, key, "_part", "_cx", "_cy").groupBy(key, "_part", "_cx", "_cy").applyInPandas(one_tile, out)
-    return parts.groupBy(key).agg(*[F.sum(f"{f}_m2").alias(f"{f}_m2") for f in flags])
+    both = flat(s, F.lit(True).alias("_own"), *[F.lit(False).alias(f) for f in flags]).unionByName(flat(z, F.lit(False).alias("_own"), *[is_true(F.col(f)).alias(f) for f in flags]))
+    parts = spread(both, *cells).groupBy(*cells).applyInPandas(one_tile, out)
+    return parts.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("area_m2", *[f"{f}_m2" for f in flags])])
 
 
 def zone_flags(zones: DataFrame) -> DataFrame:
@@ -202,18 +243,18 @@ def zone_flags(zones: DataFrame) -> DataFrame:
 
 
 def flood_overlay(sites: DataFrame, zones: DataFrame, study_areas: DataFrame, cfg: dict, tile_m: float = 2000.0) -> DataFrame:
-    """Shares of each footprint in flood zones. Outside every study area all shares are unknown; mapped without zones
-    they are measured zeros."""
+    """Shares of each footprint in flood zones, its shapes dissolved. Outside every study area all shares are unknown; mapped
+    without zones they are measured zeros."""
     c, acre = cfg["layers"]["flood"], cfg["units"]["m2_per_acre"]
     flags = ["sfha", "floodway", "x500", "zone_d"]
-    area = sites.groupBy("eia_id").agg(F.sum(geo.ring_area(F.col("ring"))).alias("_area"))
-    mapped = union_areas(sites, study_areas.select("ring").withColumn("mapped", F.lit(True)), ["mapped"], tile_m)
     z = zone_flags(zones)
-    hit = union_areas(sites, z, flags, tile_m)
-    touching = (box_pairs(sites.select("eia_id", "ring"), z.select("zone", F.col("ring").alias("zring")), "ring", "zring", tile_m)
-                .filter(geo.ring_ring_d2(F.col("ring"), F.col("zring")) <= 0))
+    no = F.lit(False)
+    layers = z.select(shapes_of(z).alias("rings"), *flags, no.alias("mapped")).unionByName(study_areas.select(shapes_of(study_areas).alias("rings"), *[no.alias(f) for f in flags], F.lit(True).alias("mapped")))
+    hit = union_areas(sites, layers, [*flags, "mapped"], tile_m).withColumnRenamed("area_m2", "_area")
+    touching = (box_pairs(sites.select("eia_id", shapes_of(sites).alias("shape")), z.select("zone", shapes_of(z).alias("zshape")), "shape", "zshape", tile_m)
+                .filter(geo.shape_shape_d2(F.col("shape"), F.col("zshape")) <= 0))
     labels = touching.filter("zone != ''").groupBy("eia_id").agg(F.array_join(F.array_sort(F.collect_set("zone")), ";").alias("flood_zones"))
-    out = area.join(mapped, "eia_id", "left").join(hit, "eia_id", "left").join(labels, "eia_id", "left")
+    out = hit.join(labels, "eia_id", "left")
     ok = is_true(F.col("mapped_m2") > 0)
     known = lambda v: F.when(ok, v)
     share = lambda f: F.coalesce(ratio(F.col(f"{f}_m2"), F.col("_area")), F.lit(0.0))
@@ -229,11 +270,12 @@ def flood_overlay(sites: DataFrame, zones: DataFrame, study_areas: DataFrame, cf
 
 # ---- parcels -------------------------------------------------------------------------------------------------------------
 def parcel_overlaps(arrays: DataFrame, parcels: DataFrame, tile_m: float = 3000.0) -> DataFrame:
-    """Overlap area of every array and parcel that meet; parcels once per distinct geometry and array."""
-    pairs = box_pairs(arrays.select("eia_id", F.col("ring").alias("aring")), parcels.withColumnRenamed("ring", "pring"), "aring", "pring", tile_m)
-    pairs = pairs.withColumn("overlap_m2", overlap_area(F.col("aring"), F.col("pring"))).drop("aring")
-    rest = [c for c in pairs.columns if c not in ("eia_id", "overlap_m2")]
-    return pairs.groupBy("eia_id", *rest).agg(F.sum("overlap_m2").alias("overlap_m2"))
+    """Overlap area of every array and parcel that meet; an array's shapes are dissolved, so what two of them cover counts once."""
+    pairs = box_pairs(arrays.select("eia_id", shapes_of(arrays).alias("ashape")), parcels.withColumnRenamed("ring", "pring"), "ashape", "pring", tile_m)
+    rest = [c for c in pairs.columns if c not in ("eia_id", "ashape")]
+    # the shapes of one array that meet one parcel: as many as the array has panels' outlines there
+    joint = pairs.groupBy("eia_id", *rest).agg(F.collect_set("ashape").alias("_parts"))
+    return spread(joint, "eia_id", "parcel_id").withColumn("overlap_m2", dissolved_overlap(F.col("_parts"), F.array("pring"))).drop("_parts")
 
 
 def host_parcels(overlaps: DataFrame, areas: DataFrame, cfg: dict) -> DataFrame:

@@ -114,6 +114,52 @@ def _(t):
     return ov.flood_overlay(sites(t), zones(t), study, CFG, 6000.0)
 
 
+# zones with a hole: the outer box without an inner one, for the checking engine four boxes around it
+view("holed_box", """
+SELECT feature_id, fld_zone, zone_subty, sfha_tf, zx0, zy0, zx1, zy1, zx0 + (zx1 - zx0) / 4e0 AS hx0, zy0 + (zy1 - zy0) / 4e0 AS hy0, zx1 - (zx1 - zx0) / 8e0 AS hx1, zy1 - (zy1 - zy0) / 3e0 AS hy1 FROM zones_box
+""")
+view("around_box", """
+SELECT feature_id, fld_zone, zone_subty, sfha_tf, zx0, zy0, hx0 AS zx1, zy1 FROM holed_box UNION ALL SELECT feature_id, fld_zone, zone_subty, sfha_tf, hx1, zy0, zx1, zy1 FROM holed_box
+UNION ALL SELECT feature_id, fld_zone, zone_subty, sfha_tf, hx0, zy0, hx1, hy0 FROM holed_box UNION ALL SELECT feature_id, fld_zone, zone_subty, sfha_tf, hx0, hy1, hx1, zy1 FROM holed_box
+""")
+# a site of two overlapping boxes and one that lies apart
+view("split_box", """
+SELECT eia_id, x0, y0, x1, y1 FROM sites_box UNION ALL SELECT eia_id, x0 + (x1 - x0) / 2e0, y0 - 800e0, x1 + 1200e0, y1 - (y1 - y0) / 3e0 FROM sites_box
+UNION ALL SELECT eia_id, x1 + 2000e0, y0, x1 + 2500e0, y1 FROM sites_box WHERE eia_id % 2 = 0
+""")
+_AREA = f"SELECT eia_id, m2 FROM ({union_sql('true', '(SELECT eia_id AS zid, x0 AS zx0, y0 AS zy0, x1 AS zx1, y1 AS zy1 FROM split_box) z').replace('sites_box', 'split_box').replace('WHERE x0', 'WHERE eia_id = zid AND x0')}) q"
+
+
+def holed(t):
+    return t["holed_box"].select("feature_id", "fld_zone", "zone_subty", "sfha_tf", F.array(BOX("zx0", "zy0", "zx1", "zy1"), BOX("hx0", "hy0", "hx1", "hy1")).alias("rings"))
+
+
+def split_sites(t):
+    return t["split_box"].select("eia_id", BOX("x0", "y0", "x1", "y1").alias("ring"))
+
+
+@query("holed_overlap_area", f"SELECT eia_id, feature_id, round(sum({_INT}), 1) AS overlap_m2 FROM sites_box, around_box WHERE x0 < zx1 AND x1 > zx0 AND y0 < zy1 AND y1 > zy0 GROUP BY 1, 2")
+def _(t):
+    pairs = ov.box_pairs(sites(t), holed(t).select("feature_id", F.col("rings").alias("zshape")), "ring", "zshape", 8000.0)
+    return pairs.select("eia_id", "feature_id", F.round(ov.dissolved_overlap(F.array(F.array("ring")), F.col("zshape")), 1).alias("overlap_m2")).filter("overlap_m2 > 0")
+
+
+@query("dissolved_area", f"SELECT eia_id, round(m2, 1) AS area_m2 FROM ({_AREA}) a")
+def _(t):
+    nothing = zones(t).select("ring").limit(0).withColumn("none", F.lit(False))
+    return ov.union_areas(split_sites(t), nothing, ["none"], 6000.0).select("eia_id", F.round("area_m2", 1).alias("area_m2"))
+
+
+@query("dissolved_flood_share", f"""
+SELECT a.eia_id, round(coalesce(u.m2, 0) / a.m2, 4) AS sfha_share, round(coalesce(f.m2, 0) / a.m2, 4) AS floodway_share, z.zones AS flood_zones FROM ({_AREA}) a LEFT JOIN ({union_sql(_SFHA, 'around_box').replace('sites_box', 'split_box')}) u ON a.eia_id = u.eia_id
+LEFT JOIN ({union_sql("zone_subty LIKE 'Floodway%'", 'around_box').replace('sites_box', 'split_box')}) f ON a.eia_id = f.eia_id
+LEFT JOIN (SELECT eia_id, string_agg(DISTINCT upper(trim(fld_zone)), ';' ORDER BY upper(trim(fld_zone))) AS zones FROM split_box, around_box WHERE x0 <= zx1 AND x1 >= zx0 AND y0 <= zy1 AND y1 >= zy0 AND trim(fld_zone) <> '' GROUP BY eia_id) z ON a.eia_id = z.eia_id
+""")
+def _(t):
+    everywhere = split_sites(t).select("ring")
+    return ov.flood_overlay(split_sites(t), holed(t), everywhere, CFG, 6000.0).select("eia_id", "sfha_share", "floodway_share", "flood_zones")
+
+
 _HOST = """
 SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY eia_id, px0, py0, px1, py1 ORDER BY parcel_id) AS dup FROM (
   SELECT *, max(ov) OVER (PARTITION BY eia_id) AS top, max(CASE WHEN ov >= mn THEN 1 ELSE 0 END) OVER (PARTITION BY eia_id) AS anyok FROM (

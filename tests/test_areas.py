@@ -58,3 +58,38 @@ def test_nothing_in_common():
     a = np.array([[0, 0], [1, 0], [1, 1], [0, 1]], float)
     assert ov.clipped_union_area(a, []) == ov.clipped_union_area(a, [a + 5]) == ov.clipped_union_area(a, [a], (3, 3, 4, 4)) == 0.0
     assert abs(ov.clipped_union_area(a, [a + [0.5, 0], a + [0.25, 0.5]]) - (0.5 + 0.25 * 0.5)) < 1e-12
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_shapes_with_holes_and_parts_against_points(seed):
+    """Stars with holes and further parts, several of them on both sides: even-odd inside a shape, union among shapes."""
+    rng = np.random.default_rng(100 + seed)
+    star = lambda size=1.2: circle(*rng.uniform(3, 7, 2), 1, n := int(rng.integers(3, 20))) + rng.normal(0, size, (n, 2))
+    shape = lambda: [star() for _ in range(rng.integers(1, 4))]
+    clips, zones = [shape() for _ in range(rng.integers(1, 4))], [shape() for _ in range(rng.integers(1, 4))]
+    tile = None if seed % 2 else (3.0, 3.0, 6.0, 6.5)
+    g = (np.arange(1500) + 0.5) / 1500 * 14 - 2
+    px, py = np.meshgrid(g, g)
+    held = lambda shapes: np.any([np.logical_xor.reduce([inside(r, px, py) for r in s]) for s in shapes], axis=0)
+    want = held(clips) & held(zones)
+    if tile:
+        want &= (px >= tile[0]) & (px <= tile[2]) & (py >= tile[1]) & (py <= tile[3])
+    assert abs(ov.shared_area(clips, zones, tile) - want.sum() * (14 / 1500) ** 2) < 0.03
+
+
+def test_a_hole_is_outside_and_overlaps_count_once():
+    box = lambda x, y, a, b: np.array([[x, y], [a, y], [a, b], [x, b]], float)
+    ring = [box(0, 0, 10, 10), box(2, 2, 8, 8)]
+    assert ov.shared_area([ring], [box(3, 3, 7, 7)]) == 0.0 and abs(ov.shared_area([ring], [box(0, 0, 10, 5)]) - 32) < 1e-9
+    assert abs(ov.shared_area([box(0, 0, 4, 4), box(2, 0, 6, 4)], [box(-9, -9, 9, 9)]) - 24) < 1e-9
+    island = [*ring, box(4, 4, 6, 6)]
+    assert abs(ov.shared_area([island], [island]) - 68) < 1e-9 and ov.shared_area([], [island]) == ov.shared_area([island], []) == 0.0
+
+
+def test_a_site_in_a_hole_is_apart(spark):
+    from pyspark.sql import functions as F
+    from sitesift.functions import geo
+    b = lambda *v: geo.box_ring(*[F.lit(float(x)) for x in v])
+    ring = F.array(b(0, 0, 10, 10), b(2, 2, 8, 8))
+    row = spark.range(1).select(*[geo.shape_shape_d2(ring, F.array(x)).alias(n) for n, x in (("hole", b(4, 4, 6, 6)), ("edge", b(4, 4, 8, 6)), ("over", b(4, 4, 9, 6)), ("away", b(13, 0, 14, 4)), ("round", b(-1, -1, 11, 11)), ("wall", b(0.5, 0.5, 1, 1)))]).first()
+    assert row.asDict() == {"hole": 4.0, "edge": 0.0, "over": 0.0, "away": 9.0, "round": 0.0, "wall": 0.0}
