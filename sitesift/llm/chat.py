@@ -4,7 +4,9 @@ States are a role and whether a line starts its turn or continues it. What is se
 marker it begins with, its length class, whether it asks, whether the line before is blank. Transitions and emissions are
 counted in Spark over labelled turns. Viterbi is exact and split into blocks of a conversation: a block's best scores from each
 state to each state are a max-plus matrix, the matrices of a conversation give each block its states at both ends, and
-each block is then decoded by itself. So a conversation of any length is spread over tasks.
+each block is then decoded by itself. So a conversation of any length is spread over tasks. As the code of a block's first line
+rests on the last line of the block before, a block has a matrix for either case, and the one that holds is chosen where the
+matrices meet. Blocks are cut by the place of a piece among all pieces, so equal or unknown turn numbers make no block longer.
 """
 
 import math
@@ -16,6 +18,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.serve import positions
 from .common import out, texts, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -110,8 +113,10 @@ def block_path(seen: list[int], model: dict, entry: int | None, end: int) -> lis
 
 
 def _pieces(rows: DataFrame, conv_col: str, turn_col: str, text_col: str) -> DataFrame:
-    return rows.select(F.col(conv_col).cast("long").alias("conv"), F.coalesce(F.floor(F.col(turn_col) / BLOCK), F.lit((1 << 40) - 1)).alias("block"), F.col(turn_col).cast("long").alias("turn"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """Pieces with their place among all (conversation, turn, text; nulls last) and the block of that place."""
+    base = rows.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    placed = positions(base, [F.col("conv").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("text")], "at")
+    return written(placed.select("conv", F.floor((F.col("at") - 1) / BLOCK).alias("block"), "at", "text"), "pieces")
 
 
 def _groups(batches, fields):
@@ -132,51 +137,53 @@ def recovered(rows: DataFrame, model: dict, conv_col: str = "conv_id", turn_col:
     """(conv_id, part, place, role, starts, n_lines, text, rendered): the turns of each transcript, in order of part and place.
 
     Input rows are consecutive pieces of a transcript, in order of `turn_col` (ties by text, nulls last); their ends are no hint.
-    A null or empty piece is one empty line; rows without a conversation id form one transcript. `part` is a block of pieces. A turn that goes on from one block into the next has a row in each, the later ones with
+    A null or empty piece is one empty line; rows without a conversation id form one transcript. `part` is a block of at most BLOCK pieces. A turn that goes on from one block into the next has a row in each, the later ones with
     `starts` false; the `rendered` texts of a conversation, joined as they are, give the canonical transcript
     `<|role|>`, the text without its marker, `<|end|>`, each on lines of its own.
     """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(model)
     pieces = _pieces(rows, conv_col, turn_col, text_col)
-    ordered = lambda df: df.repartition("conv", "block").sortWithinPartitions("conv", "block", F.col("turn").asc_nulls_last(), "text")
-    matrix = pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("m", pa.list_(pa.float64()))])
+    ordered = lambda df: df.repartition("conv", "block").sortWithinPartitions("conv", "block", "at")
+    matrix = pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("m", pa.list_(pa.float64())), ("ends_blank", pa.bool_())])
 
     def measure(batches):
         found = {f.name: [] for f in matrix}
-        for (conv, block), held in _groups(batches, ("turn", "text")):
-            seen = codes([line for _, t in held for line in t.split("\n")])
-            found["conv"].append(conv), found["block"].append(block), found["m"].append(block_matrix(seen, shared.value).ravel().tolist())
+        for (conv, block), held in _groups(batches, ("text",)):
+            lines = [line for (t,) in held for line in t.split("\n")]
+            both = [block_matrix(codes(lines, blank), shared.value).ravel().tolist() for blank in (False, True)]
+            found["conv"].append(conv), found["block"].append(block), found["m"].append(both[0] + both[1]), found["ends_blank"].append(not lines[-1].strip())
             if len(found["conv"]) >= 1000:
                 yield out(matrix, **found)
                 found = {f.name: [] for f in matrix}
         yield out(matrix, **found)
 
-    blocks = written(ordered(pieces).mapInArrow(measure, "conv long, block long, m array<double>"), "chat")
-    ends = pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("entry", pa.int32()), ("last", pa.int32()), ("final", pa.bool_())])
+    blocks = written(ordered(pieces).mapInArrow(measure, "conv long, block long, m array<double>, ends_blank boolean"), "chat")
+    ends = pa.schema([("conv", pa.int64()), ("block", pa.int64()), ("entry", pa.int32()), ("last", pa.int32()), ("final", pa.bool_()), ("after_blank", pa.bool_())])
 
     def settled(conv, held):
         """State before each block of one conversation (STATES: it begins here), state of the block's last line."""
-        v, kept = None, []
-        for block, m in held:
-            m = np.array(m).reshape(STATES + 1, STATES)
-            kept.append((block, m, v))
+        v, kept, blank = None, [], False
+        for block, m, ends_blank in held:
+            m = np.array(m).reshape(2, STATES + 1, STATES)[int(blank)]
+            kept.append((block, m, v, blank))
+            blank = ends_blank
             v = m[STATES] if v is None else (v[:, None] + m[:STATES]).max(0)
         last, rows = int(v.argmax()), []
-        for block, m, before in reversed(kept):
+        for block, m, before, after_blank in reversed(kept):
             entry = STATES if before is None else int((before + m[:STATES, last]).argmax())
-            rows.append((conv, block, entry, last, not rows))
+            rows.append((conv, block, entry, last, not rows, after_blank))
             last = entry
         return rows
 
     def settle(batches):
         key, held, got = None, [], []
         for b in batches:
-            for conv, block, m in zip(b.column("conv").to_pylist(), b.column("block").to_pylist(), b.column("m").to_pylist(), strict=True):
+            for conv, block, m, ends_blank in zip(*(b.column(c).to_pylist() for c in matrix.names), strict=True):
                 if (conv,) != key:
                     got += settled(key[0], held) if held else []
                     key, held = (conv,), []
-                held.append((block, m))
+                held.append((block, m, ends_blank))
             if got:
                 yield table(got)
                 got = []
@@ -186,15 +193,15 @@ def recovered(rows: DataFrame, model: dict, conv_col: str = "conv_id", turn_col:
     def table(got):
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*got, strict=True), ends, strict=True)], schema=ends)
 
-    states = (blocks.repartition("conv").sortWithinPartitions("conv", "block").mapInArrow(settle, "conv long, block long, entry int, last int, final boolean")
-              .select(F.col("conv").alias("c"), F.col("block").alias("b"), "entry", "last", "final"))
+    states = (blocks.repartition("conv").sortWithinPartitions("conv", "block").mapInArrow(settle, "conv long, block long, entry int, last int, final boolean, after_blank boolean")
+              .select(F.col("conv").alias("c"), F.col("block").alias("b"), "entry", "last", "final", "after_blank"))
     final = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("place", pa.int32()), ("role", pa.string()), ("starts", pa.bool_()), ("n_lines", pa.int32()), ("text", pa.string()), ("rendered", pa.string())])
 
     def render(batches):
-        for (conv, block), held in _groups(batches, ("text", "entry", "last", "final")):
+        for (conv, block), held in _groups(batches, ("text", "entry", "last", "final", "after_blank")):
             lines = [line for row in held for line in row[0].split("\n")]
-            _, entry, last, closes = held[0]
-            path = block_path(codes(lines), shared.value, None if entry == STATES else entry, last)
+            _, entry, last, closes, after_blank = held[0]
+            path = block_path(codes(lines, after_blank), shared.value, None if entry == STATES else entry, last)
             starts = [0] + [k for k in range(1, len(path)) if path[k] % 2 == 0]
             got = {f.name: [] for f in final}
             for place, (k, to) in enumerate(zip(starts, [*starts[1:], len(path)], strict=True)):

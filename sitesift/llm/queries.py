@@ -1,17 +1,16 @@
 """The registered queries: each operator over its whole table, with production parameters, and SQL where SQL can say it."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, chunks, counts, decontam, html, langid, licenses, packing, resampling, search, simhash, suffixes
 from .common import table
 
 
 def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
-    """Transcripts made of the conversations, three quarters of them labelled for learning, read back into turns."""
+    """Transcripts made of the conversations, read back into turns by a model of all labelled turns."""
     raw = chat.transcripts(table(spark, folder, "conversations"))
-    model = chat.learned(raw.where(F.pmod(F.xxhash64("conv_id"), F.lit(16)) < 12))
-    return chat.recovered(raw, model)
+    return chat.recovered(raw, chat.learned(raw))
 
 
 def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:

@@ -139,6 +139,39 @@ def test_blocks_give_the_path_of_the_whole(spark, monkeypatch):
     assert chat.recovered(df.where("conv_id > 9"), model).count() == 0
 
 
+def plain_viterbi(lines, model):
+    """Best path over a whole transcript, one line after the other."""
+    seen = chat.codes(lines)
+    v, back = [model["start"][s] + model["emit"][s, seen[0]] for s in range(chat.STATES)], []
+    for c in seen[1:]:
+        step = [max(range(chat.STATES), key=lambda p, s=s: (v[p] + model["move"][p, s], -p)) for s in range(chat.STATES)]
+        back.append(step)
+        v = [v[step[s]] + model["move"][step[s], s] + model["emit"][s, c] for s in range(chat.STATES)]
+    path = [max(range(chat.STATES), key=lambda s: (v[s], -s))]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    return path[::-1]
+
+
+@pytest.mark.parametrize("size", [256, 3, 1])
+def test_paths_against_a_plain_viterbi(spark, monkeypatch, size):
+    """Blank lines at block ends, empty pieces, equal and unknown turn numbers, a transcript without an id."""
+    from sitesift.llm.common import table
+    model = chat.learned(chat.transcripts(table(spark, SF, "conversations")))
+    rng = random.Random(9)
+    said = ["User: what now?", "Assistant: that", "System: be kind", "more of it", "", "ends blank\n", "\nstarts blank", "Q: why?\nand so on\n\n", "A: so", None, "Bob: hello"]
+    rows = [(c, None if rng.random() < 0.3 else rng.randrange(6), rng.choice(said)) for c in (1, 2, None) for _ in range(40)] + [(3, 0, ""), (4, None, None)]
+    monkeypatch.setattr(chat, "BLOCK", size)
+    got = chat.recovered(spark.createDataFrame(rows, "conv_id long, turn long, text string"), model).collect()
+    for conv in (1, 2, None, 3, 4):
+        own = sorted(((t is None, t or 0, x or "") for c, t, x in rows if c == conv))
+        path = plain_viterbi([line for *_, x in own for line in x.split("\n")], model)
+        want = [(chat.ROLES[s // 2], s % 2 == 0) for s in path]
+        mine = [r for r in sorted(got, key=lambda r: (r.part, r.place)) if r.conv_id == conv]
+        assert [(r.role, r.starts and k == 0) for r in mine for k in range(r.n_lines)] == want
+        assert max(r.n_lines for r in mine) <= max(4 * size, 4) or size == 256
+
+
 def test_roles_come_back(spark):
     from pyspark.sql import functions as F
     from sitesift.llm.common import table
