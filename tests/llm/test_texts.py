@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -187,3 +188,28 @@ def test_roles_come_back(spark):
         true.setdefault(r.conv_id, []).append(r.role)
     right = sum(sum(a == b for a, b in zip(seen[c], true[c], strict=False)) for c in true)
     assert right >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("page", ["<b>" * 330_000, "<a " * 330_000, "<a " * 330_000 + ">", "</i>" * 250_000, '<a "' * 250_001 + ">", "<p>" * 330_000, "<div>" * 200_000, "<" * 1_000_000, "<!-- " * 200_000, "<ul><li>" * 125_000, "<a " + "x" * 1_000_000 + "=>"])
+def test_broken_pages_of_a_megabyte_are_read_in_time(page):
+    start = time.process_time()
+    html.Page(page + "x").settled({1})
+    assert time.process_time() - start < 20
+
+
+def test_menus_of_changing_words_go_by_their_shape(spark):
+    """No class or tag says that these boxes are no article; their shape, the same on every page of the host, does."""
+    def page(k):
+        box = f"<div class=x1><ul><li>w{k}</li><li>v{k}</li></ul></div><section class=x2>seen {k} times</section>"
+        return f"<html><body>{box}<article><h1>t{k}</h1><p>own text of {k}, long enough to stay</p><ul><li>one {k}</li><li>two {k}</li></ul></article><div class=x3>end {k}</div></body></html>"
+    rows = [(k, "http://a.example/p", page(k)) for k in range(12)] + [(50 + k, "http://b.example/p", page(k)) for k in range(4)]
+    rows += [(90, "http://a.example/q", page(90).replace("</body>", "<div class=only>once</div></body>"))]
+    got = {r.page_id: r for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].text == f"t{k}\nown text of {k}, long enough to stay\none {k}\ntwo {k}" for i, k in [*((k, k) for k in range(12)), *((50 + k, k) for k in range(4)), (90, 90)])
+    assert [got[k].settled_by for k in (0, 11, 50, 53, 90)] == ["counts", "counts", "marks", "marks", "marks"]
+
+
+def test_hashes_of_shape_and_text():
+    a, b = (html.Page(f"<body><nav><ul><li>{x}</li><li>{x}{x}</li></ul></nav><article><p>{x} and more text than the menu</p></article></body>") for x in ("p", "q"))
+    own = [{a.tags[k]: hs for k, hs in p.hashes().items()} for p in (a, b)]
+    assert own[0]["nav"][0] != own[1]["nav"][0] and own[0]["nav"][1] == own[1]["nav"][1] and "li" not in own[0] and len(own[0]) == 2
