@@ -312,33 +312,37 @@ def main_owners(shares: DataFrame, cfg: dict) -> DataFrame:
 def same_owner_expansion(arrays: DataFrame, hosts: DataFrame, parcels: DataFrame, owners: DataFrame, cfg: dict,
                          tile_m: float = 3000.0) -> DataFrame:
     """Parcels of a main owner reached from the hosts by touching, at most six steps and inside the neighbourhood:
-    (eia_id, pring, parcel_id, step). Adjacency is found once among candidates; each step is a join on it, its result
-    checkpointed so the plan does not grow."""
+    (eia_id, pring, parcel_id, step). The owner is looked at before any distance. Adjacency is found once, between parcels of one
+    site, each pair of geometries once and by hashes; a step is a join on them, its result written so the plan does not grow."""
     c = cfg["layers"]["parcels"]
-    near = box_pairs(arrays.select("eia_id", F.col("ring").alias("aring")), parcels.select("parcel_id", "owner", F.col("ring").alias("pring")),
-                     "aring", "pring", tile_m, c["neighborhood_m"])
+    owned = parcels.select("parcel_id", norm_owner(F.col("owner"), c["owner_stopwords"]).alias("owner_n"), F.col("ring").alias("pring")).filter("owner_n is not null")
+    near = box_pairs(arrays.select("eia_id", F.col("ring").alias("aring")), owned, "aring", "pring", tile_m, c["neighborhood_m"])
+    near = cut_lineage(near.join(owners, ["eia_id", "owner_n"], "left_semi").join(hosts.select("eia_id", "parcel_id"), ["eia_id", "parcel_id"], "left_anti"), "owned")
     near = near.filter(geo.ring_ring_d2(F.col("aring"), F.col("pring")) <= c["neighborhood_m"] ** 2)
-    mine = (near.withColumn("owner_n", norm_owner(F.col("owner"), c["owner_stopwords"])).join(owners, ["eia_id", "owner_n"], "left_semi")
-            .select("eia_id", "parcel_id", "pring").distinct())
-    mine = cut_lineage(mine.join(hosts.select("eia_id", "parcel_id"), ["eia_id", "parcel_id"], "left_anti"))
-    frontier = hosts.select("eia_id", "parcel_id", F.col("pring")).distinct()
-    shapes = mine.select("pring").union(frontier.select("pring")).distinct()
-    tol = c["adjacency_tol_m"]
-    touch = (box_pairs(shapes.withColumnRenamed("pring", "a"), shapes.withColumnRenamed("pring", "b"), "a", "b", tile_m / 3, tol)
-             .filter(geo.ring_ring_d2(F.col("a"), F.col("b")) <= tol * tol))
-    touch = cut_lineage(touch.select(F.xxhash64("a").alias("ha"), F.xxhash64("b").alias("hb"), "a", "b"))
-    left, found = mine.withColumn("hb", F.xxhash64("pring")), None
+    mine = cut_lineage(near.select("eia_id", "parcel_id", "pring", F.xxhash64("pring").alias("h")).distinct(), "mine")
+    frontier = hosts.select("eia_id", F.xxhash64("pring").alias("h"), "pring").distinct()
+    nodes = cut_lineage(mine.select("eia_id", "h", "pring").unionByName(frontier).distinct(), "nodes")
+    shapes, tol = nodes.select("h", "pring").dropDuplicates(["h"]), c["adjacency_tol_m"]
+    box = geo.bounds(F.col("pring"))
+    placed = _tiles(nodes.select("eia_id", "h", "pring", *[v.alias(k) for k, v in box.items()]), "pring", tile_m / 3, tol).drop("_x0", "_y0", "pring")
+    other = placed.withColumnsRenamed({"h": "hb", **{k: f"{k}_b" for k in box}})
+    meet = (F.col("xmin") - tol <= F.col("xmax_b")) & (F.col("xmax") + tol >= F.col("xmin_b")) & (F.col("ymin") - tol <= F.col("ymax_b")) & (F.col("ymax") + tol >= F.col("ymin_b"))
+    pairs = placed.join(other, ["eia_id", "_cx", "_cy"]).filter((F.col("h") < F.col("hb")) & meet).select(F.col("h").alias("ha"), "hb").distinct()
+    both = pairs.join(shapes.withColumnsRenamed({"h": "ha", "pring": "a"}), "ha").join(shapes.withColumnsRenamed({"h": "hb", "pring": "b"}), "hb")
+    one_way = cut_lineage(spread(both, "ha", "hb").filter(geo.ring_ring_d2(F.col("a"), F.col("b")) <= tol * tol).select("ha", "hb"), "touch")
+    same = shapes.select(F.col("h").alias("ha"), F.col("h").alias("hb"))
+    touch = one_way.unionByName(one_way.select(F.col("hb").alias("ha"), F.col("ha").alias("hb"))).unionByName(same)
+    left, found, frontier = mine, None, frontier.select("eia_id", "h")
     for step in range(1, c["max_expansion_rounds"] + 1):
-        reach = (frontier.select("eia_id", F.xxhash64("pring").alias("ha"), F.col("pring").alias("a")).distinct()
-                 .join(touch, ["ha", "a"]).select("eia_id", "hb", F.col("b").alias("pring")).distinct())
-        new = cut_lineage(left.join(reach, ["eia_id", "hb", "pring"], "left_semi").drop("hb"))
+        reach = frontier.distinct().join(touch, F.col("h") == F.col("ha")).select("eia_id", F.col("hb").alias("h")).distinct()
+        new = cut_lineage(left.join(reach, ["eia_id", "h"], "left_semi"))
         if new.isEmpty():
             break
-        marked = new.withColumn("step", F.lit(step))
+        marked = new.drop("h").withColumn("step", F.lit(step))
         found = marked if found is None else found.unionByName(marked)
         left = left.join(new.select("eia_id", "parcel_id"), ["eia_id", "parcel_id"], "left_anti")
-        frontier = new
-    return found if found is not None else mine.filter("false").withColumn("step", F.lit(0))
+        frontier = new.select("eia_id", "h")
+    return found if found is not None else mine.drop("h").filter("false").withColumn("step", F.lit(0))
 
 
 def host_figures(hosts: DataFrame, cfg: dict) -> DataFrame:

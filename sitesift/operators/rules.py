@@ -19,7 +19,7 @@ def footprint_on_parcel(columns, cfg: dict) -> Column:
     """Judge on parcel area only where parcels were read well; an unknown basis is an error."""
     basis = cfg["hard_filters"]["footprint_basis"]
     if basis not in ("array_flag", "parcel"):
-        raise ValueError(f"footprint_basis must be array_flag or parcel, got {basis!r}")
+        raise ValueError(f"unknown footprint basis {basis!r}: array_flag and parcel are known")
     if basis == "array_flag" or "parcel_status" not in columns:
         return F.lit(False)
     return is_true(F.col("parcel_status") == "ok") & ~is_true(F.col("parcels_confidence") == "low")
