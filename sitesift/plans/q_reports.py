@@ -251,3 +251,16 @@ def _(t):
 def _(t):
     made_up = t["supplier"].select(F.lit("accept").alias("action"), F.concat(F.lit("NO_"), F.col("s_suppkey").cast("string")).alias("key"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("note"))
     return mt.unknown_decisions(t["old_matches"], t["decision_rows"].unionByName(made_up)).select("key", "action")
+
+
+view("file_listing", """
+SELECT concat('in/', CAST(p_size AS STRING), '/f', CAST(p_partkey AS STRING), CASE p_partkey % 3 WHEN 0 THEN '.zip' WHEN 1 THEN '.ZIP' ELSE '.csv' END) AS path, p_retailprice AS bytes FROM part
+UNION ALL SELECT concat('in/', CAST(p_size AS STRING), '/f', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 2 = 0 THEN '.csv' ELSE '.CSV' END), p_retailprice + 1 FROM part WHERE p_partkey % 5 < 2
+""")
+
+
+@query("zip_duplicate_guard", """
+SELECT path, bytes FROM file_listing z WHERE NOT (lower(path) LIKE '%.zip' AND EXISTS (SELECT 1 FROM file_listing c WHERE lower(c.path) LIKE '%.csv' AND c.path[:-5] = z.path[:-5]))
+""")
+def _(t):
+    return tb.without_zipped_twins(t["file_listing"])

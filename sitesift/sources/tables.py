@@ -50,6 +50,14 @@ def split_limit(lines: DataFrame, value: str = "value") -> DataFrame:
             .filter("id is not null and top_ft is not null and bottom_ft is not null"))
 
 
+def without_zipped_twins(files: DataFrame, path: str = "path") -> DataFrame:
+    """Rows of a file listing without the zips whose CSV lies beside them: read together they would count twice."""
+    is_csv, is_zip = (F.lower(F.col(path)).endswith(f".{kind}") for kind in ("csv", "zip"))
+    stem = F.expr(f"left({path}, length({path}) - 4)")
+    beside = files.filter(is_csv).select(stem.alias("_stem")).distinct()
+    return files.withColumn("_stem", F.when(is_zip, stem)).join(beside, "_stem", "left_anti").drop("_stem")
+
+
 def skip_zipped_twins(paths: list[str]) -> list[str]:
     """A zip is left out when its CSV lies beside it."""
     stems = {re.sub(r"\.csv$", "", p, flags=re.I) for p in paths if p.lower().endswith(".csv")}

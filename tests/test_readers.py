@@ -34,3 +34,8 @@ def test_line_sources(spark):
     lines = spark.createDataFrame([(1, "a", "345", None), (2, "b", "-999999", "100-161"), (3, "c", "-999999", "NOT AVAILABLE")], "line_id long, owner string, voltage string, volt_class string")
     assert [(r.line_id, r.kv, r.source) for r in tb.line_source(lines, lines, "map", "utility").orderBy("line_id").collect()] == [(1, 345.0, "utility"), (2, 138.0, "utility")]
     assert tb.line_source(lines, None, "map", "utility").filter("source = 'map'").count() == 3
+
+
+def test_zips_beside_their_table_leave_a_listing(spark):
+    listed = spark.createDataFrame([(p,) for p in ["a/x.csv", "a/x.zip", "a/y.zip", "a/Z.CSV", "a/Z.zip", "b/x.zip", "zip", "", None, "a/x.zip"]], "path string")
+    assert sorted(r.path or "" for r in tb.without_zipped_twins(listed).collect()) == sorted(["a/x.csv", "a/y.zip", "a/Z.CSV", "b/x.zip", "zip", "", ""])
