@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..config import config
 from ..functions import geo, text
-from ..operators import overlay as ov
+from ..operators import outlines, overlay as ov
 from .registry import query, view
 
 CFG = config()
@@ -255,3 +255,21 @@ SELECT eia_id, parcel_id FROM array_box, parcel_box WHERE power(greatest(px0 - a
 def _(t):
     pairs = ov.box_pairs(arrays(t).select("eia_id", F.col("ring").alias("aring")), parcels(t).select("parcel_id", F.col("ring").alias("pring")), "aring", "pring", 3000.0, 3000.0)
     return pairs.filter(geo.ring_ring_d2(F.col("aring"), F.col("pring")) <= 9_000_000).select("eia_id", "parcel_id")
+
+
+view("outline_box", """
+SELECT s_suppkey AS eia_id, 0 AS part, -106e0 + s_suppkey % 97 / 8e0 AS ox, 26e0 + s_suppkey % 61 / 8e0 AS oy, 0.5e0 + s_nationkey / 64e0 AS wx, 0.25e0 + s_nationkey / 32e0 AS wy FROM supplier
+UNION ALL SELECT s_suppkey, 1, -98e0 + s_suppkey % 33 / 8e0, 31e0, 0.125e0, 0.125e0 FROM supplier WHERE s_nationkey % 4 = 0
+""")
+_CORNERS = "'[[[' || " + " || '],[' || ".join(f"CAST(round({x}, 6) AS VARCHAR) || ',' || CAST(round({y}, 6) AS VARCHAR)" for x, y in (("ox", "oy"), ("ox + wx", "oy"), ("ox + wx", "oy + wy"), ("ox", "oy + wy"), ("ox", "oy"))) + " || ']]]'"
+
+
+@query("geojson_view", f"""
+SELECT eia_id, CASE WHEN count(*) = 1 THEN '{{"type":"Polygon","coordinates":' || any_value(c) ELSE '{{"type":"MultiPolygon","coordinates":[' || string_agg(c, ',' ORDER BY part) || ']' END || '}}' AS geojson
+FROM (SELECT eia_id, part, {_CORNERS} AS c FROM outline_box) o GROUP BY eia_id
+""")
+def _(t):
+    # points on the way and a bend below the tolerance go again
+    at = lambda fx, fy, bend=0.0: geo.point(F.col("ox") + F.col("wx") * fx + bend, F.col("oy") + F.col("wy") * fy)
+    ring = F.array(at(0, 0), at(0.25, 0), at(0.75, 0), at(1, 0), at(1, 0.5, 0.00003), at(1, 1), at(0.5, 1), at(0, 1), at(0, 0.125, -0.00001))
+    return outlines.map_outlines(t["outline_box"].select("eia_id", "part", F.array(ring).alias("rings")))

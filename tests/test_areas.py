@@ -93,3 +93,32 @@ def test_a_site_in_a_hole_is_apart(spark):
     ring = F.array(b(0, 0, 10, 10), b(2, 2, 8, 8))
     row = spark.range(1).select(*[geo.shape_shape_d2(ring, F.array(x)).alias(n) for n, x in (("hole", b(4, 4, 6, 6)), ("edge", b(4, 4, 8, 6)), ("over", b(4, 4, 9, 6)), ("away", b(13, 0, 14, 4)), ("round", b(-1, -1, 11, 11)), ("wall", b(0.5, 0.5, 1, 1)))]).first()
     assert row.asDict() == {"hole": 4.0, "edge": 0.0, "over": 0.0, "away": 9.0, "round": 0.0, "wall": 0.0}
+
+
+def test_simplified_rings():
+    from sitesift.operators.outlines import simplified
+    square = np.array([[0, 0], [1, 0], [2, 0], [2, 1.00001], [2, 2], [1, 2.04], [0, 2], [0, 1]], float)
+    assert simplified(square, 0.001).tolist() == [[0, 0], [2, 0], [2, 2], [1, 2.04], [0, 2]]
+    assert simplified(square, 0.1).tolist() == [[0, 0], [2, 0], [2, 2], [0, 2]]
+    thin = np.array([[0, 0], [1, 0], [2, 0], [1, 1e-9]], float)
+    assert simplified(thin, 0.1).tolist() == thin.tolist() and len(simplified(square[:3], 9)) == 3 and len(simplified(np.empty((0, 2)), 1)) == 0
+    rng = np.random.default_rng(4)
+    ring = circle(0, 0, 1, 50_000) + rng.normal(0, 1e-5, (50_000, 2))
+    got = simplified(ring, 1e-3)
+    assert 20 < len(got) < 400
+    a, b = got, np.roll(got, -1, axis=0)
+    d = b - a
+    for p in ring[::500]:
+        t = np.clip(((p - a) * d).sum(1) / (d * d).sum(1), 0, 1)
+        assert np.sqrt((((a + t[:, None] * d) - p) ** 2).sum(1).min()) <= 1e-3 + 1e-12
+
+
+def test_outlines_with_holes_parts_and_nothing(spark):
+    from sitesift.operators.outlines import map_outlines
+    ring = lambda *ps: [dict(x=float(x), y=float(y)) for x, y in ps]
+    box = ring((0, 0), (4, 0), (4, 4), (0, 4))
+    rows = [(1, 0, [box, ring((1, 1), (2, 1), (2, 2))]), (2, 1, [box]), (2, 0, [ring((9, 9), (8, 9), (8, 8))]), (3, 0, []), (4, 0, None)]
+    got = {r.eia_id: r.geojson for r in map_outlines(spark.createDataFrame(rows, "eia_id long, part int, rings array<array<struct<x:double,y:double>>>")).collect()}
+    four = "[[0.0,0.0],[4.0,0.0],[4.0,4.0],[0.0,4.0],[0.0,0.0]]"
+    assert got == {1: '{"type":"Polygon","coordinates":[' + four + ',[[1.0,1.0],[2.0,1.0],[2.0,2.0],[1.0,1.0]]]}',
+                   2: '{"type":"MultiPolygon","coordinates":[[[[9.0,9.0],[8.0,9.0],[8.0,8.0],[9.0,9.0]]],[' + four + "]]}"}
