@@ -41,6 +41,13 @@ def _status(spark: SparkSession, path: str):
     return fs, (list(fs.listStatus(place)) if fs.exists(place) else [])
 
 
+def children_of(spark: SparkSession, pattern: str, name: str) -> list:
+    """File statuses of the entry `name` in every folder that a glob pattern names; none where there is no such folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/{name}")
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return list(found) if found else []
+
+
 def pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     """(version, folder) of the complete pointers, ascending: those whose writer has committed."""
     found = []

@@ -43,6 +43,44 @@ def test_one_day_in_two_triggers(spark, tmp_path):
     assert pick(spark.read.parquet(out)) == want and files() == before
 
 
+def test_a_batch_reads_its_own_days_alone(spark, tmp_path):
+    """The stored rows of another day are made unreadable; batches of other days settle all the same, and a repeat of a day's
+    latest delivery does not open the earlier ones either."""
+    cfg = config()
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    part = lambda day, hour, tno=80.0: runs(spark, "S", tno, stamps=[f"07/{day}/2026 {hour}:{m:02d}:00" for m in range(0, 60, 5)])
+    send = lambda df: (df.coalesce(1).write.mode("append").parquet(src), settle_days(spark, src, df.schema, out, ck, cfg).awaitTermination(90))
+    spoil = lambda pattern: [p.write_bytes(b"not a table") for p in (tmp_path / "out_rows").glob(pattern)]
+    files = lambda: sorted(p.name for p in (tmp_path / "out").rglob("part-*"))
+    total = lambda: sorted((str(r[0]), round(r[1], 6)) for r in spark.read.parquet(out).groupBy("operating_day").agg(F.sum("hours")).collect())
+    send(part("15", "12"))
+    assert spoil("operating_day=2026-07-15/batch=0/*.parquet") and spoil("operating_day=2026-07-15/batch=0/.*.crc")
+    send(part("16", "12"))
+    send(part("16", "13"))
+    assert total() == [("2026-07-15", 1.0), ("2026-07-16", 2.0)]
+    assert spoil("operating_day=2026-07-16/batch=1/*.parquet") and spoil("operating_day=2026-07-16/batch=1/.*.crc")
+    before = files()
+    send(part("16", "13").orderBy(F.col("sced_time_stamp").desc()))
+    assert files() == before
+
+
+def test_a_repeat_behind_a_correction_counts(spark, tmp_path):
+    """Delivery A, its correction B, then A again: the rows that came last count, though A is not new."""
+    cfg = config()
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    part = lambda tno: runs(spark, "S", tno, stamps=[f"07/15/2026 12:{m:02d}:00" for m in range(0, 60, 5)])
+    send = lambda df: (df.coalesce(1).write.mode("append").parquet(src), settle_days(spark, src, df.schema, out, ck, cfg).awaitTermination(90))
+    seen = lambda: round(spark.read.parquet(out).agg(F.sum("gen_mwh")).first()[0], 6)
+    send(part(80.0)), send(part(50.0))
+    assert seen() == 50.0
+    send(part(80.0))
+    assert seen() == 80.0
+    send(runs(spark, "S", 1.0, stamps=["07/15/2026 12:00:00"]).withColumn("resource_type", F.lit("WIND")))
+    assert seen() == 80.0
+    send(part(50.0))
+    assert seen() == 50.0
+
+
 def test_publish_moves_only_after_the_check(spark, tmp_path):
     path = str(tmp_path / "t")
     publish(spark.range(5), path, "id", "r1")
