@@ -48,25 +48,35 @@ def resource_summary(raw: DataFrame, cfg: dict, ordinal: str = "ordinal") -> Dat
         F.min_by("qse", F.when(F.col("qse").isNotNull(), F.col(ordinal))).alias("qse"))
 
 
-def dispatch_hours(tel: DataFrame, cfg: dict) -> DataFrame:
-    """Adds hours: time to the resource's next run of the same day; none, zero or too far → the default length."""
+def slice_width(cfg: dict) -> int:
+    """Microseconds of a time slice: whole quarter hours, at least as long as the farthest next run."""
     m = cfg["market"]
     if m["slice_minutes"] <= 0 or m["slice_minutes"] % 15:
         raise ValueError("slice_minutes must be a multiple of 15, so that no quarter hour lies in two slices")
-    reach = m["max_interval_minutes"] * MINUTE_US
-    width = -(-max(m["slice_minutes"], m["max_interval_minutes"]) // 15) * INTERVAL_US
+    return -(-max(m["slice_minutes"], m["max_interval_minutes"]) // 15) * INTERVAL_US
+
+
+def time_slices(tel: DataFrame, cfg: dict) -> DataFrame:
+    """Each row in its slice `_cell`, and again (`_after`, its instant alone) in the slice before if it lies just behind its end."""
+    reach, width = cfg["market"]["max_interval_minutes"] * MINUTE_US, slice_width(cfg)
     us = F.unix_micros("utc")
     cell = F.floor(us / width)
     here = F.struct(cell.alias("cell"), F.lit(False).alias("after"))
     before = F.when(us - cell * width <= reach, F.struct((cell - 1).alias("cell"), F.lit(True).alias("after")))
     payload = [c for c in tel.columns if c not in ("resource_name", "operating_day", "utc")]
-    spread = (tel.select("*", F.explode(F.array_compact(F.array(here, before))).alias("_s"))
-              .select("resource_name", "operating_day", "utc", F.col("_s.cell").alias("_cell"), F.col("_s.after").alias("_after"),
-                      *[F.when(~F.col("_s.after"), F.col(c)).alias(c) for c in payload]))
+    return (tel.select("*", F.explode(F.array_compact(F.array(here, before))).alias("_s"))
+            .select("resource_name", "operating_day", "utc", F.col("_s.cell").alias("_cell"), F.col("_s.after").alias("_after"),
+                    *[F.when(~F.col("_s.after"), F.col(c)).alias(c) for c in payload]))
+
+
+def dispatch_hours(tel: DataFrame, cfg: dict) -> DataFrame:
+    """Adds hours: time to the resource's next run of the same day; none, zero or too far → the default length."""
+    m = cfg["market"]
+    payload = [c for c in tel.columns if c not in ("resource_name", "operating_day", "utc")]
     w = Window.partitionBy("resource_name", "operating_day", "_cell").orderBy("utc", "_after", *payload)
     gap = (F.unix_micros(F.lead("utc").over(w)) - F.unix_micros("utc")) / F.lit(60.0 * MINUTE_US)
     usable = (F.col("_gap") > 0) & (F.col("_gap") <= m["max_interval_minutes"] / 60.0)
-    return (spread.withColumn("_gap", gap).filter("not _after")
+    return (time_slices(tel, cfg).withColumn("_gap", gap).filter("not _after")
             .withColumn("hours", F.when(usable, F.col("_gap")).otherwise(m["default_minutes"] / 60.0))
             .drop("_gap", "_after"))
 
