@@ -1,8 +1,8 @@
 """Nearest and within-radius joins as equi-joins on grid cells.
 
 Sites and features are keyed by the square cells their (grown) boxes cover, so the join hashes instead of comparing every
-pair. Features are also dealt over a few salts, with sites repeated per salt, so one crowded cell is shared by several
-tasks. For the nearest feature, copies of one place collapse first and a table of occupied cells tells each site how far
+pair. Features are counted per cell first: the rows of a crowded cell are dealt over as many parts as its count asks for, and
+only the sites of that cell are repeated, once for each part. For the nearest feature, copies of one place collapse first and a table of occupied cells tells each site how far
 it needs to look, so a dense region costs a handful of cells and not its whole radius.
 """
 
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo
 
-SALTS = 4
+SPLIT = 20_000  # features of a cell that one part holds
+FULLEST = 4_096  # cells that are split at most: any other holds less than a FULLEST-th of all features
 
 
 # ---- shapes ------------------------------------------------------------------------------------------------------------
@@ -68,8 +69,24 @@ def _site_box(sites: DataFrame) -> DataFrame:
     return sites.withColumns({"_xmin": F.col("x"), "_xmax": F.col("x"), "_ymin": F.col("y"), "_ymax": F.col("y")})
 
 
-def _salted(feats: DataFrame, fid: str) -> DataFrame:
-    return feats.withColumn("_salt", F.pmod(F.xxhash64(fid), F.lit(SALTS)).cast("int"))
+def crowded_cells(cells: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(_cx, _cy, _parts) of the fullest cells with more than `split` rows, FULLEST of them at most. Equal counts go by place,
+    so that every use of the table splits the same cells."""
+    return (cells.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > split)
+            .orderBy(F.desc("_n"), "_cx", "_cy").limit(FULLEST)
+            .select("_cx", "_cy", F.ceil(F.col("_n") / split).cast("int").alias("_parts")))
+
+
+def met_in_cells(sites: DataFrame, feats: DataFrame, fid: str, split: int = SPLIT) -> DataFrame:
+    """Sites and features, both with their cells, joined on the cell. Each pair of a cell once; sites are copied in split
+    cells alone. The table of split cells is broadcast: it has FULLEST rows at most."""
+    crowded = F.broadcast(crowded_cells(feats.select("_cx", "_cy"), split))
+    parts = F.coalesce("_parts", F.lit(1))
+    s = (sites.join(crowded, ["_cx", "_cy"], "left")
+         .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts"))
+    f = (feats.join(crowded, ["_cx", "_cy"], "left")
+         .withColumn("_part", F.pmod(F.xxhash64(fid, "x1", "y1", "x2", "y2"), parts).cast("int")).drop("_parts"))
+    return s.join(f, ["_cx", "_cy", "_part"])
 
 
 def _distance(sites: DataFrame, points_only: bool) -> Column:
@@ -100,18 +117,17 @@ def _once(d: Column, r: Column) -> Column:
 
 
 def within_pairs(sites: DataFrame, feats: DataFrame, radius_m: float, fid: str, key: str = "eia_id",
-                 points_only: bool = True) -> DataFrame:
+                 points_only: bool = True, split: int = SPLIT) -> DataFrame:
     """Every (site, feature segment) at most radius_m apart with its distance `d`, each pair once. A feature cut into
     several segments gives several rows; use within_features to keep its nearest."""
     grown = _site_box(sites)
     r = F.lit(float(radius_m))
     s = (_cover(grown, F.col("_xmin") - r, F.col("_ymin") - r, F.col("_xmax") + r, F.col("_ymax") + r, radius_m)
-         .withColumnsRenamed({"_bx": "_sbx", "_by": "_sby"})
-         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    f = _feature_cells(_salted(feats, fid), radius_m)
+         .withColumnsRenamed({"_bx": "_sbx", "_by": "_sby"}))
+    f = _feature_cells(feats, radius_m)
     first = (F.col("_cx") == F.greatest("_sbx", "_bx")) & (F.col("_cy") == F.greatest("_sby", "_by"))
     keep = [key, *[c for c in feats.columns if c not in ("x1", "y1", "x2", "y2")]]
-    return (s.join(f, ["_cx", "_cy", "_salt"]).filter(first & _boxes_within(r))
+    return (met_in_cells(s, f, fid, split).filter(first & _boxes_within(r))
             .select(*keep, _once(_distance(sites, points_only), r).alias("d")))
 
 
@@ -126,7 +142,7 @@ def within_features(sites: DataFrame, feats: DataFrame, radius_m: float, fid: st
 
 
 def nearest_features(sites: DataFrame, feats: DataFrame, radius_m: float, fid: str, keep, key: str = "eia_id",
-                     points_only: bool = True, fine: int = 8) -> DataFrame:
+                     points_only: bool = True, fine: int = 8, split: int = SPLIT) -> DataFrame:
     """Per site its nearest feature within radius_m (lowest id on ties): key, d, fid and the kept attributes. Sites with
     none are absent here; callers left-join, so 'none within' stays a null distance."""
     attrs = list(dict.fromkeys([fid, *keep]))
@@ -152,10 +168,8 @@ def nearest_features(sites: DataFrame, feats: DataFrame, radius_m: float, fid: s
     reach = F.least(F.coalesce(F.min(F.when(F.col("_hit"), F.col("_far2"))).over(Window.partitionBy("_sid")), r * r), r * r)
     # a site's cells number (2 * fine + 1) squared: the window is bounded
     look = (cells.join(taken, ["_cx", "_cy"], "left").withColumn("_reach", reach)
-            .filter(F.col("_near2") <= F.col("_reach")).drop("_near2", "_far2", "_reach", "_hit", "_sid")
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    f = _feature_cells(_salted(places, fid), size)
-    pairs = look.join(f, ["_cx", "_cy", "_salt"]).select(key, *attrs, _once(_distance(sites, points_only), r).alias("d"))
+            .filter(F.col("_near2") <= F.col("_reach")).drop("_near2", "_far2", "_reach", "_hit", "_sid"))
+    pairs = met_in_cells(look, _feature_cells(places, size), fid, split).select(key, *attrs, _once(_distance(sites, points_only), r).alias("d"))
     best = F.min_by(F.struct("d", *attrs), F.struct("d", fid))
     return (pairs.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b.d").alias("d"), *[F.col(f"_b.{c}").alias(c) for c in attrs]))
 
