@@ -2,12 +2,12 @@
 
 An item is cut into windows of 13 words (a shorter item is one window). A window's set of shingles (three words, or the whole
 window where it has fewer) must be contained in full, so one of its shingles is a sufficient prefix: the rarest in the
-corpus, counted over all documents in a first pass. Documents are probed for prefix shingles only; a hit fixes where its
-window would start (positional bound) and must leave room for all its words (length bound). What passes is compared by
-the hash of the whole window and then byte by byte.
+corpus, counted over all documents in a first pass. Documents send their prefix shingles only, each with the words around it,
+and Spark joins them with the windows that chose that shingle. A pair fixes where its window would start (positional bound)
+and must leave room for all its words (length bound); what passes is compared word by word.
 
-The items are the stated query set: they are cut into blocks of bounded size, each block is broadcast and probed by every
-document, and hits of all blocks are merged. A block's bound is the only limit, and it leaves nothing out.
+Items and documents meet in shuffles alone, so neither has to fit anywhere. What tasks get in advance is a filter of fixed
+size that tells which shingles no item has; it lets some others through, and the join drops those.
 """
 
 import sys
@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from .common import out, row_key, utf8
-from .words import LOWER, WORD_BYTES, run_hashes, word_hashes, word_spans
+from .common import out, row_key, utf8, written
+from .words import LOWER, WORD_BYTES, U, run_hashes, word_hashes, word_spans
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WINDOW, SHINGLE, BLOCK_BYTES = 13, 3, 8 << 20
+WINDOW, SHINGLE = 13, 3
+SLOTS = 1 << 26  # bits of the filter: 8 MB, whatever the size of the benchmark
+CHUNK_ROWS = 8192
 
 
 def _words(data: bytes):
@@ -31,182 +33,183 @@ def _words(data: bytes):
     return low, starts, ends
 
 
-def _item_blocks(items: DataFrame, item_col: str, text_col: str, limit: int):
-    """Items as lists of (id, words), each list of bounded size. One block at a time is on the driver."""
-    block, size = [], 0
-    for row in items.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).toLocalIterator():
-        low, s, e = _words(row["t"].encode())
-        words = [low[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-        if not words:
-            continue
-        block.append((row["i"], words))
-        size += len(low)
-        if size >= limit:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-class Windows:
-    """The windows of one block of items: their hashes, the shingles in them, and who holds them."""
-
-    def __init__(self, block, window: int, shingle: int):
-        self.items = [i for i, _ in block]
-        self.text: list[bytes] = []  # of each distinct window
-        self.owners: list[set[int]] = []
-        known: dict[bytes, int] = {}
-        for n, (_, words) in enumerate(block):
-            size = min(window, len(words))
-            for k in range(len(words) - size + 1):
-                line = b" ".join(words[k:k + size])
-                at = known.setdefault(line, len(self.text))
-                if at == len(self.text):
-                    self.text.append(line)
-                    self.owners.append(set())
-                self.owners[at].add(n)
-        self.words, self.hash, self.grams = [], [], []
-        for line in self.text:
-            h = word_hashes(line, *word_spans(line, WORD_BYTES))
-            self.words.append(len(h))
-            self.hash.append(int(run_hashes(h, len(h))[0]))
-            self.grams.append(run_hashes(h, min(shingle, len(h))))
-        self.words = np.array(self.words)
-        self.hash = np.array(self.hash, np.uint64)
-
-    def tokens(self, size: int, shingle: int) -> np.ndarray:
-        """Distinct shingles of `size` words."""
-        own = [g for g, w in zip(self.grams, self.words, strict=True) if min(shingle, w) == size]
-        return np.unique(np.concatenate(own)) if own else np.empty(0, np.uint64)
-
-    def prefixes(self, frequency: dict, shingle: int):
-        """Per shingle size: sorted rarest shingles, and for each the windows that chose it with its offset there."""
-        chosen: dict[int, list] = {}
-        for n, g in enumerate(self.grams):
-            size = min(shingle, int(self.words[n]))
-            offset = min(range(len(g)), key=lambda k: (frequency.get((size, int(g[k])), 0), int(g[k])))
-            chosen.setdefault(size, []).append((int(g[offset]), n, offset))
-        return {size: tuple(np.array(c, t) for c, t in zip(zip(*sorted(rows), strict=True), (np.uint64, np.int64, np.int64), strict=True)) for size, rows in chosen.items()}
-
-
-def _probe(h: np.ndarray, low: bytes, starts, ends, win: Windows, prefix: dict) -> list[tuple[int, int]]:
-    """(first word, window) of every occurrence in one document."""
-    found = []
-    for size, (tokens, windows, offsets) in prefix.items():
-        g = run_hashes(h, size)
-        left = np.searchsorted(tokens, g)
-        hit = np.flatnonzero(tokens[np.minimum(left, len(tokens) - 1)] == g)
-        if not len(hit):
-            continue
-        first, last = left[hit], np.searchsorted(tokens, g[hit], "right")
-        count = last - first
-        place = np.repeat(hit, count)
-        at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        w, start = windows[at], place - offsets[at]
-        fits = (start >= 0) & (start + win.words[w] <= len(h))
-        w, start = w[fits], start[fits]
-        for n in np.unique(win.words[w]).tolist():
-            own = win.words[w] == n
-            whole = run_hashes(h, n)[start[own]] == win.hash[w[own]]
-            for s, x in zip(start[own][whole].tolist(), w[own][whole].tolist(), strict=True):
-                if b" ".join([low[a:b] for a, b in zip(starts[s:s + n].tolist(), ends[s:s + n].tolist(), strict=True)]) == win.text[x]:
-                    found.append((s, x))
-    return found
-
-
-def _frequencies(docs: DataFrame, win, shingle: int) -> dict:
-    """How often each shingle of the block occurs in the corpus; as many rows as the block has shingles at most."""
-    sizes = {s: t for s in range(1, shingle + 1) if len(t := win.value.tokens(s, shingle))}
-    schema = pa.schema([("size", pa.int32()), ("token", pa.int64()), ("n", pa.int64())])
+def _tokens(words: np.ndarray, size: int) -> np.ndarray:
+    """A number for each run of `size` words; runs of other sizes have others."""
+    return run_hashes(words, size) ^ U(size)
+
+
+class Filter:
+    """Two bits for each shingle that an item has, and the sizes of those shingles."""
+
+    def __init__(self, bits: np.ndarray, sizes: list[int]):
+        self.bits, self.sizes = bits, sizes
+        self.mask = U(len(bits) * 64 - 1)
+
+    def passing(self, tokens: np.ndarray) -> np.ndarray:
+        """Places of the tokens that an item may have."""
+        at = np.arange(len(tokens))
+        for shift in (U(0), U(32)):
+            slot = (tokens[at] >> shift) & self.mask
+            at = at[(self.bits[slot >> U(6)] >> (slot & U(63))) & U(1) == U(1)]
+        return at
+
+
+def _filter(tokens: DataFrame, slots: int):
+    """The broadcast filter of a table (size, token); a row for each 64 bits at most reaches the driver."""
+    both = tokens.select(F.explode(F.array(F.col("token").bitwiseAND(F.lit(slots - 1)), F.shiftrightunsigned("token", 32).bitwiseAND(F.lit(slots - 1)))).alias("slot"))
+    rows = both.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(slots // 64, U)
+    bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(U)
+    sizes = sorted(r["size"] for r in tokens.select("size").distinct().collect())  # at most as many as a shingle has words
+    return tokens.sparkSession.sparkContext.broadcast(Filter(bits, sizes))
+
+
+def _item_shingles(texts: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(key, pos, size, token): the shingles of each item in their order."""
+    schema = pa.schema([("key", pa.binary()), ("pos", pa.int32()), ("size", pa.int32()), ("token", pa.int64())])
 
     def run(batches):
-        total = {s: np.zeros(len(t), np.int64) for s, t in sizes.items()}
         for b in batches:
-            for t in utf8(b, "text"):
-                low, starts, ends = _words(t)
-                h = word_hashes(low, starts, ends)
-                for s, tokens in sizes.items():
-                    g = run_hashes(h, s)
-                    at = np.minimum(np.searchsorted(tokens, g), len(tokens) - 1)
-                    at = at[tokens[at] == g]
-                    if len(at):
-                        total[s] += np.bincount(at, minlength=len(tokens))
-        for s, n in total.items():
-            seen = np.flatnonzero(n)
-            yield out(schema, size=pa.array(np.full(len(seen), s, np.int32)), token=pa.array(sizes[s][seen].view(np.int64)), n=pa.array(n[seen]))
+            for key, t in zip(b.column("key").to_pylist(), utf8(b, "text"), strict=True):
+                h = word_hashes(*_words(t))
+                size = min(shingle, window, len(h))
+                if size:
+                    g = _tokens(h, size)
+                    yield out(schema, key=pa.array([key], pa.binary()).take(pa.array(np.zeros(len(g), np.int64))), pos=pa.array(np.arange(len(g), dtype=np.int32)), size=pa.array(np.full(len(g), size, np.int32)), token=pa.array(g.view(np.int64)))
 
-    rows = docs.mapInArrow(run, "size int, token long, n long").groupBy("size", "token").agg(F.sum("n").alias("n")).collect()
-    return {(r["size"], r["token"] & (1 << 64) - 1): r["n"] for r in rows}
+    return texts.mapInArrow(run, "key binary, pos int, size int, token long")
 
 
-def _spans(starts: list[int], lengths: list[int]) -> list[dict]:
-    spans: list[list[int]] = []
-    for a, n in sorted(zip(starts, lengths, strict=True)):
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], a + n)
-        else:
-            spans.append([a, a + n])
-    return [{"from": a, "to": b} for a, b in spans]
+def _frequencies(docs: DataFrame, known, label: str) -> DataFrame:
+    """(token, c): how often each shingle that passes the filter occurs in the corpus."""
+    schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
+    def run(batches):
+        want = known.value
+        for b in batches:
+            seen = []
+            for t in utf8(b, "text"):
+                h = word_hashes(*_words(t))
+                for size in want.sizes:
+                    g = _tokens(h, size)
+                    seen.append(g[want.passing(g)])
+            if seen:
+                token, n = np.unique(np.concatenate(seen), return_counts=True)
+                yield out(schema, token=pa.array(token.view(np.int64)), n=pa.array(n))
 
-HITS = "id long, rid long, n_words long, spans array<struct<from:int,to:int>>, items array<string>"
+    return written(docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("c")), label)
 
 
-def _block_hits(docs: DataFrame, win, prefix, window: int) -> DataFrame:
-    span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-    schema = pa.schema([("id", pa.int64()), ("rid", pa.int64()), ("n_words", pa.int64()), ("spans", span), ("items", pa.list_(pa.string()))])
+def _prefixes(texts: DataFrame, shingles: DataFrame, counts: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(key, token, shift, n, line): every window of an item as its words, with its rarest shingle and that one's place in it.
+
+    Equal windows choose alike: by frequency, then token, then place.
+    """
+    rarity = shingles.join(counts, "token", "left").groupBy("key").agg(F.collect_list(F.struct("pos", F.coalesce("c", F.lit(0).cast("long")).alias("c"))).alias("rarity"))
+    schema = pa.schema([("key", pa.binary()), ("token", pa.int64()), ("shift", pa.int32()), ("n", pa.int32()), ("line", pa.string())])
 
     def run(batches):
-        windows, rare = win.value, prefix.value
         for b in batches:
-            n_words, spans, items = [], [], []
-            for t in utf8(b, "text"):
+            for key, t, rarity in zip(b.column("key").to_pylist(), utf8(b, "text"), b.column("rarity").to_pylist(), strict=True):
+                low, starts, ends = _words(t)
+                h = word_hashes(low, starts, ends)
+                n = min(window, len(h))
+                g = _tokens(h, min(shingle, n))
+                c = np.zeros(len(g), np.int64)
+                c[[r["pos"] for r in rarity]] = [r["c"] for r in rarity]
+                rank = np.empty(len(g), np.int64)
+                rank[np.lexsort((np.arange(len(g)), g, c))] = np.arange(len(g))
+                span = n - min(shingle, n) + 1
+                shift = np.lib.stride_tricks.sliding_window_view(rank, span).argmin(1)
+                words = [low[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+                for lo in range(0, len(shift), CHUNK_ROWS):
+                    part = shift[lo:lo + CHUNK_ROWS]
+                    own = np.arange(lo, lo + len(part))
+                    yield out(schema, key=[key] * len(part), token=pa.array(g[own + part].view(np.int64)), shift=pa.array(part.astype(np.int32)), n=[n] * len(part),
+                              line=pa.array([b" ".join(words[k:k + n]) for k in own.tolist()], pa.binary()))
+
+    return texts.join(rarity, "key").select("key", "text", "rarity").mapInArrow(run, "key binary, token long, shift int, n int, line string")
+
+
+def _probes(docs: DataFrame, known, window: int, shingle: int) -> DataFrame:
+    """(id, rid, n_words, token, at, before, near): a row without a token for each document, and one for each prefix shingle in
+    it: its first word's place, and the words around it, `before` of them ahead, that a window with that shingle can reach."""
+    schema = pa.schema([("id", pa.int64()), ("rid", pa.int64()), ("n_words", pa.int64()), ("token", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("near", pa.string())])
+
+    def run(batches):
+        want = known.value
+        for b in batches:
+            ids, rids, n_words = b.column("id").to_pylist(), b.column("rid").to_pylist(), []
+            for i, r, t in zip(ids, rids, utf8(b, "text"), strict=True):
                 low, starts, ends = _words(t)
-                found = _probe(word_hashes(low, starts, ends), low, starts, ends, windows, rare)
                 n_words.append(len(starts))
-                spans.append(_spans([s for s, _ in found], [int(windows.words[w]) for _, w in found]))
-                own = {windows.items[i] for _, w in found for i in windows.owners[w]}
-                items.append(sorted(own - {None}) + [None] * (None in own))
-            yield out(schema, id=b.column("id"), rid=b.column("rid"), n_words=n_words, spans=spans, items=items)
+                h = word_hashes(low, starts, ends)
+                for size in want.sizes:
+                    g = _tokens(h, size)
+                    hit = want.passing(g)
+                    reach = window - size if size == shingle else 0  # a window with smaller shingles is one shingle
+                    for k in range(0, len(hit), CHUNK_ROWS):
+                        at = hit[k:k + CHUNK_ROWS]
+                        first, last = np.maximum(at - reach, 0), np.minimum(at + size + reach, len(h))
+                        near = [b" ".join([low[p:q] for p, q in zip(starts[x:y].tolist(), ends[x:y].tolist(), strict=True)]) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                        yield out(schema, id=pa.array([i] * len(at), pa.int64()), rid=[r] * len(at), n_words=[len(h)] * len(at), token=pa.array(g[at].view(np.int64)),
+                                  at=pa.array(at.astype(np.int32)), before=pa.array((at - first).astype(np.int32)), near=pa.array(near, pa.binary()))
+            none = [None] * len(ids)
+            yield out(schema, id=b.column("id"), rid=b.column("rid"), n_words=n_words, token=none, at=none, before=none, near=none)
+
+    return docs.mapInArrow(run, "id long, rid long, n_words long, token long, at int, before int, near string")
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """(rid, spans): the windows found in each text, overlapping and touching ones as one span [from, to)."""
+    span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+    schema = pa.schema([("rid", pa.int64()), ("spans", span)])
 
-    return docs.mapInArrow(run, HITS)
+    def run(batches):
+        for b in batches:
+            merged = []
+            for windows in b.column("windows").to_pylist():
+                spans: list[list[int]] = []
+                for lo, hi in sorted((w["start"], w["start"] + w["n"]) for w in windows):
+                    if spans and lo <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], hi)
+                    else:
+                        spans.append([lo, hi])
+                merged.append([{"from": lo, "to": hi} for lo, hi in spans])
+            yield out(schema, rid=b.column("rid"), spans=merged)
+
+    return found.groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("windows")).mapInArrow(run, "rid long, spans array<struct<from:int,to:int>>")
 
 
-def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, slots: int = SLOTS) -> DataFrame:
     """(id, rid, n_words, spans, items) of every row: the word spans [from, to) inside occurrences of item windows, merged,
     and the sorted ids of the items that have one, a null last for those without an id.
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. Items without words
     match nothing; those without an id match like any other and count as one item. An empty set of items gives every row without spans.
+    `slots` (a power of two, 64 and more) sets the size of the filter and changes no result.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    parts = []
-    for block in _item_blocks(items, item_col, item_text, block_bytes):
-        win = spark.sparkContext.broadcast(Windows(block, window, shingle))
-        prefix = spark.sparkContext.broadcast(win.value.prefixes(_frequencies(base.select("text"), win, shingle), shingle))
-        parts.append(_block_hits(base, win, prefix, window))
-    if not parts:
-        nothing = spark.sparkContext.broadcast(Windows([], window, shingle))
-        return _block_hits(base, nothing, spark.sparkContext.broadcast({}), window)
-    if len(parts) == 1:
-        return parts[0]
-    # rows of several blocks: merged by the row's key; repeated rows have equal keys, so they are numbered by their copies
-    joint = parts[0]
-    for p in parts[1:]:
-        joint = joint.unionByName(p)
-    schema_spans = "array<struct<from:int,to:int>>"
-    merged = joint.groupBy("id", "rid", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(parts)).cast("int").alias("copies"))
-    return merged.withColumn("spans", merged_spans("spans").cast(schema_spans)).select("id", "rid", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
-
-
-def merged_spans(column: str):
-    """Overlapping and touching spans of an array as one each."""
-    return F.expr(f"""aggregate(array_sort({column}), cast(array() as array<struct<from:int,to:int>>),
-        (a, s) -> if(size(a) > 0 and s.from <= element_at(a, -1).to,
-                     concat(slice(a, 1, size(a) - 1), array(named_struct('from', element_at(a, -1).from, 'to', greatest(element_at(a, -1).to, s.to)))),
-                     concat(a, array(s))))""")
-
+    asked = items.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
+    texts = asked.select("key", "text").dropDuplicates(["key"])
+    shingles = written(_item_shingles(texts, window, shingle), "item-shingles")
+    counts = _frequencies(base.select("text"), _filter(shingles, slots), "shingle-counts")
+    windows = written(_prefixes(texts, shingles, counts, window, shingle), "windows")
+    chosen = _filter(windows.select(F.least("n", F.lit(shingle)).alias("size"), "token"), slots)
+
+    probes = written(_probes(base, chosen, window, shingle), "probes")
+    start = F.col("at") - F.col("shift")
+    room = (F.col("before") >= F.col("shift")) & (start + F.col("n") <= F.col("n_words"))
+    same = F.expr("array_join(slice(split(near, ' '), before - shift + 1, n), ' ') = line")
+    found = written(probes.where("token IS NOT NULL").join(windows.select("token", "shift", "n", "line").distinct(), "token").where(room).where(same)
+                    .select("rid", start.alias("start"), "n", "line"), "found")
+
+    holders = windows.select("key", "line").distinct().join(asked.select("key", "item").distinct(), "key").select("line", "item").distinct()
+    held = found.select("rid", "line").distinct().join(holders, "line").groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("named"), F.max(F.col("item").isNull()).alias("nameless"))
+    item_list = F.concat("named", F.when(F.col("nameless"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
+    rows = probes.where("token IS NULL").select("id", "rid", "n_words")
+    got = _spans(found).join(held, "rid").select("rid", "spans", item_list.alias("items"))
+    return rows.join(got, "rid", "left").select("id", "rid", "n_words", F.coalesce("spans", F.array().cast("array<struct<from:int,to:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 20, **how) -> DataFrame:

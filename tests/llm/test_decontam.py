@@ -29,8 +29,8 @@ def brute(text, items):
     return len(w), len(hit), len(ids), hashlib.sha256(listed.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_rows_against_a_scan(spark, make, block):
+@pytest.mark.parametrize("slots", [1 << 20, 64])
+def test_rows_against_a_scan(spark, make, slots):
     rng = random.Random(4)
     vocab = [f"{c}{k}" for c in "abé" for k in range(25)]
     text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
@@ -45,10 +45,10 @@ def test_rows_against_a_scan(spark, make, block):
         rows.append((d, t))
     rows += [(90, None), (91, ""), (92, "THE, answer"), (92, "THE, answer"), (None, items[0][1]), (93, items[3][1])]
     table = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, doc_id string")
-    got = decontam.contamination(make(rows), table, block_bytes=block).collect()
+    got = decontam.contamination(make(rows), table, slots=slots).collect()
     want = sorted((str(i), *brute(t, items)) for i, t in rows)
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
-    left = decontam.clean(make(rows), table, block_bytes=block)
+    left = decontam.clean(make(rows), table, slots=slots)
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, t in rows if not brute(t, items)[4])
 
 
@@ -59,10 +59,21 @@ def test_no_items_and_no_documents(spark, make):
     assert decontam.contamination(make([(1, "a b")]).where("doc_id > 1"), none).count() == 0
 
 
-@pytest.mark.parametrize("block", [1 << 20, 10])
-def test_items_without_an_id_are_looked_for(spark, make, block):
+@pytest.mark.parametrize("slots", [1 << 20, 64])
+def test_items_without_an_id_are_looked_for(spark, make, slots):
     items = spark.createDataFrame([(None, "red fox runs"), (None, "old owl sleeps"), (7, "grey cat waits")], "item_id long, text string")
     rows = [(1, "a red fox runs and an old owl sleeps"), (2, "the grey cat waits for a red fox runs"), (3, "nothing here")]
-    got = {r.doc_id: r for r in decontam.contamination(make(rows), items, block_bytes=block).collect()}
+    got = {r.doc_id: r for r in decontam.contamination(make(rows), items, slots=slots).collect()}
     assert [(got[k].n_hit, got[k].n_items, got[k].contaminated) for k in (1, 2, 3)] == [(6, 1, True), (6, 2, True), (0, 0, False)]
     assert [got[k].items_sha256 for k in (1, 2)] == [hashlib.sha256(t).hexdigest() for t in (b"", b"7")]
+
+
+def test_a_window_in_many_documents_and_many_items(spark, make):
+    passage = " ".join(f"p{k}" for k in range(30))
+    items = spark.createDataFrame([(i, passage if i % 2 else f"{passage} tail{i}") for i in range(60)] + [(60, "the"), (61, "of the")], "item_id long, text string")
+    rows = [(d, f"head{d} {passage} of the end") for d in range(300)] + [(400, "the the of the"), (401, " ".join(["the"] * 20000)), (401, " ".join(["the"] * 20000))]
+    got = {}
+    for r in decontam.contamination(make(rows), items, slots=1 << 12).collect():
+        got.setdefault(r.doc_id, []).append((r.n_words, r.n_hit, r.n_items, r.contaminated))
+    assert {tuple(got[d]) for d in range(300)} == {((34, 32, 62, True),)}
+    assert got[400] == [(4, 4, 2, True)] and got[401] == [(20000, 20000, 1, True)] * 2
