@@ -148,7 +148,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     the others have. A window that overlaps its own first occurrence gives up only the words beyond it.
     """
     runs = repeated_windows(docs, id_col, text_col, min_words, lead, gram)
-    per = runs.groupBy("id", "rid").agg(F.collect_list(F.struct("lo", "n", F.col("first.id").alias("fid"), F.col("first.rid").alias("frid"), F.col("first.lo").alias("flo"))).alias("runs"))
+    # a set: copies of a row bring the same runs, and those are one before they leave their tasks
+    per = runs.groupBy("id", "rid").agg(F.collect_set(F.struct("lo", "n", F.col("first.id").alias("fid"), F.col("first.rid").alias("frid"), F.col("first.lo").alias("flo"))).alias("runs"))
     span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
     schema = pa.schema([("id", pa.int64()), ("rid", pa.int64()), ("repeated", span), ("surplus", span), ("sources", pa.list_(pa.int64()))])
 

@@ -72,3 +72,11 @@ def test_cut_texts_keep_the_rest(make):
 
 def test_empty_table(make):
     assert suffixes.report(make([(1, "x")]).where("doc_id > 5")).count() == 0
+
+
+def test_copies_of_a_row_bring_their_runs_once(make):
+    passage = " ".join(f"p{k}" for k in range(120))
+    rows = [(1, f"start {passage}")] + [(2, f"{passage} end")] * 400 + [(3, "short")]
+    got = suffixes.passages(make(rows)).collect()
+    assert sorted((r.id, [tuple(s) for s in r.repeated], [tuple(s) for s in r.surplus]) for r in got) == [(1, [(1, 121)], []), (2, [(0, 120)], [(0, 120)])]
+    assert suffixes.report(make(rows)).where("doc_id = 2 AND n_surplus = 120").count() == 400
