@@ -104,15 +104,10 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    bounds = np.unique(np.array(cuts, np.int64))[::-1].copy()
-
-    @F.pandas_udf("int")
-    def part_of(i: pd.Series) -> pd.Series:
-        above = np.searchsorted(bounds[::-1], i.fillna(0).to_numpy(np.int64), "right")  # bounds not above the id
-        return pd.Series((len(bounds) - above).astype(np.int32))
-
+    bounds = sorted(set(cuts))
+    above = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b > F.col("id")))
     last = len(bounds) + 1
-    part = F.when(F.col("id").isNull(), F.lit(last + 31) - F.shiftright("h", 58).cast("int")).otherwise(part_of("id"))
+    part = F.when(F.col("id").isNull(), F.lit(last + 31) - F.shiftright("h", 58).cast("int")).otherwise(above)
     rows = base.withColumn("part", part)
     heads = {r["part"]: (r["head"]["id"], r["head"]["h"]) for r in rows.groupBy("part").agg(F.max(F.struct("id", "h")).alias("head")).collect()}
     order = sorted(heads)

@@ -213,3 +213,13 @@ def test_hashes_of_shape_and_text():
     a, b = (html.Page(f"<body><nav><ul><li>{x}</li><li>{x}{x}</li></ul></nav><article><p>{x} and more text than the menu</p></article></body>") for x in ("p", "q"))
     own = [{a.tags[k]: hs for k, hs in p.hashes().items()} for p in (a, b)]
     assert own[0]["nav"][0] != own[1]["nav"][0] and own[0]["nav"][1] == own[1]["nav"][1] and "li" not in own[0] and len(own[0]) == 2
+
+
+def test_fingerprint_parts_need_no_python(make):
+    from sitesift.llm import chunks
+    rows = [(i, f"text {i}") for i in (5, 1, -3, 9, 9, 2**60)] + [(None, "a"), (None, None)]
+    dealt, _n = chunks.in_order(make(rows), "doc_id", "text")
+    assert "Python" not in dealt._jdf.queryExecution().executedPlan().toString()
+    part = {r.id: r.part for r in dealt.filter("halo = 0 AND id IS NOT NULL").collect()}
+    order = sorted(part, reverse=True)
+    assert len(part) == 5 and [part[i] for i in order] == sorted(part.values())
