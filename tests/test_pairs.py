@@ -42,3 +42,12 @@ def test_first_ten_before_the_sort(spark):
     key = lambda r: (str(r.eia_id), str(r.tier), r.place, r.unit_code)
     assert sorted(map(key, ten.collect())) == sorted(map(key, plain.collect()))
     assert cands.filter(mt._can_lead(10)).count() < 1500  # many ties
+
+
+def test_holder_by_unit(spark):
+    t = {"match_plants": spark.createDataFrame([(1, "Blue Mesa", "Hale", 50.0), (2, "Quail", "Hale", 70.0), (3, "Lone", "Kent", 9.0)], "eia_id long, plant_name string, county string, ac_mw double").selectExpr("*", "date'2018-01-01' AS cod_first", "date'2018-01-01' AS cod_last"),
+         "market_rows": spark.createDataFrame([("A", "x", "HALE", "50", "in 2018", 1), ("B", "y", "HALE", "n/a", "in 2018", 2), (None, "z", "HALE", "1", "in 2018", 3), ("D", "z", "GRAY", "1", "in 2018", 4)], "unit_code string, unit_name string, county string, installed_mw string, in_service_year string, ordinal long"),
+         "old_matches": spark.createDataFrame([("9", "Late", "A"), ("8", "First", "A"), ("7", "None", None)], "eia_plant_id string, eia_plant_name string, ercot_resource_name string")}
+    got = q_match.held(t)
+    assert sorted((r.eia_id, str(r.unit_code), r.held_by) for r in got.collect()) == [(i, u, h) for i in (1, 2) for u, h in (("A", "First"), ("B", None), ("None", None))]
+    assert "Join" not in above_pairs(got) and "Exchange" not in above_pairs(got)
