@@ -51,3 +51,19 @@ def test_holder_by_unit(spark):
     got = q_match.held(t)
     assert sorted((r.eia_id, str(r.unit_code), r.held_by) for r in got.collect()) == [(i, u, h) for i in (1, 2) for u, h in (("A", "First"), ("B", None), ("None", None))]
     assert "Join" not in above_pairs(got) and "Exchange" not in above_pairs(got)
+
+
+def test_free_unit_sets_look_beyond_the_county(spark, tmp_path):
+    """Names that are alike bring units of other counties; the query and its SQL agree on sets of up to five units."""
+    rows = [(k, ["blue ring", "blue ring bolt", "old plate"][k % 3], f"Brand#{k % 5}", "SMALL", 1 + k % 3, 200.0 * (1 if k % 4 else 4) + 3.7 * k) for k in range(18)]
+    cols = list(zip(*rows, strict=True))
+    pq.write_table(pa.table({n: pa.array(list(v), t) for n, v, t in zip(("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64()), strict=True)}), tmp_path / "part.parquet")
+    pq.write_table(pa.table({"c_custkey": pa.array([1], pa.int64()), "c_name": ["x"], "c_nationkey": pa.array([1], pa.int32()), "c_acctbal": [1.0], "c_mktsegment": ["y"]}), tmp_path / "customer.parquet")
+    got = sorted(tuple(r) for r in load().QUERIES["free_unit_sets"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
+    assert got == sorted(con.execute(load().oracle()["free_unit_sets"]).fetchall())
+    county = {f"{n[:3].upper()}{k}_UNIT{size % 3}": (brand, size) for k, n, brand, _t, size, _p in rows}
+    home = {k: (brand, size) for k, _n, brand, _t, size, _p in rows}
+    assert any(county[u] != home[i] for i, _place, _n, _mw, codes in got for u in codes.split("+"))
+    assert max(r[2] for r in got) >= 3
