@@ -282,38 +282,42 @@ def water_levels(sdr_wells: DataFrame, sdr_levels: DataFrame, gwdb_wells: DataFr
     return a.unionByName(b).filter("depth_ft >= 0")
 
 
-def majority_labels(df: DataFrame, key: str, labels: dict[str, str]) -> DataFrame:
+def majority_labels(df: DataFrame, key: str, labels: dict[str, str], weight: str | None = None) -> DataFrame:
     """Most common non-blank label per key (lowest on ties) for several label columns at once, counted per label before
-    the key is gathered. labels: column → name of the result."""
+    the key is gathered. labels: column → name of the result; weight: how many rows a row stands for, one if not given."""
     items = F.array(*[F.struct(F.lit(out).alias("kind"), F.col(c).alias("label")) for c, out in labels.items()])
-    n = (df.select(key, F.explode(items).alias("_i")).filter(F.trim("_i.label") != "")
-         .groupBy(key, F.col("_i.kind").alias("_kind"), F.col("_i.label").alias("_label")).agg(F.count(F.lit(1)).alias("_n")))
+    many = F.col(weight) if weight else F.lit(1)
+    n = (df.select(key, many.alias("_w"), F.explode(items).alias("_i")).filter(F.trim("_i.label") != "")
+         .groupBy(key, F.col("_i.kind").alias("_kind"), F.col("_i.label").alias("_label")).agg(F.sum("_w").alias("_n")))
     best = lambda out: F.min_by("_label", F.when(F.col("_kind") == out, F.struct(-F.col("_n"), F.col("_label")))).alias(out)
     return n.groupBy(key).agg(*[best(out) for out in labels.values()])
 
 
-def majority_label(df: DataFrame, key: str, label: str, out: str) -> DataFrame:
-    return majority_labels(df, key, {label: out})
+def majority_label(df: DataFrame, key: str, label: str, out: str, weight: str | None = None) -> DataFrame:
+    return majority_labels(df, key, {label: out}, weight)
 
 
 # The sources of water levels, in the order in which they are listed.
 LEVEL_SOURCES = ("gwdb", "sdr")
 
 
-def _first_radius(pairs: DataFrame, need: int, c: dict, cfg: dict, figures) -> DataFrame:
-    """Per site: the first radius that holds `need` pairs, how many there are, and the figures over them. The pairs are
-    grouped once: every figure is computed for each radius (a few) and the wanted one is kept. `figures(inside)` gives
-    name → aggregate over rows for which the condition holds; a site's pairs within the largest radius are few, so exact
-    percentiles fit in its group."""
-    radii = c["search_radii_mi"]
-    inside = [F.col("d") / _mi(cfg) <= r for r in radii]
-    each = [figures(i) for i in inside]
-    n = [F.count_if(i) for i in inside]
-    got = pairs.groupBy("eia_id").agg(*[x.alias(f"_n{k}") for k, x in enumerate(n)], *[x.alias(f"_{name}_{k}") for k, f in enumerate(each) for name, x in f.items()])
-    first = lambda of: F.coalesce(*[F.when(F.col(f"_n{k}") >= need, F.struct(of(k).alias("v"))) for k in range(len(radii))])["v"]
-    names = list(each[0])
-    return got.select("eia_id", first(lambda k: F.lit(float(radii[k]))).alias("radius_mi"), F.coalesce(first(lambda k: F.col(f"_n{k}")), F.col(f"_n{len(radii) - 1}")).alias("n"),
-                      *[first(lambda k, m=m: F.col(f"_{m}_{k}")).alias(m) for m in names])
+def _first_radius(sites: DataFrame, feats: DataFrame, fid: str, need: int, c: dict, cfg: dict, figures: dict) -> DataFrame:
+    """Per site: the first radius that holds `need` features, how many there are, and the figures over them; a site that no
+    radius settles gets its count within the largest. One radius after the other, a wider one for the sites that are left:
+    a dense region is settled by its nearest features and its wider circles are never paired. figures: name → aggregate."""
+    radii, mi = c["search_radii_mi"], _mi(cfg)
+    feats, left, found = cut_lineage(feats, "around"), sites, None
+    for k, radius in enumerate(radii):
+        last = k + 1 == len(radii)
+        # a hair more than the radius, so that the test in miles decides alone; the widest circle is that of all pairs
+        reach = max(radii) * mi if last else radius * mi * (1 + 1e-9)
+        pairs = px.within_features(left, feats, reach, fid).filter(F.col("d") / mi <= radius)
+        n = pairs.groupBy("eia_id").agg(F.count(F.lit(1)).alias("n"), *[v.alias(name) for name, v in figures.items()])
+        held = F.col("n") >= need
+        got = cut_lineage((n if last else n.filter(held)).select("eia_id", F.when(held, F.lit(float(radius))).alias("radius_mi"), "n", *[F.when(held, F.col(m)).alias(m) for m in figures]), "settled")
+        found = got if found is None else found.unionByName(got)
+        left = left.join(got.select("eia_id"), "eia_id", "left_anti")
+    return found
 
 
 def log_layer(ids: DataFrame, sites: DataFrame, wells: DataFrame, lith: DataFrame, cfg: dict) -> DataFrame:
@@ -321,17 +325,13 @@ def log_layer(ids: DataFrame, sites: DataFrame, wells: DataFrame, lith: DataFram
     c = cfg["layers"]["wells"]
     logs = px.feature_points(wells.select("id", "lat", "lon").join(log_metrics(lith, cfg), "id"))
     logs = logs.select("id", "log_depth_ft", "hard_ft", "caliche_ft", "gypsum_ft", "rock_ft", "lost", "x1", "y1", "x2", "y2")
-    pairs = px.within_features(sites, logs, max(c["search_radii_mi"]) * _mi(cfg), "id")
     thick = c["thick_layer_ft"]
-
-    def figures(inside):
-        share = lambda cond: F.bround(F.avg(F.when(inside, cond.cast("double"))), 3)
-        at = lambda v, p: F.percentile(F.when(inside, F.col(v)), F.lit(p))
-        return {"thick_hard_layer_share": share(F.col("hard_ft") >= thick), "caliche_log_share": share(F.col("caliche_ft") > 0), "gypsum_log_share": share(F.col("gypsum_ft") > 0),
-                "hard_rock_log_share": share(F.col("rock_ft") >= thick), "lost_circulation_log_share": share(F.col("lost")),
-                "hard_layer_ft_median": at("hard_ft", 0.5), "hard_layer_ft_p90": at("hard_ft", 0.9), "median_log_depth_ft": at("log_depth_ft", 0.5)}
-
-    out = ids.select("eia_id").join(_first_radius(pairs, c["min_logs"], c, cfg, figures), "eia_id", "left")
+    share = lambda cond: F.bround(F.avg(cond.cast("double")), 3)
+    at = lambda v, p: F.percentile(F.col(v), F.lit(p))
+    figures = {"thick_hard_layer_share": share(F.col("hard_ft") >= thick), "caliche_log_share": share(F.col("caliche_ft") > 0), "gypsum_log_share": share(F.col("gypsum_ft") > 0),
+               "hard_rock_log_share": share(F.col("rock_ft") >= thick), "lost_circulation_log_share": share(F.col("lost")),
+               "hard_layer_ft_median": at("hard_ft", 0.5), "hard_layer_ft_p90": at("hard_ft", 0.9), "median_log_depth_ft": at("log_depth_ft", 0.5)}
+    out = ids.select("eia_id").join(_first_radius(sites, logs, "id", c["min_logs"], c, cfg, figures), "eia_id", "left")
     return out.withColumn("n_logs", F.coalesce("n", F.lit(0))).withColumnRenamed("radius_mi", "logs_radius_mi").drop("n")
 
 
@@ -339,16 +339,12 @@ def level_layer(ids: DataFrame, sites: DataFrame, levels: DataFrame, cfg: dict)
     """Depth to water over the first radius that holds enough levels, and which sources they come from."""
     c = cfg["layers"]["wells"]
     pts = px.feature_points(levels).select("level_id", "depth_ft", "year", "src", "x1", "y1", "x2", "y2")
-    pairs = px.within_features(sites, pts, max(c["search_radii_mi"]) * _mi(cfg), "level_id")
-
-    def figures(inside):
-        at = lambda p: F.percentile(F.when(inside, F.col("depth_ft")), F.lit(p))
-        sources = [(s, F.count_if(inside & (F.col("src") == s))) for s in LEVEL_SOURCES]
-        listed = F.concat_ws("; ", *[F.when(n > 0, F.concat_ws(" ", F.lit(s), n.cast("string"))) for s, n in sources])
-        return {"latest_water_level_year": F.max(F.when(inside, F.col("year"))).cast("bigint"), "depth_to_water_ft": at(0.5), "depth_to_water_ft_p25": at(0.25), "depth_to_water_ft_p75": at(0.75),
-                "water_level_sources": listed}
-
-    out = ids.select("eia_id").join(_first_radius(pairs, c["min_levels"], c, cfg, figures), "eia_id", "left")
+    at = lambda p: F.percentile(F.col("depth_ft"), F.lit(p))
+    sources = [(name, F.count_if(F.col("src") == name)) for name in LEVEL_SOURCES]
+    listed = F.concat_ws("; ", *[F.when(n > 0, F.concat_ws(" ", F.lit(name), n.cast("string"))) for name, n in sources])
+    figures = {"latest_water_level_year": F.max("year").cast("bigint"), "depth_to_water_ft": at(0.5), "depth_to_water_ft_p25": at(0.25), "depth_to_water_ft_p75": at(0.75),
+               "water_level_sources": listed}
+    out = ids.select("eia_id").join(_first_radius(sites, pts, "level_id", c["min_levels"], c, cfg, figures), "eia_id", "left")
     return out.withColumn("n_water_levels", F.coalesce("n", F.lit(0))).withColumnRenamed("radius_mi", "water_radius_mi").drop("n")
 
 
