@@ -9,6 +9,7 @@ it needs to look, so a dense region costs a handful of cells and not its whole r
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo
+from ..session import cut_lineage
 
 SPLIT = 20_000  # features of a cell that one part holds
 FULLEST = 4_096  # cells that are split at most: any other holds less than a FULLEST-th of all features
@@ -99,6 +100,18 @@ def _distance(sites: DataFrame, points_only: bool) -> Column:
     return F.sqrt((x - x1) * (x - x1) + (y - y1) * (y - y1)) if points_only else F.sqrt(geo.point_segment_d2(x, y, x1, y1, x2, y2))
 
 
+def _cell_reach(sites: DataFrame, size: float) -> tuple[Column, Column]:
+    """Squared distances of a site and its cell: none of the cell's places is nearer than the first, none farther than the second."""
+    ax = F.col("ring")[0]["x"] if "ring" in sites.columns else F.col("x")
+    ay = F.col("ring")[0]["y"] if "ring" in sites.columns else F.col("y")
+    left, low = F.col("_cx") * size, F.col("_cy") * size
+    zero = F.lit(0.0)
+    gapx = F.greatest(zero, left - F.col("_xmax"), F.col("_xmin") - (left + size))
+    gapy = F.greatest(zero, low - F.col("_ymax"), F.col("_ymin") - (low + size))
+    farx, fary = F.greatest(F.abs(left - ax), F.abs(left + size - ax)), F.greatest(F.abs(low - ay), F.abs(low + size - ay))
+    return gapx * gapx + gapy * gapy, farx * farx + fary * fary
+
+
 def _feature_cells(feats: DataFrame, size: float) -> DataFrame:
     return _cover(feats, F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size)
 
@@ -127,8 +140,10 @@ def within_pairs(sites: DataFrame, feats: DataFrame, radius_m: float, fid: str,
     f = _feature_cells(feats, radius_m)
     first = (F.col("_cx") == F.greatest("_sbx", "_bx")) & (F.col("_cy") == F.greatest("_sby", "_by"))
     keep = [key, *[c for c in feats.columns if c not in ("x1", "y1", "x2", "y2")]]
-    return (met_in_cells(s, f, fid, split).filter(first & _boxes_within(r))
-            .select(*keep, _once(_distance(sites, points_only), r).alias("d")))
+    near = met_in_cells(s, f, fid, split).filter(first & _boxes_within(r))
+    if points_only and "ring" not in sites.columns:  # plain arithmetic: twice costs less than an array around it
+        return near.select(*keep, _distance(sites, True).alias("d")).filter(F.col("d") <= r)
+    return near.select(*keep, _once(_distance(sites, points_only), r).alias("d"))
 
 
 def within_features(sites: DataFrame, feats: DataFrame, radius_m: float, fid: str, key: str = "eia_id",
@@ -141,6 +156,27 @@ def within_features(sites: DataFrame, feats: DataFrame, radius_m: float, fid: st
     return pairs.groupBy(key, fid, *rest).agg(F.min("d").alias("d"))
 
 
+def within_counts(sites: DataFrame, feats: DataFrame, radius_m: float, by=(), key: str = "eia_id", fine: int = 12, split: int = SPLIT,
+                  inside=None) -> DataFrame:
+    """How many point features lie within radius_m of each site, for each value of the `by` columns: (key, *by, n), the counts
+    of within_pairs without its pairs. Cells that lie inside the radius as a whole bring one number, features are compared
+    along its edge alone, those of one place and value once. `inside(d)` is the test of a distance, d <= radius_m if not given."""
+    by, size, r = list(by), radius_m / fine, F.lit(float(radius_m))
+    # written, so that the planner knows their size: where they are small the sites and their counts stay in one place
+    places = cut_lineage(_feature_cells(feats, size).groupBy(*by, "_cx", "_cy", "x1", "y1", "x2", "y2").agg(F.count(F.lit(1)).alias("n")), "places")
+    totals = cut_lineage(places.groupBy(*by, "_cx", "_cy").agg(F.sum("n").alias("n")), "totals")
+    near2, far2 = _cell_reach(sites, size)
+    cells = (_cover(_site_box(sites), F.col("_xmin") - r, F.col("_ymin") - r, F.col("_xmax") + r, F.col("_ymax") + r, size)
+             .withColumn("_near2", near2).withColumn("_far2", far2).filter(F.col("_near2") <= r * r * (1 + 1e-9)))
+    # the margin leaves places a rounding away from the radius to the exact test
+    whole = F.col("_far2") <= r * r * (1 - 1e-9)
+    full = cells.filter(whole).select(key, "_cx", "_cy").join(totals, ["_cx", "_cy"]).select(key, *by, "n")
+    edge = cells.filter(~whole).drop("_near2", "_far2", "_bx", "_by")
+    test = inside or (lambda d: d <= r)
+    part = met_in_cells(edge, places, "n", split).select(key, *by, "n", _distance(sites, True).alias("d")).filter(test(F.col("d"))).drop("d")
+    return full.unionByName(part).groupBy(key, *by).agg(F.sum("n").alias("n"))
+
+
 def nearest_features(sites: DataFrame, feats: DataFrame, radius_m: float, fid: str, keep, key: str = "eia_id",
                      points_only: bool = True, fine: int = 8, split: int = SPLIT) -> DataFrame:
     """Per site its nearest feature within radius_m (lowest id on ties): key, d, fid and the kept attributes. Sites with
@@ -155,16 +191,9 @@ def nearest_features(sites: DataFrame, feats: DataFrame, radius_m: float, fid: s
              .withColumn("_hit", F.lit(True)))
     s = _cover(_site_box(sites).withColumn("_sid", F.xxhash64(key, "_xmin", "_ymin", "_xmax", "_ymax")),
                F.col("_xmin") - r, F.col("_ymin") - r, F.col("_xmax") + r, F.col("_ymax") + r, size)
-    ax = F.col("ring")[0]["x"] if "ring" in sites.columns else F.col("x")
-    ay = F.col("ring")[0]["y"] if "ring" in sites.columns else F.col("y")
-    left, low = F.col("_cx") * size, F.col("_cy") * size
-    zero = F.lit(0.0)
-    gapx = F.greatest(zero, left - F.col("_xmax"), F.col("_xmin") - (left + size))
-    gapy = F.greatest(zero, low - F.col("_ymax"), F.col("_ymin") - (low + size))
-    farx, fary = F.greatest(F.abs(left - ax), F.abs(left + size - ax)), F.greatest(F.abs(low - ay), F.abs(low + size - ay))
+    near2, far2 = _cell_reach(sites, size)
     site_cols = [c for c in ("ring", "x", "y") if c in sites.columns]
-    cells = s.select(key, "_sid", *site_cols, "_cx", "_cy", (gapx * gapx + gapy * gapy).alias("_near2"),
-                     (farx * farx + fary * fary).alias("_far2")).filter(F.col("_near2") <= r * r)
+    cells = s.select(key, "_sid", *site_cols, "_cx", "_cy", near2.alias("_near2"), far2.alias("_far2")).filter(F.col("_near2") <= r * r)
     reach = F.least(F.coalesce(F.min(F.when(F.col("_hit"), F.col("_far2"))).over(Window.partitionBy("_sid")), r * r), r * r)
     # a site's cells number (2 * fine + 1) squared: the window is bounded
     look = (cells.join(taken, ["_cx", "_cy"], "left").withColumn("_reach", reach)
@@ -180,14 +209,21 @@ def nearest_with_radius(ids: DataFrame, near: DataFrame, dist_name: str, renames
     return ids.select(key).join(near.select(key, *cols), key, "left")
 
 
-def adaptive_radius(pairs: DataFrame, radii, need: int, m_per_mi: float, key: str = "eia_id") -> DataFrame:
-    """Per site the first radius (miles) that holds `need` pairs, else null, and the pair count at the largest radius."""
-    mi = F.col("d") / m_per_mi
-    counts = [F.count_if(mi <= r) for r in radii]
-    chain = None
-    for r, n in zip(radii, counts):
-        chain = F.when(n >= need, float(r)) if chain is None else chain.when(n >= need, float(r))
-    return pairs.groupBy(key).agg(chain.alias("radius_mi"), counts[-1].alias("n_far"))
+def radius_counts(sites: DataFrame, feats: DataFrame, radii, m_per_mi: float, key: str = "eia_id") -> DataFrame:
+    """(key, _n0, _n1, ...) per site with any point feature within the largest radius (miles): how many each radius holds."""
+    far = max(radii)
+    each = None
+    for i, r in enumerate(radii):
+        held = (lambda d, r=r: (d / m_per_mi <= r) & (d <= far * m_per_mi))
+        n = within_counts(sites, feats, r * m_per_mi, key=key, inside=held).withColumn("_i", F.lit(i))
+        each = n if each is None else each.unionByName(n)
+    return each.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col("_i") == i, F.col("n"))), F.lit(0)).alias(f"_n{i}") for i in range(len(radii))])
+
+
+def adaptive_radius(counts: DataFrame, radii, need: int, key: str = "eia_id") -> DataFrame:
+    """Per site of radius_counts the first radius (miles) that holds `need` features, else null, and the count at the largest."""
+    chain = F.coalesce(*[F.when(F.col(f"_n{i}") >= need, float(r)) for i, r in enumerate(radii)])
+    return counts.select(key, chain.alias("radius_mi"), F.col(f"_n{len(radii) - 1}").alias("n_far"))
 
 
 def neighbourhood_cells(sites: DataFrame, radius_m: float, size: float) -> DataFrame:
