@@ -225,20 +225,34 @@ def fiber_at_site(nearest_mi: Column, cfg: dict) -> Column:
     return is_true(nearest_mi * cfg["units"]["m_per_mi"] <= cfg["layers"]["fiber_bdc"]["site_cell_m"])
 
 
+def _coverage_near(sites: DataFrame, cells: DataFrame, pts: DataFrame, radius_m: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Over the cells within the radius of a site: their number and best figures, the number of providers, and how many cells
+    each brand has. Sites and cells that are there once need no pairs: their figures are sums over tiles. With a repeated one,
+    whose pairs have to be told apart, or a figure that is no number the pairs are made."""
+    repeated = lambda d, k: F.count(F.lit(1)) - F.count_distinct(k)
+    odd = pts.agg(repeated(pts, "h3") + F.count_if(F.isnan("max_down") | F.isnan("max_up"))).first()[0] + sites.agg(repeated(sites, "eia_id")).first()[0]
+    if odd:
+        hits = cut_lineage(px.within_features(sites, pts.select("h3", "max_down", "max_up", "business", "x1", "y1", "x2", "y2"), radius_m, "h3"), "near")
+        agg = hits.groupBy("eia_id").agg(F.count(F.lit(1)).alias("cells"), F.max("max_down").alias("bdc_max_down_mbps_near"),
+                                         F.max("max_up").alias("bdc_max_up_mbps_near"), F.max("business").alias("biz"))
+        served = hits.select("eia_id", "h3").join(cells.select("h3", "provider_id", "brand"), "h3")
+        return agg, served.groupBy("eia_id").agg(F.countDistinct("provider_id").alias("provs")), served.groupBy("eia_id", "brand").agg(F.countDistinct("h3").alias("n"))
+    best = px.within_totals(sites, pts.select("max_down", "max_up", F.col("business").cast("int").alias("business"), "x1", "y1"), radius_m, maxima=["max_down", "max_up", "business"])
+    agg = best.select("eia_id", F.col("n").alias("cells"), F.col("max_down").alias("bdc_max_down_mbps_near"), F.col("max_up").alias("bdc_max_up_mbps_near"), (F.col("business") > 0).alias("biz"))
+    kinds = F.array(F.struct(F.lit("provider").alias("kind"), F.col("provider_id").cast("string").alias("label")), F.struct(F.lit("brand").alias("kind"), F.col("brand").alias("label")))
+    items = cells.select("h3", F.inline(kinds)).distinct().join(pts.select("h3", "x1", "y1"), "h3")
+    held = cut_lineage(px.within_totals(sites, items, radius_m, by=["kind", "label"]), "held")
+    provs = held.filter("kind = 'provider' and label is not null").groupBy("eia_id").agg(F.count(F.lit(1)).alias("provs"))
+    return agg, provs, held.filter("kind = 'brand'").select("eia_id", F.col("label").alias("brand"), "n")
+
+
 def coverage(ids: DataFrame, sites: DataFrame, cells: DataFrame, centres: DataFrame, cfg: dict, source: str, release: str | None,
              fetched: str) -> DataFrame:
     c = cfg["layers"]["fiber_bdc"]
     cells = cut_lineage(cells, "cells")  # reduced once, read for the points and for the brands
     pts = cut_lineage(coverage_cell_points(cells, centres), "points")
     near = _nearest(ids, sites, pts, c["search_radius_mi"], "h3", {"brands": "bdc_nearest_brands"}, "bdc_fiber_nearest_mi", cfg, True)
-    hits = px.within_features(sites, pts.select("h3", "max_down", "max_up", "business", "x1", "y1", "x2", "y2"),
-                              c["near_miles"] * _mi(cfg), "h3")
-    hits = cut_lineage(hits, "near")
-    agg = hits.groupBy("eia_id").agg(F.count(F.lit(1)).alias("cells"), F.max("max_down").alias("bdc_max_down_mbps_near"),
-                                     F.max("max_up").alias("bdc_max_up_mbps_near"), F.max("business").alias("biz"))
-    served = hits.select("eia_id", "h3").join(cells.select("h3", "provider_id", "brand"), "h3")
-    provs = served.groupBy("eia_id").agg(F.countDistinct("provider_id").alias("provs"))
-    per = served.groupBy("eia_id", "brand").agg(F.countDistinct("h3").alias("n"))
+    agg, provs, per = _coverage_near(sites, cells, pts, c["near_miles"] * _mi(cfg))
     # brands of one site: as many as there are brands in the market
     ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "brand"))), 1, c["top_brands"])
     brands = per.groupBy("eia_id").agg(F.array_join(F.transform(ranked, lambda s: s["brand"]), "; ").alias("bdc_brands_near"))

@@ -6,12 +6,20 @@ only the sites of that cell are repeated, once for each part. For the nearest fe
 it needs to look, so a dense region costs a handful of cells and not its whole radius.
 """
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo
 from ..session import cut_lineage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SPLIT = 20_000  # features of a cell that one part holds
+AT_ONCE = 1 << 20  # distances a task holds at a time
 FULLEST = 4_096  # cells that are split at most: any other holds less than a FULLEST-th of all features
 
 
@@ -177,6 +185,60 @@ def within_counts(sites: DataFrame, feats: DataFrame, radius_m: float, by=(), ke
     return full.unionByName(part).groupBy(key, *by).agg(F.sum("n").alias("n"))
 
 
+def _totals(sites: pd.DataFrame, feats: pd.DataFrame, radius_m: float, key: str, by: list[str], maxima: list[str]) -> pd.DataFrame:
+    """One tile's rows of within_totals."""
+    group = feats.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(feats), int)
+    order = np.argsort(group, kind="stable")
+    feats = feats.iloc[order]
+    starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+    x, y = feats["x1"].to_numpy(), feats["y1"].to_numpy()
+    step, out = max(1, AT_ONCE // len(feats)), []
+    labels = {c: feats[c].to_numpy(object)[starts] for c in by}
+    for first in range(0, len(sites), step):
+        some = sites.iloc[first:first + step]
+        dx, dy = some["x"].to_numpy()[:, None] - x, some["y"].to_numpy()[:, None] - y
+        held = np.sqrt(dx * dx + dy * dy) <= radius_m
+        n = np.add.reduceat(held, starts, axis=1, dtype=np.int64)
+        i, j = np.nonzero(n)
+        rows = {key: some[key].to_numpy()[i], **{c: v[j] for c, v in labels.items()}, "n": n[i, j]}
+        for c in maxima:
+            rows[c] = np.maximum.reduceat(np.where(held, feats[c].to_numpy(), -np.inf), starts, axis=1)[i, j]
+        out.append(rows)
+    return pd.DataFrame({c: pd.Series(np.concatenate([rows[c] for rows in out]), dtype=object if c in labels else None) for c in out[0]})
+
+
+def within_totals(sites: DataFrame, feats: DataFrame, radius_m: float, by=(), maxima=(), key: str = "eia_id", split: int = SPLIT) -> DataFrame:
+    """How many point features lie within radius_m of each site (a point) and the greatest of the `maxima` (numbers, null is
+    none) among them, for each value of the `by` columns: (key, *by, n, *maxima), the figures of within_pairs without its pairs.
+    Sites are sent to the tiles they reach, features to their own; a tile's task gives totals, no rows of pairs. A tile of more than
+    `split` features or sites is dealt to several tasks."""
+    by, maxima, r = list(by), list(maxima), F.lit(float(radius_m))
+    near2, _ = _cell_reach(sites, radius_m)
+    s = (_cover(_site_box(sites), F.col("_xmin") - r, F.col("_ymin") - r, F.col("_xmax") + r, F.col("_ymax") + r, radius_m)
+         .filter(near2 <= r * r * (1 + 1e-9)).select(key, "x", "y", "_cx", "_cy"))
+    f = feats.select(*by, *[F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))).alias(c) for c in maxima], "x1", "y1",
+                     F.floor(F.col("x1") / radius_m).alias("_cx"), F.floor(F.col("y1") / radius_m).alias("_cy"))
+    sizes = [(s, "_lot", F.xxhash64(key, "x", "y")), (f, "_part", F.xxhash64("x1", "y1", *by))]
+    crowded = [F.broadcast(crowded_cells(d.select("_cx", "_cy"), split).withColumnRenamed("_parts", f"{c}s")) for d, c, _ in sizes]
+    dealt = []
+    for own, (d, _, _) in enumerate(sizes):
+        for k, (_, c, place) in enumerate(sizes):
+            n = F.coalesce(f"{c}s", F.lit(1))
+            d = d.join(crowded[k], ["_cx", "_cy"], "left").withColumn(c, F.pmod(place, n).cast("int") if k == own else F.explode(F.sequence(F.lit(0), n - 1))).drop(f"{c}s")
+        dealt.append(d.groupBy("_cx", "_cy", "_lot", "_part"))
+    kinds = dict(sites.dtypes) | dict(feats.dtypes)
+    out = ", ".join([f"`{c}` {kinds[c]}" for c in (key, *by)] + ["n long"] + [f"`{c}` double" for c in maxima])
+
+    def tile(some: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if some.empty or theirs.empty:
+            return pd.DataFrame(columns=[key, *by, "n", *maxima], dtype=object)
+        return _totals(some, theirs, float(radius_m), key, by, maxima)
+
+    totals = dealt[0].cogroup(dealt[1]).applyInPandas(tile, out)
+    most = [F.max(F.when(F.col(c) > float("-inf"), F.col(c))).alias(c) for c in maxima]
+    return totals.groupBy(key, *by).agg(F.sum("n").alias("n"), *most)
+
+
 def nearest_features(sites: DataFrame, feats: DataFrame, radius_m: float, fid: str, keep, key: str = "eia_id",
                      points_only: bool = True, fine: int = 8, split: int = SPLIT) -> DataFrame:
     """Per site its nearest feature within radius_m (lowest id on ties): key, d, fid and the kept attributes. Sites with
