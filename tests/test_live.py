@@ -56,3 +56,18 @@ def test_late_rows_are_counted_and_left_out(spark, tmp_path):
     got, dropped = stream(spark, tmp_path, [on_time, [at(600)], [at(31), at(610), (None, None, None, None, None, None)]], cfg, "30 minutes")
     assert dropped == 1
     assert figures(got) == figures(interval_energy(spark.createDataFrame(on_time, SCHEMA), cfg))
+
+
+def test_many_resources_share_the_keys_of_a_slice(spark, tmp_path):
+    cfg = config()
+    rows = [(f"R{k % 150}" if k % 150 else None, NOON.date(), NOON + dt.timedelta(minutes=k % 170), 5.0 + k, None, 50.0) for k in range(450)]
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(src)
+    live = live_energy(spark.readStream.schema(SCHEMA).parquet(src), cfg, "1 hour", lots=4)
+    q = live.writeStream.option("checkpointLocation", ck).trigger(availableNow=True).start(out)
+    q.awaitTermination(120)
+    assert max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]) <= 2 * 4  # the slice and the one before
+    spark.createDataFrame([("Z", NOON.date(), NOON + dt.timedelta(hours=20), 1.0, 1.0, 1.0)], SCHEMA).write.mode("append").parquet(src)
+    live.writeStream.option("checkpointLocation", ck).trigger(availableNow=True).start(out).awaitTermination(120)
+    text = lambda df: sorted((str(r[0]), *r[1:]) for r in map(tuple, df.select("resource_name", "operating_day", "interval_start", *[F.round(c, 9) for c in ("gen_mwh", "hsl_mwh", "curtailed_mwh", "hours")]).collect()))
+    assert text(spark.read.parquet(out)) == text(interval_energy(spark.createDataFrame(rows, SCHEMA), cfg))
