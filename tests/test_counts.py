@@ -76,3 +76,14 @@ def test_a_settled_site_is_not_paired_with_wider_circles(spark):
     assert {r.eia_id: (r.radius_mi, r.n, r.top) for r in got if r.eia_id is not None} == want
     settled = [sum(w[0] == r for w in want.values()) for r in c["search_radii_mi"]]
     assert all(settled[:2]) and asked[1] <= asked[0] - settled[0] and asked[2] <= asked[1] - settled[1]
+
+
+def test_cells_of_sites_are_not_broadcast(spark):
+    """A small file of sites becomes many rows, one for each cell: no inner join may send them through the driver."""
+    c = spark.createDataFrame([(k, 1000.0 * k, 0.0) for k in range(5)], "eia_id long, x double, y double")
+    f = spark.createDataFrame([(k, 900.0 * k, 10.0, 900.0 * k, 10.0) for k in range(9)], "feature_id long, x1 double, y1 double, x2 double, y2 double")
+    for df in (px.within_counts(c, f, 5000.0), px.within_pairs(c, f, 5000.0, "feature_id")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and not [row for row in plan.splitlines() if "BroadcastHashJoin" in row and "Inner" in row]
+    got = {r.eia_id: r.n for r in px.within_counts(c, f, 5000.0).collect()}
+    assert got == {k: sum((1000.0 * k - 900.0 * j) ** 2 + 100 <= 25e6 for j in range(9)) for k in range(5)}
